@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, decontaminate, near_dups, pii, rules, secrets, tokens, urls
+from . import crf, decontaminate, near_dups, pii, repeats, rules, secrets, tokens, urls
 from .common import load
 
 
@@ -15,6 +15,10 @@ def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(load(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dups, op3_pii, op4_url_filter, op5_token_counts, op6_line_quality, op7_secrets, op8_packing, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_near_dups, op2_repeats, op3_pii, op4_url_filter, op5_token_counts, op6_line_quality, op7_secrets, op8_packing, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
