@@ -18,7 +18,7 @@ SIMILAR = 0.8
 BANDS = 32
 ROWS = 5
 #: Compared with all others of its bucket in one round, at most so many documents of each bucket.
-CENTRES = 16
+CENTRES = 128
 SIGNATURE = "doc_id long, a long, b long, n long, bands array<long>"
 
 
