@@ -16,10 +16,10 @@ from .common import U64, mix, stored
 LENGTH = 200
 Q = 64
 _STARTS = LENGTH - Q + 1
-#: A bucket of more different contexts is refined over the cluster, not in one task.
-LARGE = 2000
+#: A bucket of more different contexts (about 8 MB of bytes) is refined over the cluster, not in one task.
+LARGE = 25_000
 #: Bytes of text worked on at once.
-PART = 4_000_000
+PART = 2_000_000
 RUNS = "h long, c long, doc_id long, lo int, n int, at int"
 CONTEXTS = "h long, doc_id long, lo int, n int, at int, bytes binary"
 SPANS = "doc_id long, lo int, hi int"
@@ -214,7 +214,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     in their bucket with others go on and are refined to LENGTH bytes.
     """
     found = all_runs(docs)
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    # written, so that the join after it deals both sides anew and Spark can split a frequent bucket
+    often = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "often")
     some = stored(found.join(often, "h", "left_semi"), "runs")
     kinds = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "lo")).alias("one"))
     kinds = stored(kinds, "kinds")
