@@ -177,7 +177,7 @@ def pos_int(col: Column, default: int) -> Column:
 
 def compare_flags(title: Column, other_title: Column, ms: Column, other_ms: Column, gap: int = 2000) -> Column:
     """Warnings of a candidate pair."""
-    return F.array_compact(F.array(F.when(normalize_light(title, True) != normalize_light(other_title, True), F.lit("title")), F.when(F.abs(ms - other_ms) > gap, F.lit("duration"))))
+    return F.array_compact(F.array(F.when(F.trim(normalize_light(title, True)) != F.trim(normalize_light(other_title, True)), F.lit("title")), F.when(F.abs(ms - other_ms) > gap, F.lit("duration"))))
 
 
 def artwork_base(col: Column) -> Column:

@@ -1,7 +1,1078 @@
-"""Registered queries over the driver's tables, with the SQL that checks each."""
+"""Registered queries over the driver's tables, each with the SQL that checks it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .fixtures import Tables, with_views
+from .functions import codecs as C
+from .functions import text as X
+from .operators import aggregates as A
+from .operators import joins as J
+from .operators import predicates as P
+from .plans import changes as D
+from .plans import curation as K
+from .plans import matching as M
+from .sources import files as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "match_exact"
+FLAGSHIP = "m05_match_exact"
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with SQL over the same tables where SQL can say it."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE[f.__name__] = with_views(" ".join(sql.split()))
+        return f
+
+    return add
+
+
+def _count(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+# 2.1 scans, sources and sinks
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, p.p_name, s.s_name FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey")
+def s02_entry_extraction(t):
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "s_name")
+
+
+_MONTHS = "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS source_file FROM orders"
+
+
+@query(f"SELECT 12 + row_number() OVER (ORDER BY source_file) AS source_id, source_file FROM ({_MONTHS}) WHERE source_file >= '1996-01'")
+def s03_register_source(t):
+    files = t.orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("source_file")).distinct()
+    old = files.where("source_file < '1996-01'").withColumn("source_id", F.month(F.to_date("source_file", "yyyy-MM")).cast("long"))
+    return S.register_source(old, files)
+
+
+@query("SELECT o_orderkey AS owner_id, count(*) AS n, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def s05_fan_out(t):
+    docs = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderkey").alias("owner_id")).agg(F.collect_list(F.struct("l_partkey", "l_quantity")).alias("children"))
+    return S.fan_out(docs)["children"].groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS in_playlist FROM customer")
+def s07_in_playlist(t):
+    items = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return S.in_playlist(t.customer.select("c_custkey"), items, "c_custkey")
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def s11_embedded_extraction(t):
+    return S.links(t.pages)
+
+
+@query("WITH last AS (SELECT l_partkey, max_by(l_extendedprice, (l_shipdate, l_extendedprice)) AS price FROM lineitem GROUP BY l_partkey) SELECT p_partkey, CASE WHEN l_partkey IS NULL THEN p_retailprice ELSE price END AS price FROM part LEFT JOIN last ON p_partkey = l_partkey")
+def s12_enrich(t):
+    look = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_shipdate", F.col("l_extendedprice").alias("price"))
+    return S.enrich(t.part.select("p_partkey", F.col("p_retailprice").alias("price")), look, "p_partkey", "l_shipdate", ["price"])
+
+
+@query("SELECT source, " + ", ".join(f"min_by(title, doc_id) FILTER (lang = '{x}') AS {x}" for x in ("en", "de", "fr", "es")) + " FROM (SELECT source, lang, doc_id, substr(text, 1, 40) AS title FROM documents) GROUP BY source")
+def s13_merge_localized(t):
+    slots = ["en", "de", "fr", "es"]
+    d = t.documents.select("source", "doc_id", *[F.when(F.col("lang") == x, F.substring("text", 1, 40)).alias(x) for x in slots])
+    return S.merge_localized(d, "source", "doc_id", slots)
+
+
+@query("SELECT l_orderkey, string_agg(l_linenumber || '=' || n, ',' ORDER BY l_linenumber) AS track_count, count(*) AS disc_count FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber <> 0 GROUP BY ALL) GROUP BY l_orderkey")
+def s14_disc_counts(t):
+    d = S.disc_counts(t.lineitem, "l_orderkey", "l_linenumber")
+    return d.select("l_orderkey", F.array_join(F.transform(F.array_sort(F.map_entries("track_count")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",").alias("track_count"), "disc_count")
+
+
+_ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in _ALL))
+def s16_table_scans(t):
+    parts = [getattr(t, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n in _ALL]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# 2.2 predicates
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) >= DATE '1998-01-01' AND lower(o_orderpriority) LIKE '%high%'")
+def f01_apply_rules(t):
+    catalogue = {"o_totalprice": "number", "o_orderstatus": ("F", "O", "P"), "o_orderdate": "date", "o_orderpriority": "text"}
+    rules = [dict(field="o_totalprice", operator="gt", value=1000), dict(field="o_orderstatus", operator="eq", value="F"), dict(field="o_orderdate", operator="gte", value="1998-01-01"), dict(field="o_orderpriority", operator="contains", value="High")]
+    return P.apply_rules(t.orders, catalogue, rules).select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_quantity <> 50")
+def f02_number_pred(t):
+    return t.lineitem.where(P.number_pred(F.col("l_quantity"), "gte", 45) & P.number_pred(F.col("l_quantity"), "ne", 50)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1996-02-29'")
+def f03_date_pred(t):
+    return t.orders.where(P.date_pred(F.col("o_orderdate"), "lte", "1996-02-29")).select("o_orderkey")
+
+
+_OPS = {"eq": "abs(d) < 1000", "ne": "abs(d) >= 1000", "gt": "d >= 1000", "gte": "d > -1000", "lt": "d <= -1000", "lte": "d < 1000"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{o}' AS op, doc_id FROM (SELECT doc_id, n_chars - 3000 AS d FROM documents) WHERE {c}" for o, c in _OPS.items()))
+def f04_duration_pred(t):
+    out = None
+    for o in _OPS:
+        d = t.documents.where(P.duration_pred(F.col("n_chars"), o, 3000)).select(F.lit(o).alias("op"), "doc_id")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("SELECT song_id, genre_tag FROM songs_v WHERE genre_tag & 5 = 5 OR genre_tag = 0")
+def f05_flag_pred(t):
+    return t.songs_v.where(P.flag_pred(F.col("genre_tag"), 5) | P.flag_pred(F.col("genre_tag"), 0)).select("song_id", "genre_tag")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+def f06_enum_pred(t):
+    return t.orders.where(P.enum_pred(F.col("o_orderstatus"), "O", ("F", "O", "P"))).select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def f07_rel_pred(t):
+    return P.rel_pred(t.customer, t.orders.where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", False).select("c_custkey")
+
+
+_FOLD = "lower(strip_accents(text))"
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({_FOLD}, 'ete') AND NOT contains({_FOLD}, 'zzz')")
+def f08_text_pred(t):
+    return t.documents.where(P.text_pred(F.col("text"), "contains", "Été") & P.text_pred(F.col("text"), "notContains", "zzz")).select("doc_id")
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'green') OR NOT list_contains(string_split(lower(p_name), ' '), 'red')")
+def f09_array_pred(t):
+    words = F.split("p_name", " ")
+    return t.part.where(P.array_pred(words, "is", "green") | P.array_pred(words, "isNot", "Red")).select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def f10_visible(t):
+    m = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("pending").alias("status"))
+    return P.visible(m, "mappings").select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT p_partkey FROM part WHERE contains(lower(p_type), 'brass') UNION SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE contains(lower(s_name), '7'))")
+def f11_search(t):
+    sup = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("s_name").alias("name"))
+    src = [(t.part.select("p_partkey", F.col("p_type").alias("name")).where(P.text_pred(F.col("name"), "contains", "brass")), "brass"), (sup, "7")]
+    keys = src[0][0].select("p_partkey").unionByName(sup.where(P.text_pred(F.col("name"), "contains", "7")).select("p_partkey")).distinct()
+    return t.part.join(keys, "p_partkey", "left_semi").select("p_partkey")
+
+
+@query("SELECT n_nationkey FROM nation WHERE contains(lower(n_name), '1') OR contains(CAST(n_nationkey AS VARCHAR), '1')")
+def f12_row_search(t):
+    return P.row_search(t.nation.select(F.col("n_name").alias("x"), F.col("n_nationkey")), "1").select("n_nationkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def f13_group_member_filter(t):
+    m = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    return P.group_member_filter(t.orders, m, "o_orderkey", [(F.col("l_quantity") > 40, True), (F.col("l_returnflag") == "R", False)]).select("o_orderkey")
+
+
+_BEST = "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderdate DESC, o_orderkey) = 1"
+
+
+def _best_order(t):
+    order = [F.expr("CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"), F.desc("o_totalprice"), F.desc("o_orderdate"), F.col("o_orderkey")]
+    return A.top_k(t.orders, ["o_custkey"], order, 1).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query(f"WITH best AS ({_BEST}) SELECT c_custkey FROM customer LEFT JOIN best ON c_custkey = o_custkey WHERE o_orderstatus = 'O'")
+def f14_mapped_filter(t):
+    d = t.customer.join(_best_order(t), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return P.mapped_filter(d, "O", "o_orderstatus").select("c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def f15_key_lookup(t):
+    keys = t.orders.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return t.customer.join(keys, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT DISTINCT s_suppkey AS id, s_name AS title FROM supplier WHERE contains(lower(s_name), '1') ORDER BY title, id LIMIT 20")
+def f16_entity_search(t):
+    return t.supplier.where(P.text_pred(F.col("s_name"), "contains", "1")).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title")).distinct().orderBy("title", "id").limit(20)
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(strip_accents(text)), 'license') OR contains(CAST(doc_id AS VARCHAR), 'license') ORDER BY doc_id LIMIT 25")
+def f17_entry_search(t):
+    return t.documents.where(P.text_pred(F.col("text"), "contains", "license") | F.contains(F.col("doc_id").cast("string"), F.lit("license"))).select("doc_id").orderBy("doc_id").limit(25)
+
+
+@query("SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def f18_change_log_view(t):
+    return t.events.where("event_type = 'purchase'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Pending' END AS label, coalesce(nullif(o_orderpriority, '5-LOW'), 'none') AS priority FROM orders")
+def f19_projection(t):
+    return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "Finished").when(F.col("o_orderstatus") == "O", "Open").otherwise("Pending").alias("label"), F.coalesce(F.nullif("o_orderpriority", F.lit("5-LOW")), F.lit("none")).alias("priority"))
+
+
+# 2.3 joins
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def j01_inner(t):
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def j02_left(t):
+    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"))
+    return t.customer.select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT o.owner_id, title FROM (SELECT DISTINCT owner_id FROM titles_v) o LEFT JOIN LATERAL (SELECT title FROM titles_v x WHERE x.owner_id = o.owner_id ORDER BY CASE locale WHEN 2 THEN 0 WHEN 8 THEN 1 ELSE 2 END, doc_id LIMIT 1) ON true")
+def j03_lateral_top1(t):
+    order = [F.expr("CASE locale WHEN 2 THEN 0 WHEN 8 THEN 1 ELSE 2 END"), F.col("doc_id")]
+    return J.top1(t.titles_v.select("owner_id").distinct(), t.titles_v, "owner_id", order).select("owner_id", "title")
+
+
+@query("SELECT o_orderkey, coalesce(string_agg(l_partkey || ':' || CAST(l_quantity AS INT), ',' ORDER BY l_linenumber, l_partkey, l_quantity), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def j04_lateral_nest(t):
+    d = J.nest(t.orders.select("o_orderkey"), t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", ["l_linenumber", "l_partkey", "l_quantity"], ["l_partkey", "l_quantity"], "lines")
+    return d.select("o_orderkey", F.array_join(F.transform("lines", lambda x: F.concat(x["l_partkey"].cast("string"), F.lit(":"), x["l_quantity"].cast("int").cast("string"))), ",").alias("lines"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def j05_left_anti(t):
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
+def j06_left_semi(t):
+    return t.part.join(t.lineitem.where("l_discount > 0.09"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("p_partkey")
+
+
+@query("WITH a AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS k FROM orders WHERE o_orderkey % 40 = 0), b AS (SELECT DISTINCT nullif(o_orderpriority, '5-LOW') AS k FROM orders) SELECT a.o_orderkey, a.k FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k")
+def j07_null_safe(t):
+    k = F.nullif("o_orderpriority", F.lit("5-LOW")).alias("k")
+    return J.null_safe_join(t.orders.where("o_orderkey % 40 = 0").select("o_orderkey", k), t.orders.select(k).distinct(), ["k"]).select("o_orderkey", "k")
+
+
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, b.o_orderstatus AS old_status, a.o_orderstatus AS new_status FROM before_v b FULL JOIN after_v a ON a.o_orderkey = b.o_orderkey")
+def j08_full_outer(t):
+    b, a = t.before_v.select("o_orderkey", F.col("o_orderstatus").alias("old_status")), t.after_v.select("o_orderkey", F.col("o_orderstatus").alias("new_status"))
+    return b.join(a, "o_orderkey", "full_outer").select("o_orderkey", "old_status", "new_status")
+
+
+@query("SELECT a.s_suppkey AS a, b.c_custkey AS b FROM supplier a JOIN customer b ON abs(a.s_acctbal - b.c_acctbal) <= 5")
+def j09_band(t):
+    return J.band_join(t.supplier.select(F.col("s_suppkey").alias("a"), "s_acctbal"), t.customer.select(F.col("c_custkey").alias("b"), "c_acctbal"), "s_acctbal", "c_acctbal", 5).select("a", "b")
+
+
+@query("SELECT entry_id, song_id FROM entries_v JOIN songs_v ON core_title = title AND abs(raw_duration - duration) <= 2000")
+def j10_equi_band(t):
+    return J.equi_band_join(t.entries_v.select("entry_id", F.col("core_title").alias("title"), "raw_duration"), t.songs_v.select("song_id", "title", "duration"), ["title"], "raw_duration", "duration", 2000).select("entry_id", "song_id")
+
+
+@query("SELECT song_id, 'bit' || b AS category FROM songs_v, (SELECT unnest([1, 2, 4, 8]) AS b) WHERE genre_tag & b <> 0")
+def j11_lateral_categories(t):
+    keys = F.array_compact(F.array(*[F.when(F.col("genre_tag").bitwiseAND(F.lit(b).cast("long")) != 0, F.lit(f"bit{b}")) for b in (1, 2, 4, 8)]))
+    return t.songs_v.select("song_id", F.explode(keys).alias("category"))
+
+
+_U = "SELECT {id}, {k} FROM {t} QUALIFY count(*) OVER (PARTITION BY {k}) = 1"
+
+
+@query(
+    """WITH l AS (SELECT p_partkey AS a, p_name, p_brand, p_type, p_retailprice FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey AS b, p_name, p_brand, p_type, p_retailprice FROM part WHERE p_partkey % 3 = 0),
+    m0 AS (SELECT a, b FROM (SELECT * FROM l QUALIFY count(*) OVER (PARTITION BY p_name, p_brand, p_type) = 1) x JOIN (SELECT * FROM r QUALIFY count(*) OVER (PARTITION BY p_name, p_brand, p_type) = 1) y USING (p_name, p_brand, p_type)),
+    l1 AS (SELECT * FROM l WHERE a NOT IN (SELECT a FROM m0)), r1 AS (SELECT * FROM r WHERE b NOT IN (SELECT b FROM m0)),
+    m1 AS (SELECT a, b FROM (SELECT * FROM l1 QUALIFY count(*) OVER (PARTITION BY p_name, p_retailprice) = 1) x JOIN (SELECT * FROM r1 QUALIFY count(*) OVER (PARTITION BY p_name, p_retailprice) = 1) y USING (p_name, p_retailprice))
+    SELECT a, b, 'both' AS "match", 0 AS step FROM m0 UNION ALL SELECT a, b, 'both', 1 FROM m1 UNION ALL SELECT a, NULL, 'left_only', NULL FROM l1 WHERE a NOT IN (SELECT a FROM m1) UNION ALL SELECT NULL, b, 'right_only', NULL FROM r1 WHERE b NOT IN (SELECT b FROM m1)"""
+)
+def j12_waterfall_merge(t):
+    cols = ["p_name", "p_brand", "p_type", "p_retailprice"]
+    left = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), *cols)
+    right = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("b"), *cols)
+    return J.waterfall_merge(left, right, "a", "b", [["p_name", "p_brand", "p_type"], ["p_name", "p_retailprice"]])
+
+
+@query("SELECT p_partkey, i AS pos, string_split(p_name, ' ')[i] AS a, string_split(p_type, ' ')[i] AS b FROM part, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i) WHERE i <= greatest(len(string_split(p_name, ' ')), len(string_split(p_type, ' ')))")
+def j13_zip(t):
+    return t.part.select("p_partkey", F.posexplode(J.zip_arrays(F.split("p_name", " "), F.split("p_type", " "))).alias("pos", "z")).select("p_partkey", (F.col("pos") + 1).alias("pos"), F.col("z.a").alias("a"), F.col("z.b").alias("b"))
+
+
+@query("SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id")
+def j14_self_pairs(t):
+    return J.self_pairs(t.documents.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("h")), "h", "doc_id").select("a", "b")
+
+
+@query("SELECT n_name, n_nationkey AS pos, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def j15_map_lookup(t):
+    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.col("n_nationkey").alias("pos"), "r_name")
+
+
+@query("SELECT DISTINCT x.name, owner_id FROM (SELECT DISTINCT s_name AS name FROM supplier WHERE s_suppkey % 3 = 0) x JOIN (SELECT s_name AS name, s_suppkey AS owner_id FROM supplier UNION SELECT 'Customer#' || substr(s_name, 10), s_suppkey FROM supplier) y ON x.name = y.name")
+def j16_name_join(t):
+    s = t.supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("owner_id"))
+    alias = t.supplier.select(F.concat(F.lit("Customer#"), F.expr("substr(s_name, 10)")).alias("name"), F.col("s_suppkey").alias("owner_id"))
+    return J.name_join(t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name")).distinct(), s, alias, "name")
+
+
+# 2.4 aggregates
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def a01_count(t):
+    return _count(t.events, "event_type")
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY o_orderpriority")
+def a02_filtered_counts(t):
+    return t.orders.groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+
+
+@query("SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_suppkey")
+def a03_count_distinct(t):
+    return t.lineitem.groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders"))
+
+
+@query("SELECT p_partkey, coalesce(sum(l_quantity), 0) AS quantity FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_discount > 0.09) ON p_partkey = l_partkey GROUP BY p_partkey")
+def a04_sum0(t):
+    return t.part.join(t.lineitem.where("l_discount > 0.09"), F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("p_partkey").agg(A.sum0("l_quantity").alias("quantity"))
+
+
+@query("SELECT o_custkey, max(o_totalprice) - min(o_totalprice) AS span, min(o_orderkey) AS first FROM orders GROUP BY o_custkey")
+def a05_min_max(t):
+    return t.orders.groupBy("o_custkey").agg((F.max("o_totalprice") - F.min("o_totalprice")).alias("span"), F.min("o_orderkey").alias("first"))
+
+
+@query("SELECT p_brand, coalesce(bit_or(CAST(p_size AS BIGINT)) FILTER (p_size > 10), 0) AS bits FROM part GROUP BY p_brand")
+def a06_bit_or0(t):
+    return t.part.withColumn("bits", F.when(F.col("p_size") > 10, F.col("p_size").cast("long"))).groupBy("p_brand").agg(A.bit_or0("bits").alias("bits"))
+
+
+@query("SELECT l_orderkey, string_agg(coalesce(nullif(l_returnflag, 'N'), '-'), ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS flags FROM lineitem GROUP BY l_orderkey")
+def a07_ordered_array(t):
+    d = t.lineitem.withColumn("flag", F.nullif("l_returnflag", F.lit("N")))
+    return d.groupBy("l_orderkey").agg(A.ordered_array(["l_linenumber", "l_partkey", "l_quantity"], "flag").alias("f")).select("l_orderkey", F.array_join("f", ",", "-").alias("flags"))
+
+
+@query("SELECT o_custkey, count(*) AS n, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")
+def a08_ordered_objects(t):
+    d = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("o"))
+    return d.select("o_custkey", F.size("o").cast("long").alias("n"), F.element_at("o", 1)["o_orderkey"].alias("first_order"))
+
+
+@query("SELECT r_name, string_agg(n_name, '; ' ORDER BY n_name) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
+def a09_string_agg(t):
+    return t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "; ").alias("nations"))
+
+
+@query("SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_suppkey")
+def a10_sorted_set(t):
+    return t.lineitem.groupBy("l_suppkey").agg(F.array_join(A.sorted_set("l_returnflag"), ",").alias("flags"))
+
+
+@query("WITH g AS (SELECT l_orderkey, string_agg(DISTINCT l_linenumber, ',' ORDER BY l_linenumber) AS s FROM lineitem GROUP BY l_orderkey) SELECT w.l_orderkey AS wanted, g.l_orderkey FROM (SELECT * FROM g WHERE l_orderkey % 500 = 3) w JOIN g USING (s)")
+def a11_equal_set(t):
+    d = t.lineitem.select("l_orderkey", "l_linenumber")
+    return A.find_equal_set(d, d.where("l_orderkey % 500 = 3").withColumnRenamed("l_orderkey", "wanted"), "l_orderkey", "l_linenumber", "wanted")
+
+
+@query("WITH c AS (SELECT l_orderkey, l_quantity AS q, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_orderkey, max(n) AS most, list(q ORDER BY q) AS l FROM c GROUP BY l_orderkey) SELECT m.l_orderkey, CASE WHEN most > 1 THEN (SELECT min(q) FROM c WHERE c.l_orderkey = m.l_orderkey AND c.n = most) ELSE l[(len(l) + 1) // 2] END AS representative FROM m")
+def a12_representative(t):
+    return A.representative(t.lineitem.select("l_orderkey", "l_quantity"), "l_orderkey", "l_quantity")
+
+
+@query("SELECT o_custkey, min(CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE)) FILTER (o_orderkey % 7 <> 0) AS first_date FROM orders GROUP BY o_custkey")
+def a13_earliest_date(t):
+    text = F.when(F.col("o_orderkey") % 7 == 0, "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return t.orders.withColumn("d", text).groupBy("o_custkey").agg(A.earliest_date(F.col("d")).alias("first_date"))
+
+
+@query("SELECT l_partkey, l_suppkey, n FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) QUALIFY rank() OVER (PARTITION BY l_partkey ORDER BY n DESC) = 1")
+def a14_majority(t):
+    return A.majority(t.lineitem, "l_partkey", "l_suppkey")
+
+
+@query("SELECT " + ", ".join(f"(SELECT count(*) FROM {n}) AS {n}" for n in _ALL))
+def a15_table_counts(t):
+    out = None
+    for n in _ALL:
+        one = getattr(t, n).agg(F.count(F.lit(1)).alias(n))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
+@query("SELECT c_nationkey, min_by(c_mktsegment, c_custkey) FILTER (c_custkey % 3 <> 0) AS segment FROM customer GROUP BY c_nationkey")
+def a17_first_non_blank(t):
+    d = t.customer.withColumn("s", F.when(F.col("c_custkey") % 3 == 0, "  ").otherwise(F.col("c_mktsegment")))
+    return d.groupBy("c_nationkey").agg(A.first_non_blank("s", "c_custkey").alias("segment"))
+
+
+@query("SELECT CAST(d AS INT) AS decade, CAST(y AS INT) AS year, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 9 <> 0 THEN year(o_orderdate) END AS y, y // 10 * 10 AS d FROM orders) GROUP BY GROUPING SETS ((d), (d, y)) HAVING grouping(y) = 1 OR d IS NOT NULL")
+def a18_decade_year(t):
+    d = t.orders.withColumn("day", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate")))
+    return A.rollup_decade_year(d, "day").select("decade", "year", "n")
+
+
+_NODES = [("classical", 1), ("country", 2), ("dance", 4 | 8), ("pop", 32)]
+
+
+@query("SELECT key, count(*) AS n FROM songs_v JOIN (VALUES " + ", ".join(f"('{k}', {m})" for k, m in _NODES) + ") v(key, mask) ON genre_tag & mask <> 0 GROUP BY key")
+def a19_bitmask_rollup(t):
+    return A.bitmask_rollup(t.songs_v, "genre_tag", t.spark.createDataFrame(_NODES, "key string, mask long"))
+
+
+@query("SELECT coalesce(sub, 'Other ' || p_brand) AS bucket, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS w FROM part) LEFT JOIN (VALUES ('BRASS', 'Brass'), ('STEEL', 'Steel')) v(word, sub) ON upper(w) = word GROUP BY bucket")
+def a20_sub_genre(t):
+    table = F.broadcast(t.spark.createDataFrame([("BRASS", "Brass"), ("STEEL", "Steel")], "word string, sub string"))
+    d = t.part.select("p_brand", F.explode(F.split("p_type", " ")).alias("w")).join(table, F.upper("w") == F.col("word"), "left")
+    return _count(d.select(F.coalesce("sub", F.concat(F.lit("Other "), "p_brand")).alias("bucket")), "bucket")
+
+
+# 2.5 windows
+
+
+@query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_name) NULLS LAST, p_partkey) AS place FROM part QUALIFY place BETWEEN 25 AND 48")
+def w01_top_page(t):
+    return A.top_page(t.part, ["p_brand"], [F.lower("p_name").asc_nulls_last(), F.col("p_partkey")], 2).select("p_brand", "p_partkey", "place")
+
+
+@query("SELECT owner_id, title FROM titles_v QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY CASE WHEN locale = 2 THEN 0 WHEN locale = 8 THEN 1 WHEN fallback THEN 2 ELSE 3 END, locale, doc_id) = 1")
+def w02_priority_pick(t):
+    order = [F.expr("CASE WHEN locale = 2 THEN 0 WHEN locale = 8 THEN 1 WHEN fallback THEN 2 ELSE 3 END"), F.col("locale"), F.col("doc_id")]
+    return A.top_k(t.titles_v, ["owner_id"], order, 1).select("owner_id", "title")
+
+
+@query("SELECT entry_id, song_id FROM entries_v JOIN songs_v ON core_title = title AND abs(raw_duration - duration) <= 2000 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY abs(raw_duration - duration), song_id) <= 5")
+def w03_top_k(t):
+    d = J.equi_band_join(t.entries_v.select("entry_id", F.col("core_title").alias("title"), "raw_duration"), t.songs_v.select("song_id", "title", "duration"), ["title"], "raw_duration", "duration", 2000)
+    return A.top_k(d, ["entry_id"], [F.abs(F.col("raw_duration") - F.col("duration")), F.col("song_id")], 5).select("entry_id", "song_id")
+
+
+@query("SELECT count(*) FILTER (c_custkey <= 333) AS place, CAST(ceil(count(*) FILTER (c_custkey <= 333) / 25) AS BIGINT) AS page FROM customer")
+def w04_locate(t):
+    return A.locate(t.customer, "c_custkey", 333, 25)
+
+
+@query(_BEST)
+def w05_best_mapping(t):
+    return _best_order(t)
+
+
+@query("WITH e AS (SELECT l_suppkey, l_partkey, min(l_linenumber) AS place FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL), n AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 2 = 1) SELECT n.l_suppkey, n.l_partkey, coalesce((SELECT max(place) FROM e WHERE e.l_suppkey = n.l_suppkey), 0) + row_number() OVER (PARTITION BY n.l_suppkey ORDER BY n.l_partkey) AS place FROM n ANTI JOIN e ON n.l_suppkey = e.l_suppkey AND n.l_partkey = e.l_partkey")
+def w06_append_order(t):
+    e = t.lineitem.where("l_orderkey % 2 = 0").groupBy("l_suppkey", "l_partkey").agg(F.min("l_linenumber").alias("place"))
+    n = t.lineitem.where("l_orderkey % 2 = 1").select("l_suppkey", "l_partkey").distinct()
+    return A.append_order(e, n, "l_suppkey", "l_partkey", "place")
+
+
+@query("SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS place FROM lineitem")
+def w07_dense_order(t):
+    d = t.lineitem.groupBy("l_orderkey").agg(A.ordered_array(["l_linenumber", "l_partkey", "l_quantity"], "l_partkey").alias("p"))
+    return d.select("l_orderkey", F.posexplode("p").alias("i", "l_partkey")).select("l_orderkey", "l_partkey", (F.col("i") + 1).alias("place"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1")
+def w08_unique_rows(t):
+    return J.unique_rows(t.lineitem, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+# 2.6 sorts, limits
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderstatus DESC NULLS LAST, nullif(o_orderpriority, '5-LOW') ASC NULLS LAST, o_orderkey LIMIT 200")
+def o01_multi_sort(t):
+    d = t.orders.withColumn("p", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    return A.apply_sort(d, [("o_orderstatus", False), ("p", True)], "o_orderkey").limit(200).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part ORDER BY array_to_string(list_sort(string_split(p_name, ' ')), ''), p_partkey LIMIT 100")
+def o02_sort_by_array(t):
+    return t.part.withColumn("k", F.array_join(F.sort_array(F.split("p_name", " ")), "")).orderBy("k", "p_partkey").limit(100).select("p_partkey")
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, 1 AS page, CAST(ceil((SELECT count(*) FROM orders) / 100) AS INT) AS page_count FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def o03_paginate(t):
+    return A.paginate(t.orders, 10**6, 100, [("o_totalprice", False)], "o_orderkey").select("o_orderkey", "total", "page", "page_count")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 500")
+def o04_top_n(t):
+    return t.lineitem.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey").limit(500).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query("SELECT l_orderkey, max(l_extendedprice) AS best FROM lineitem GROUP BY l_orderkey ORDER BY best DESC, l_orderkey LIMIT 100")
+def o05_sort_by_member(t):
+    return t.lineitem.groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("best")).orderBy(F.desc("best"), "l_orderkey").limit(100)
+
+
+@query("SELECT code FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'r' ELSE 'x' END || p_partkey AS code, p_partkey FROM part) ORDER BY CASE substr(code, 1, 1) WHEN 'm' THEN 0 WHEN 'r' THEN 1 ELSE 2 END, CASE WHEN substr(code, 1, 1) <> 'x' THEN p_partkey END NULLS FIRST, code LIMIT 300")
+def o06_code_order(t):
+    d = t.part.select(F.concat(F.expr("CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'r' ELSE 'x' END"), F.col("p_partkey").cast("string")).alias("code"))
+    return d.orderBy(C.code_sort_key(F.col("code"))).limit(300)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate NULLS LAST, o_orderkey) = 1")
+def o07_release_order(t):
+    order = [F.expr("CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"), F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey")]
+    return A.top_k(t.orders, ["o_custkey"], order, 1).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_name, c_custkey) - 1 AS legacy_id FROM customer")
+def o08_sequence_ids(t):
+    return A.sequence_ids(t.customer, ["c_acctbal", "c_name", "c_custkey"], "legacy_id").select("c_custkey", "legacy_id")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY coalesce(nullif(c_mktsegment, 'BUILDING'), c_name), c_custkey LIMIT 100")
+def o09_sort_tracks(t):
+    return t.customer.orderBy(F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.col("c_name")), "c_custkey").limit(100).select("c_custkey")
+
+
+# 2.7 set operations
+
+
+@query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
+def u01_union(t):
+    return t.nation.select(F.col("n_name").alias("name")).union(t.region.select("r_name")).distinct()
+
+
+@query("SELECT c_nationkey AS nation, 'customer' AS side FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier")
+def u02_union_all(t):
+    return t.customer.select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("side")).unionByName(t.supplier.select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("side")))
+
+
+@query("SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) || ',MAPPED' AS tags FROM orders GROUP BY o_custkey")
+def u03_array_concat(t):
+    return t.orders.groupBy("o_custkey").agg(F.array_join(F.concat(A.sorted_set("o_orderstatus"), F.array(F.lit("MAPPED"))), ",").alias("tags"))
+
+
+@query("SELECT p_partkey, p_name, NULL AS p_brand FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, NULL, p_brand FROM part WHERE p_partkey % 2 = 1")
+def u04_stack(t):
+    return t.part.where("p_partkey % 2 = 0").select("p_partkey", "p_name").unionByName(t.part.where("p_partkey % 2 = 1").select("p_partkey", "p_brand"), allowMissingColumns=True)
+
+
+@query("WITH s AS (SELECT l_orderkey, list(DISTINCT l_linenumber) AS a, list(DISTINCT l_linenumber) FILTER (l_quantity > 25) AS b FROM lineitem GROUP BY l_orderkey), c AS (SELECT l_orderkey, len(a) AS n, coalesce(len(b), 0) AS k FROM s) SELECT l_orderkey, CASE WHEN n = k THEN 'equal' WHEN k = 0 THEN 'superset' ELSE 'superset' END AS relation FROM c")
+def u05_set_algebra(t):
+    d = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("a"), F.collect_set(F.when(F.col("l_quantity") > 25, F.col("l_linenumber"))).alias("b"))
+    return d.select("l_orderkey", A.set_compare(F.col("a"), F.col("b")).alias("relation"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END, l_quantity DESC, l_partkey, l_linenumber, l_extendedprice) = 1")
+def u06_dedupe_best(t):
+    order = [F.expr("CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END"), F.desc("l_quantity"), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_extendedprice")]
+    return A.dedupe_best(t.lineitem, ["l_orderkey"], order).select("l_orderkey", "l_partkey", "l_quantity")
+
+
+# 2.8 scalar functions
+
+_EN = "(SELECT doc_id, substr(text, 1, 200) AS x FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+
+
+def _ascii_docs(t):
+    return t.documents.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.substring("text", 1, 200).alias("x"))
+
+
+@query()
+def x01_simplify_punctuation(t):
+    return t.documents.select("doc_id", X.simplify_punctuation(F.col("text")).alias("x"))
+
+
+@query("SELECT doc_id, translate(text, '_[]{};\"|', '-()(),''|') AS x FROM documents")
+def x01_translate_part(t):
+    return t.documents.select("doc_id", F.translate("text", "_[]{};\"|", "-()(),'|").alias("x"))
+
+
+@query()
+def x02_normalize_text(t):
+    return t.documents.select("doc_id", X.normalize_text(F.col("text")).alias("x"))
+
+
+@query("SELECT entry_id, regexp_replace(lower(raw_title), '[(\\[{](?:ft\\.?|feat\\.?|featuring|with).*[)\\]}](?:\\s*|$)', '') AS x FROM entries_v")
+def x03_normalize_title(t):
+    return t.entries_v.select("entry_id", X.normalize_title(F.col("raw_title"), normal=X.ascii_text).alias("x"))
+
+
+@query("SELECT entry_id, trim(regexp_replace(lower(raw_title), '\\s*\\(feat\\.? .*\\)\\s*$', '')) AS x FROM entries_v")
+def x04_normalize_core_title(t):
+    return t.entries_v.select("entry_id", X.normalize_core_title(F.col("raw_title"), normal=X.ascii_text).alias("x"))
+
+
+@query("SELECT p_partkey, unnest(list_filter(list_transform(string_split(replace(p_name, ' ', ' & ') || ', ' || p_type, ','), lambda y: trim(y)), lambda y: y <> '')) AS x FROM part WHERE p_partkey % 2 = 5 UNION ALL SELECT p_partkey, trim(unnest(string_split(replace(p_name, ' ', ','), ','))) FROM part")
+def x05_parse_artists(t):
+    return t.part.select("p_partkey", F.explode(X.parse_artists(F.replace("p_name", F.lit(" "), F.lit(" & ")))).alias("x"))
+
+
+@query("SELECT p_partkey, replace(lower(p_name), ' ', ',') AS x FROM part")
+def x06_normalize_artist(t):
+    return t.part.select("p_partkey", X.normalize_artist(F.replace("p_name", F.lit(" "), F.lit(" , "))).alias("x"))
+
+
+@query("SELECT entry_id, lower(regexp_extract(raw_title, '\\(feat\\. (.*)\\)', 1)) AS x FROM entries_v WHERE raw_title LIKE '%(feat.%'")
+def x07_guest_credits(t):
+    return t.entries_v.select("entry_id", F.explode(F.array_distinct(X.guest_credits(F.col("raw_title")))).alias("x"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(x, '[!-#%-*,-/:;?@\\[-\\]_{{}}=~|]', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM {_EN}")
+def x08_remove_punctuation(t):
+    return _ascii_docs(t).select("doc_id", X.remove_punctuation(F.col("x")).alias("x"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\p{C}', '', 'g') AS x FROM documents")
+def x09_strip_controls(t):
+    return t.documents.select("doc_id", X.strip_controls(F.col("text")).alias("x"))
+
+
+@query("SELECT doc_id, replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), 'ß', 'ss') AS x FROM documents")
+def x10_fold_latin(t):
+    return t.documents.select("doc_id", X.fold_latin(F.col("text")).alias("x"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS x FROM {_EN}")
+def x11_normalize_light(t):
+    return _ascii_docs(t).select("doc_id", X.normalize_light(F.col("x")).alias("x"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 2 WHEN 'es' THEN 4 WHEN 'fr' THEN 8 ELSE 1 END AS bit FROM documents")
+def x12_locale_bit(t):
+    return t.documents.select("doc_id", C.locale_bit(F.col("lang")).alias("bit"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS x FROM part")
+def x13_select_localized(t):
+    names = F.struct(F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("ja"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("zt"), F.lit(" ").alias("zs"), F.lit(None).cast("string").alias("ko"), F.lit("").alias("fr"), F.col("p_name").alias("en"))
+    return t.part.select("p_partkey", C.select_localized(names, "ja").alias("x"))
+
+
+@query("SELECT owner_id, coalesce(min_by(title, (CASE WHEN locale = 8 THEN 0 WHEN locale = 2 THEN 1 WHEN fallback THEN 50 ELSE 99 END, locale, title)) FILTER (trim(title) <> ''), '') AS title FROM titles_v GROUP BY owner_id")
+def x14_display_title(t):
+    d = t.titles_v.groupBy("owner_id").agg(F.collect_list(F.struct("locale", "fallback", "title")).alias("titles"))
+    return d.select("owner_id", C.display_title(F.col("titles"), {8: 0, 2: 1}).alias("title"))
+
+
+@query("SELECT source, CASE WHEN bool_or(locale = 4) THEN 4 WHEN bool_or(locale = 2) AND count(DISTINCT locale) = 1 THEN 2 ELSE 8 END AS locale FROM (SELECT source, CASE lang WHEN 'en' THEN 2 WHEN 'es' THEN 4 WHEN 'fr' THEN 8 ELSE 1 END AS locale FROM documents) GROUP BY source")
+def x15_fallback_locale(t):
+    d = t.documents.select("source", C.locale_bit(F.col("lang")).alias("locale")).groupBy("source").agg(F.collect_set("locale").alias("l"))
+    return d.select("source", C.infer_fallback_locale(F.lit(4), F.col("l"), F.size("l") == 1, F.lit(8)).alias("locale"))
+
+
+_BITS = {"CLASSICAL": 1, "COUNTRY": 2, "DANCE": 4, "HIPHOP": 8}
+
+
+@query("SELECT song_id, " + " || ".join(f"CASE WHEN genre_tag & {b} <> 0 THEN '{n},' ELSE '' END" for n, b in _BITS.items()) + " AS names, genre_tag & 15 AS mask FROM songs_v")
+def x16_flag_codecs(t):
+    names = F.array_join(C.decode_flags(F.col("genre_tag"), _BITS), ",")
+    return t.songs_v.select("song_id", F.when(names == "", "").otherwise(F.concat(names, F.lit(","))).alias("names"), C.encode_flags(names, _BITS).alias("mask"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'EP' WHEN 1 THEN 'SINGLE' ELSE 'ALBUM' END AS kind FROM part")
+def x17_release_type(t):
+    title = F.concat("p_name", F.expr("CASE p_partkey % 3 WHEN 0 THEN ' - EP' WHEN 1 THEN ' - Single' ELSE '' END"))
+    return t.part.select("p_partkey", C.release_type(title).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'FEAT' WHEN p_partkey % 4 = 1 THEN 'REMIX' WHEN p_partkey % 4 = 2 THEN 'MAIN' ELSE 'FEAT' END AS role FROM part")
+def x18_infer_role(t):
+    title = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' (feat. ', p_brand, ')') WHEN 1 THEN concat(p_name, ' (', p_brand, ' Remix)') ELSE p_name END")
+    credit = F.expr("CASE WHEN p_partkey % 4 = 3 THEN 'Nobody' ELSE p_brand END")
+    return t.part.select("p_partkey", C.infer_role(F.col("p_brand"), title, credit).alias("role"))
+
+
+@query("SELECT doc_id, ms // 60000 || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') AS x, ms // 1000 * 1000 AS back FROM (SELECT doc_id, n_chars * 10 + 500 AS ms FROM documents)")
+def x19_duration_codec(t):
+    x = C.format_duration(F.col("n_chars") * 10)
+    return t.documents.select("doc_id", x.alias("x"), C.parse_duration(x).alias("back"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN date_trunc('month', o_orderdate)::DATE WHEN 2 THEN date_trunc('year', o_orderdate)::DATE END AS d FROM orders")
+def x20_tolerant_date(t):
+    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM') WHEN 2 THEN date_format(o_orderdate, 'yyyy') ELSE 'unknown' END")
+    return t.orders.select("o_orderkey", C.to_date_tolerant(text).alias("d"))
+
+
+@query()
+def x21_similarity(t):
+    from .functions.similarity import length_bound, title_similarity
+
+    d = J.equi_band_join(t.entries_v.select("entry_id", "artist_id", "raw_duration", "core_title"), t.songs_v.join(t.song_artists_v, "song_id").select("song_id", "artist_id", "duration", "title"), ["artist_id"], "raw_duration", "duration", 6000)
+    return d.where(length_bound(F.col("core_title"), F.col("title"), M.TITLE_FLOOR)).select("entry_id", "song_id", title_similarity(F.col("core_title"), F.col("title")).alias("ratio"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k')) AS k FROM events")
+def x22_json_first(t):
+    return t.events.select("event_id", C.json_first(F.col("props"), ["$.missing", "$.k"]).alias("k"))
+
+
+@query("SELECT p_partkey, locale, title FROM (SELECT p_partkey, 'en' AS locale, p_name AS title FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'und', p_name FROM part WHERE p_partkey % 2 = 1)")
+def x23_title_rows(t):
+    loose = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.create_map(F.lit("en"), F.col("p_name")))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", F.explode(C.title_rows(loose)).alias("r")).select("p_partkey", "r.locale", "r.title")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment < c_name THEN c_mktsegment || ', ' || c_name ELSE c_name || ', ' || c_mktsegment END AS x FROM customer")
+def x24_join_distinct(t):
+    return t.customer.select("c_custkey", C.join_distinct(F.col("c_name"), F.col("c_mktsegment"), F.col("c_name"), F.lit(None).cast("string")).alias("x"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'r' ELSE 'm' END AS kind, p_partkey AS number FROM part")
+def x25_parse_code(t):
+    code = C.parse_code(F.expr("concat(CASE p_partkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'r' ELSE '' END, p_partkey)"))
+    return t.part.select("p_partkey", code["kind"].alias("kind"), code["number"].alias("number"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)/([a-z]{2})/(\\d+)', 3) AS code FROM pages WHERE regexp_matches(url, '^https?://([^/?#]+)/([a-z]{2})/(\\d+)')")
+def x26_code_from_url(t):
+    c = C.code_from_url(F.col("url"), [("PAGE", r"^https?://[^/?#]+/[a-z]{2}/(\d+)", "")])
+    return t.pages.select("page_id", c["code"].alias("code")).where("code IS NOT NULL")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 7 WHEN p_partkey = 0 THEN 7 ELSE p_partkey END AS x FROM part")
+def x27_pos_int(t):
+    return t.part.select("p_partkey", C.pos_int(F.expr("CASE WHEN p_partkey % 3 = 0 THEN concat('x', p_partkey) ELSE CAST(p_partkey AS STRING) END"), 7).alias("x"))
+
+
+@query("SELECT entry_id, song_id, CASE WHEN abs(raw_duration - duration) > 2000 THEN 'duration' ELSE '' END AS flags FROM entries_v JOIN songs_v ON core_title = title AND entry_id = song_id + 100000")
+def x28_compare_flags(t):
+    d = t.entries_v.join(t.songs_v, (F.col("core_title") == F.col("title")) & (F.col("entry_id") == F.col("song_id") + 100000))
+    return d.select("entry_id", "song_id", F.array_join(C.compare_flags(F.col("raw_title"), F.col("title"), F.col("raw_duration"), F.col("duration")), ",").alias("flags"))
+
+
+@query("SELECT event_id FROM events WHERE contains(json_extract_string(props, '$.k'), '7')")
+def x29_json_values(t):
+    return t.events.where(C.json_values_contain(F.col("props"), "7")).select("event_id")
+
+
+@query("SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS base FROM pages")
+def x30_artwork_url(t):
+    return t.pages.select("page_id", C.artwork_base(C.artwork_url(F.col("url"), "https://")).alias("base"))
+
+
+# 2.9 entity resolution and curation
+
+
+def _songs(t):
+    a = t.song_artists_v.groupBy("song_id").agg(F.array_sort(F.collect_set("artist_id")).alias("artists"))
+    return t.songs_v.withColumn("normalized_title", F.col("title")).join(a, "song_id")
+
+
+def _entries(t):
+    return t.entries_v.withColumn("artists", F.array("artist_id"))
+
+
+@query("SELECT entry_id, a1 AS code_artist, (SELECT min(artist_id) FROM song_artists_v WHERE artist_id = a1) AS name_artist FROM (SELECT entry_id, artist_id AS a1 FROM entries_v)")
+def m01_resolve_artists(t):
+    ids = t.song_artists_v.select("artist_id").distinct()
+    e = t.entries_v.select("entry_id", F.array(F.concat(F.lit("C"), "artist_id")).alias("codes"), F.array(F.concat(F.lit("N"), "artist_id"), F.lit("nobody")).alias("names"))
+    d = M.resolve_artists(e, ids.select("artist_id", F.concat(F.lit("C"), "artist_id").alias("code")), ids.select("artist_id", F.concat(F.lit("N"), "artist_id").alias("name")))
+    return d.select("entry_id", F.try_element_at("code_artists", F.lit(1)).alias("code_artist"), F.try_element_at("name_artists", F.lit(1)).alias("name_artist"))
+
+
+_EXACT = "SELECT entry_id, e.artist_id, s.song_id, CASE WHEN n = 1 THEN 'exact' ELSE 'subset' END AS level FROM entries_v e JOIN songs_v s ON core_title = title AND abs(raw_duration - duration) <= 2000 JOIN song_artists_v a ON a.song_id = s.song_id AND a.artist_id = e.artist_id JOIN (SELECT song_id, count(DISTINCT artist_id) AS n FROM song_artists_v GROUP BY song_id) c ON c.song_id = s.song_id"
+
+
+@query(f"SELECT level, count(*) AS n FROM ({_EXACT}) GROUP BY level")
+def m02_artist_level(t):
+    return _count(M.exact_candidates(_entries(t), _songs(t)), "level")
+
+
+@query("SELECT p_partkey, contains(p_name, string_split(p_type, ' ')[1]) AS credited FROM part")
+def m03_credited(t):
+    return t.part.select("p_partkey", F.contains("p_name", F.split("p_type", " ")[0]).alias("_x"), M.all_credited(F.array(F.split("p_type", " ")[0]), F.array(F.lit("-"))).alias("_y")).select("p_partkey", (F.col("_x") | F.col("_y")).alias("credited"))
+
+
+_AUTH = "SELECT entry_id, song_id, max(authority) AS authority FROM (SELECT entry_id, 1 AS authority, apple_id AS authority_code FROM entries_v UNION ALL SELECT entry_id, 0, isrc FROM entries_v) JOIN song_authorities_v USING (authority, authority_code) GROUP BY ALL"
+_AUTH_OUT = f"SELECT entry_id, song_id, CASE WHEN authority = 1 THEN 'APPLE' ELSE 'EXACT' END AS method, CASE WHEN n > 1 THEN 0.92 WHEN authority = 1 THEN 1.0 ELSE 0.98 END AS confidence, CASE WHEN n = 1 THEN 'confirmed' ELSE 'pending' END AS status FROM (SELECT *, count(*) OVER (PARTITION BY entry_id) AS n FROM ({_AUTH}))"
+_EXACT_OUT = f"SELECT entry_id, song_id, 'EXACT' AS method, CASE level WHEN 'exact' THEN 0.9 ELSE 0.738 END AS confidence, CASE WHEN n = 1 AND level = 'exact' THEN 'confirmed' ELSE 'pending' END AS status FROM (SELECT *, count(*) OVER (PARTITION BY entry_id) AS n FROM ({_EXACT}))"
+
+
+@query(_AUTH_OUT)
+def m04_match_authority(t):
+    return M.match_by_authority(t.entries_v, t.song_authorities_v)
+
+
+@query(_EXACT_OUT)
+def m05_match_exact(t):
+    return M.match_exact(_entries(t), _songs(t))
+
+
+@query()
+def m06_match_fuzzy(t):
+    return M.match_fuzzy(_entries(t), _songs(t))
+
+
+_CASCADE = f"WITH auth AS ({_AUTH_OUT}) SELECT * FROM auth UNION ALL SELECT * FROM ({_EXACT_OUT}) WHERE entry_id NOT IN (SELECT entry_id FROM auth)"
+
+
+@query(_CASCADE)
+def m07_cascade(t):
+    return M.match_cascade(_entries(t), _songs(t), t.song_authorities_v)
+
+
+_PAIRS = "SELECT e.entry_id, s.song_id, unnest(list_filter([CASE WHEN core_title <> title THEN 'title' END, CASE WHEN abs(raw_duration - duration) > 2000 THEN 'duration' END, CASE WHEN NOT EXISTS (SELECT 1 FROM song_artists_v a WHERE a.song_id = s.song_id AND a.artist_id = e.artist_id) THEN 'artist' END], lambda x: x IS NOT NULL)) AS reason"
+
+
+@query(f"{_PAIRS} FROM ({_AUTH}) h JOIN entries_v e ON e.entry_id = h.entry_id JOIN songs_v s ON s.song_id = h.song_id")
+def m08_conflict_issues(t):
+    h = M.match_by_authority(t.entries_v, t.song_authorities_v).select("entry_id", "song_id")
+    d = h.join(_entries(t).withColumnRenamed("artists", "ea"), "entry_id").join(_songs(t), "song_id").withColumn("level", M.artist_level(F.col("ea"), F.col("artists")))
+    return M.conflict_issues(d)
+
+
+_ISRC = "SELECT doc_id AS entry_id, lower(substr(text, 1, 40)) AS core_title, n_chars AS raw_duration, CASE WHEN doc_id % 3 <> 0 THEN source || lang || doc_id % 10 END AS isrc, lang AS artist FROM documents"
+
+
+def _coded_docs(t):
+    return t.documents.select(F.col("doc_id").alias("entry_id"), F.lower(F.substring("text", 1, 40)).alias("core_title"), F.col("n_chars").alias("raw_duration"), F.when(F.col("doc_id") % 3 != 0, F.concat("source", "lang", (F.col("doc_id") % 10).cast("string"))).alias("isrc"), F.col("lang").alias("artist"))
+
+
+@query(f"WITH d AS ({_ISRC}) SELECT a.entry_id, b.entry_id AS other_id, 'title' AS reason FROM d a JOIN d b USING (isrc) WHERE a.core_title <> b.core_title UNION ALL SELECT a.entry_id, b.entry_id, 'duration' FROM d a JOIN d b USING (isrc) WHERE abs(a.raw_duration - b.raw_duration) > 2000")
+def m09_pair_conflicts(t):
+    return M.pair_conflicts(_coded_docs(t), "isrc")
+
+
+@query(f"WITH c AS ({_CASCADE.replace('WITH auth AS', 'WITH auth AS', 1)}) SELECT entry_id, song_id, method, CASE WHEN entry_id % 5 = 0 AND status = 'confirmed' THEN least(confidence, 0.92) ELSE confidence END AS confidence, CASE WHEN entry_id % 5 = 0 AND status = 'confirmed' THEN 'pending' ELSE status END AS status FROM c")
+def m10_demote(t):
+    return M.demote(M.match_cascade(_entries(t), _songs(t), t.song_authorities_v), t.entries_v.where("entry_id % 5 = 0"))
+
+
+_GROUPS = "WITH RECURSIVE e AS MATERIALIZED (SELECT a.entry_id AS a, b.entry_id AS b FROM doc_entries_v a JOIN doc_entries_v b ON a.core_title = b.core_title AND a.artist = b.artist AND a.core_title <> '' AND abs(a.raw_duration - b.raw_duration) <= 2000), r(id, label) AS (SELECT entry_id, entry_id FROM doc_entries_v UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id) SELECT id AS entry_id, min(label) AS group_id FROM r GROUP BY id"
+
+
+@query(_GROUPS.replace("WITH RECURSIVE e AS MATERIALIZED", "WITH RECURSIVE doc_entries AS (SELECT doc_id AS entry_id, lower(substr(text, 1, 40)) AS core_title, lang AS artist, n_chars AS raw_duration FROM documents), e AS MATERIALIZED").replace("doc_entries_v", "doc_entries"))
+def m11_group_unmatched(t):
+    return M.group_unmatched(t.doc_entries_v)
+
+
+@query("SELECT DISTINCT a.entry_id, b.entry_id AS legacy_id FROM entries_v a JOIN entries_v b ON a.core_title = b.core_title AND a.artist_id = b.artist_id AND abs(a.raw_duration - b.raw_duration) <= 2000 AND b.entry_id % 2 = 0 WHERE a.entry_id % 4 <> 1")
+def m12_legacy_matches(t):
+    e = _entries(t)
+    return M.legacy_matches(e, e.where("entry_id % 2 = 0"), e.where("entry_id % 4 = 1"))
+
+
+@query(f"WITH m AS ({_AUTH}) SELECT entry_id, 'no_candidate' AS reason, apple_id, isrc FROM entries_v WHERE entry_id NOT IN (SELECT entry_id FROM m)")
+def m13_no_candidate(t):
+    groups = t.entries_v.select("entry_id", F.col("entry_id").alias("group_id"))
+    return M.no_candidate_issues(t.entries_v, M.match_by_authority(t.entries_v, t.song_authorities_v), groups).drop("group_id")
+
+
+@query("SELECT group_id, count(*) AS members, max(n_chars) - min(n_chars) AS span, CASE WHEN count(*) = 1 THEN NULL ELSE 0.90 END AS confidence FROM (SELECT md5(lower(substr(text, 1, 40))) AS group_id, n_chars FROM documents) GROUP BY group_id")
+def m14_group_details(t):
+    g = t.doc_entries_v.select("entry_id", F.md5(F.encode("core_title", "utf-8")).alias("group_id"))
+    return M.group_details(g, t.doc_entries_v)
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'actual,expected' ELSE 'codes' END AS missing FROM events")
+def m15_issue_model(t):
+    i = t.events.select("event_id", F.when(F.col("event_type") == "error", "title").otherwise("no_candidate").alias("reason"), F.col("props").alias("details"))
+    return M.validate_issues(i).select("event_id", F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
+@query("SELECT event_id FROM events a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 4 = 0 AND b.user_id IS NOT DISTINCT FROM a.user_id AND b.event_type IS NOT DISTINCT FROM nullif(a.event_type, 'x'))")
+def m16_insert_new(t):
+    return D.insert_new(t.events.where("event_id % 4 = 0"), t.events, ["user_id", "event_type"]).select("event_id")
+
+
+@query(f"WITH c AS ({_CASCADE}) SELECT count(*) AS mappings, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (method = 'APPLE') AS by_store, count(*) FILTER (method = 'EXACT' AND confidence >= 0.98) AS by_code FROM c")
+def a16_match_summary(t):
+    return M.summary(M.match_cascade(_entries(t), _songs(t), t.song_authorities_v))
+
+
+@query()
+def m17_match_source(t):
+    plan = M.match_source(_entries(t), _songs(t), t.song_authorities_v)
+    m = plan["mappings"].select("entry_id", "song_id", "status")
+    return m.unionByName(plan["groups"].select("entry_id", F.col("group_id").alias("song_id"), F.lit("grouped").alias("status")))
+
+
+_CUR = "SELECT o_custkey AS entry_id, o_orderkey AS song_id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"
+
+
+def _current(t):
+    s = F.expr("CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'rejected' END")
+    return A.top_k(t.orders, ["o_custkey"], [F.col("o_orderkey")], 1).select(F.col("o_custkey").alias("entry_id"), F.col("o_orderkey").alias("song_id"), s.alias("status"))
+
+
+@query(f"WITH cur AS ({_CUR}) SELECT p.o_custkey AS entry_id, p.o_orderkey AS song_id, CASE WHEN c.status = 'confirmed' AND c.song_id <> p.o_orderkey THEN 'skipped' WHEN c.song_id = p.o_orderkey AND c.status IN ('confirmed', 'rejected') THEN 'untouched' WHEN c.song_id = p.o_orderkey THEN 'updated' ELSE 'inserted' END AS action FROM orders p LEFT JOIN cur c ON c.entry_id = p.o_custkey")
+def m18_apply_guard(t):
+    return M.apply_mappings(_current(t), t.orders.select(F.col("o_custkey").alias("entry_id"), F.col("o_orderkey").alias("song_id")))
+
+
+@query("WITH m AS (SELECT o_custkey AS entry_id, o_orderkey AS song_id, o_orderstatus AS status FROM orders), c AS (SELECT entry_id, min(song_id) AS chosen FROM m WHERE song_id % 20 = 0 GROUP BY entry_id) SELECT entry_id, song_id, CASE WHEN song_id = chosen THEN 'MANUAL' ELSE 'EXACT' END AS method, CASE WHEN song_id = chosen THEN 1.0 ELSE 0.9 END AS confidence, CASE WHEN song_id = chosen THEN 'confirmed' WHEN chosen IS NOT NULL THEN 'rejected' ELSE status END AS status FROM m LEFT JOIN c USING (entry_id)")
+def m19_set_status(t):
+    m = t.orders.select(F.col("o_custkey").alias("entry_id"), F.col("o_orderkey").alias("song_id"), F.lit("EXACT").alias("method"), F.lit(0.9).alias("confidence"), F.col("o_orderstatus").alias("status"))
+    return K.set_status(m, m.where("song_id % 20 = 0").select("entry_id", "song_id", F.lit("confirm").alias("action")))
+
+
+@query("SELECT o_orderkey AS song_id, CAST(least(o_orderdate, d) AS DATE) AS release_date, coalesce(nullif(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END, ''), f) AS audio FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS d, min_by(l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT)) AS f FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def m20_merge_metadata(t):
+    songs = t.orders.select(F.col("o_orderkey").alias("song_id"), F.col("o_orderdate").alias("release_date"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("audio"))
+    e = t.lineitem.select(F.col("l_orderkey").alias("song_id"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("entry_id"), F.col("l_shipdate").alias("release_date"), F.col("l_returnflag").alias("audio"))
+    return K.merge_metadata(songs, e).withColumn("release_date", F.to_date("release_date"))
+
+
+@query("WITH a AS (SELECT p_name AS title, p_partkey AS album_id, CAST(substr(p_brand, 7) AS INT) AS artist, p_size % 2 = 0 AS fallback FROM part), q AS (SELECT p_partkey AS query_id, p_name AS title, CAST(substr(p_brand, 7) AS INT) AS artist FROM part WHERE p_partkey % 10 = 0), c AS (SELECT q.query_id, a.album_id, CASE WHEN a.fallback THEN 0 ELSE 1 END AS score FROM q JOIN a USING (title, artist)), b AS (SELECT * FROM c QUALIFY rank() OVER (PARTITION BY query_id ORDER BY score DESC) = 1), o AS (SELECT query_id, min(album_id) AS album_id FROM b GROUP BY query_id HAVING count(DISTINCT album_id) = 1) SELECT q.query_id, o.album_id FROM q LEFT JOIN o USING (query_id)")
+def m21_resolve_album(t):
+    a = F.array(F.expr("CAST(substr(p_brand, 7) AS INT)")).alias("artists")
+    albums = t.part.select(F.col("p_partkey").alias("album_id"), F.col("p_name").alias("title"), a, F.lit(2).alias("locale"), (F.col("p_size") % 2 == 0).alias("fallback"))
+    return K.resolve_album(t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("title"), a), albums)
+
+
+@query("SELECT name, (SELECT min(s_suppkey) FROM supplier WHERE lower(s_name) = lower(name)) AS artist_id FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE s_name END AS name FROM supplier UNION SELECT 'Nobody')")
+def m22_resolve_artist(t):
+    names = t.supplier.select(F.expr("CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE s_name END").alias("name")).union(t.region.limit(1).select(F.lit("Nobody").alias("name"))).distinct()
+    return K.resolve_artist(names, t.supplier.select(F.col("s_suppkey").alias("artist_id"), F.col("s_name").alias("title")), lambda c: F.lower(c))
+
+
+@query("WITH n AS (SELECT DISTINCT c_mktsegment AS name FROM customer UNION SELECT s_name FROM supplier), a AS (SELECT s_name AS name, s_suppkey AS artist_id FROM supplier) SELECT n.name, coalesce(artist_id, (SELECT max(artist_id) FROM a) + row_number() OVER (PARTITION BY artist_id IS NULL ORDER BY n.name)) AS artist_id, artist_id IS NULL AS created FROM n LEFT JOIN a USING (name)")
+def m23_find_or_create(t):
+    names = t.customer.select(F.col("c_mktsegment").alias("name")).union(t.supplier.select("s_name")).distinct()
+    return K.find_or_create(names, t.supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("artist_id")))
+
+
+@query("SELECT o_orderkey AS entry_id, o_orderkey AS song_id, 'MANUAL' AS method, 1.0 AS confidence, 'confirmed' AS status FROM orders WHERE o_orderstatus = 'F'")
+def m24_load_verified(t):
+    legacy = t.orders.select(F.col("o_orderkey").alias("legacy_id"), F.col("o_orderpriority").alias("title"), F.lit(2).alias("locale"), F.col("o_totalprice").alias("duration"), F.lit(None).cast("string").alias("code"), (F.col("o_orderstatus") == "F").alias("verified"))
+    return K.load_verified(legacy)["mappings"]
+
+
+def _members(t):
+    return t.documents.select(F.md5(F.encode(F.lower(F.substring("text", 1, 40)), "utf-8")).alias("group_id"), F.col("doc_id").alias("entry_id"), F.substring("text", 1, 40).alias("title"), F.col("n_chars").alias("duration"), F.col("lang").alias("code"))
+
+
+@query("WITH m AS (SELECT md5(lower(substr(text, 1, 40))) AS group_id, doc_id AS entry_id, substr(text, 1, 40) AS title, lang FROM documents) SELECT group_id, min_by(title, entry_id) FILTER (trim(title) <> '') AS title, string_agg(DISTINCT lang, ',' ORDER BY lang) AS codes, count(*) AS members FROM m GROUP BY group_id")
+def m25_song_plan(t):
+    return K.song_plan(_members(t)).select("group_id", "title", F.array_join("codes", ",").alias("codes"), "members")
+
+
+@query()
+def m26_materialize(t):
+    m = _members(t)
+    return K.materialize_songs(K.song_plan(m), m, 1000)["mappings"]
+
+
+@query("SELECT o_orderkey AS group_id, CASE WHEN o_orderkey % 3 = 0 THEN 'confirmed' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS song_id, o_orderkey % 3 = 0 AS resolved FROM orders")
+def m27_group_status(t):
+    g = t.orders.select(F.col("o_orderkey").alias("group_id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("long").alias("song_id"), F.lit(None).cast("timestamp").alias("resolved_at"))
+    c = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("group_id"), F.lit("confirmed").alias("status"), F.col("o_custkey").alias("song_id"))
+    return K.set_group_status(g, c, F.current_timestamp()).select("group_id", "status", "song_id", F.col("resolved_at").isNotNull().alias("resolved"))
+
+
+@query("SELECT DISTINCT l_orderkey AS group_id, CASE WHEN l_orderkey % 4 = 0 THEN l_suppkey ELSE l_partkey END AS entry_id FROM lineitem")
+def m28_edit_membership(t):
+    cur = t.lineitem.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("entry_id")).distinct()
+    seen = cur.where("group_id % 4 = 0").unionByName(cur.where("group_id % 4 = 2").limit(0))
+    return K.edit_membership(cur, t.lineitem.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("group_id"), F.col("l_suppkey").alias("entry_id")), seen)
+
+
+@query("SELECT DISTINCT l_partkey AS owner_id, CASE WHEN l_suppkey % 5 = 0 THEN l_suppkey + 1 ELSE l_suppkey END AS entity_id FROM lineitem")
+def m29_merge_entities(t):
+    targets = t.supplier.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") + 1).alias("target"))
+    rel = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
+    return K.merge_entities(t.lineitem.select(F.col("l_partkey").alias("owner_id"), F.col("l_suppkey").alias("entity_id")), rel, targets)["links"]
+
+
+@query("SELECT event_id AS issue_id, event_type = 'error' OR event_id % 3 = 0 AS resolved FROM events")
+def m30_resolve_issues(t):
+    i = t.events.select(F.col("event_id").alias("issue_id"), F.when(F.col("event_type") == "error", F.current_timestamp()).alias("resolved_at"))
+    return K.resolve_issues(i, i.where("issue_id % 3 = 0"), F.current_timestamp()).select("issue_id", F.col("resolved_at").isNotNull().alias("resolved"))
+
+
+@query("SELECT coalesce(a.song_id, b.song_id) AS song_id, a.play_count AS old, b.play_count AS new, CASE WHEN b.play_count < a.play_count THEN a.play_count - b.play_count ELSE 0 END AS deducted, CASE WHEN a.song_id IS NULL THEN b.play_count ELSE abs(b.play_count - a.play_count) END AS yearly FROM plays_old_v a FULL JOIN plays_new_v b ON a.song_id = b.song_id")
+def m31_play_deltas(t):
+    return K.play_deltas(t.plays_old_v, t.plays_new_v)
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, c_mktsegment) AS title FROM customer")
+def m32_golden_record(t):
+    d = t.customer.withColumn("a", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise("  "))
+    return K.golden_record(d, {"title": ["a", "c_mktsegment"]}).select("c_custkey", "title")
+
+
+@query("SELECT p_partkey AS entry_id, 'AL' || p_size AS album_id, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS disc, p_size AS track, p_brand || ',' || p_type AS codes FROM part")
+def m33_entry_metadata(t):
+    raw = F.to_json(F.struct(F.struct(F.concat(F.lit("AL"), "p_size").alias("id"), F.when(F.col("p_partkey") % 2 == 0, 2).alias("discNumber"), F.col("p_size").alias("trackNumber")).alias("album"), F.array("p_type", "p_brand", "p_type").alias("codes"), F.create_map(F.lit("en"), "p_name").alias("title")))
+    d = K.entry_metadata(t.part.select(F.col("p_partkey").alias("entry_id"), raw.alias("raw_json")))
+    return d.select("entry_id", "album_id", "disc", "track", F.array_join("codes", ",").alias("codes"))
+
+
+@query("SELECT e.entry_id AS query_id, CASE WHEN count(DISTINCT song_id) = 1 THEN min(song_id) END AS owner, count(DISTINCT song_id) > 1 AS error FROM (SELECT entry_id, apple_id AS code FROM entries_v UNION ALL SELECT entry_id, isrc FROM entries_v) e JOIN song_authorities_v ON code = authority_code GROUP BY e.entry_id")
+def m34_owner_by_codes(t):
+    wanted = t.entries_v.select(F.col("entry_id").alias("query_id"), F.explode(F.array("apple_id", "isrc")).alias("code")).where("code IS NOT NULL")
+    return K.owner_by_codes(wanted, t.song_authorities_v.select(F.col("authority_code").alias("code"), F.col("song_id").alias("owner")))
+
+
+# 2.11 change capture
+
+
+_DIFF = "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'INSERT' WHEN a.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation, b.o_orderstatus AS old_status, a.o_orderstatus AS new_status FROM before_v b FULL JOIN after_v a ON a.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR a.o_orderkey IS NULL OR (a.o_orderstatus, a.o_totalprice) IS DISTINCT FROM (b.o_orderstatus, b.o_totalprice)"
+
+
+@query(_DIFF)
+def d01_diff_snapshots(t):
+    d = D.diff_snapshots(t.before_v, t.after_v, ["o_orderkey"], "query", "check")
+    return d.select("o_orderkey", "operation", F.get_json_object("old_row", "$.o_orderstatus").alias("old_status"), F.get_json_object("new_row", "$.o_orderstatus").alias("new_status"))
+
+
+@query("SELECT coalesce(d.o_orderkey, c.o_orderkey) AS o_orderkey, CASE WHEN c.o_orderkey IS NULL THEN 'INSERT' WHEN d.o_orderkey IS NULL THEN 'DELETE' WHEN d.o_orderstatus <> c.o_orderstatus THEN 'UPDATE' ELSE 'KEEP' END AS action FROM before_v c FULL JOIN after_v d ON c.o_orderkey = d.o_orderkey")
+def d02_sync_children(t):
+    return D.sync_children(t.before_v, t.after_v, ["o_orderkey"]).select("o_orderkey", "action")
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 3 <> 0 UNION ALL SELECT l_orderkey, -l_partkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber = 1 UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
+def d03_replace_children(t):
+    cur = t.lineitem.select("l_orderkey", "l_partkey")
+    return D.replace_children(cur, t.lineitem.where("l_orderkey % 3 = 0 AND l_linenumber = 1").select("l_orderkey", (-F.col("l_partkey")).alias("l_partkey")), "l_orderkey")
+
+
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, CASE WHEN b.o_orderkey IS NULL THEN 'inserted' WHEN a.o_orderkey IS NULL OR a.o_orderstatus = b.o_orderstatus THEN 'kept' ELSE 'updated' END AS done FROM before_v b FULL JOIN after_v a ON a.o_orderkey = b.o_orderkey")
+def d04_upsert(t):
+    return D.upsert(t.before_v, t.after_v, ["o_orderkey"]).select("o_orderkey", "o_orderstatus", "done")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 2 = 1")
+def d05_insert_if_absent(t):
+    return D.insert_if_absent(t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), t.customer.select("c_custkey", F.upper("c_name").alias("c_name")), ["c_custkey"])
+
+
+@query("SELECT DISTINCT l_partkey AS missing_id, 'part' AS label FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)")
+def d06_missing_refs(t):
+    return D.missing_refs(t.lineitem, "l_partkey", t.part.where("p_size < 40"), "p_partkey", "part")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING n > 1")
+def d07_check_unique(t):
+    return D.check_unique(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n FROM lineitem GROUP BY l_orderkey HAVING n <> 1")
+def d07_exactly_one(t):
+    return D.check_exactly_one(t.lineitem, "l_orderkey", F.col("l_returnflag") == "R")
+
+
+@query("SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal <= 0 THEN 'balance' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment' END) AS errors FROM customer")
+def d08_validate(t):
+    d = D.validate(t.customer, [("balance", F.col("c_acctbal") > 0), ("segment", F.col("c_mktsegment") != "BUILDING")])
+    return d.select("c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'changed' ELSE p_brand END AS p_brand, p_size FROM part")
+def d09_update_columns(t):
+    c = t.part.where("p_partkey % 5 = 0").select("p_partkey", F.lit("changed").alias("p_brand"))
+    return D.update_columns(t.part, "p_partkey", c, ["p_brand"]).select("p_partkey", "p_brand", "p_size")
