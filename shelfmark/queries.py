@@ -16,6 +16,7 @@ from .operators import predicates as P
 from .plans import changes as D
 from .plans import curation as K
 from .plans import matching as M
+from .plans import views as V
 from .sources import files as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1076,3 +1077,92 @@ def d08_validate(t):
 def d09_update_columns(t):
     c = t.part.where("p_partkey % 5 = 0").select("p_partkey", F.lit("changed").alias("p_brand"))
     return D.update_columns(t.part, "p_partkey", c, ["p_brand"]).select("p_partkey", "p_brand", "p_size")
+
+
+# 2.10 views
+
+_LINES = "(SELECT l_orderkey, count(*) AS tracks FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"SELECT o_orderkey, o_orderpriority AS title, a.artists, coalesce(tracks, 0) AS tracks FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_suppkey, ',' ORDER BY l_linenumber, l_suppkey) AS artists FROM lineitem GROUP BY l_orderkey) a ON a.l_orderkey = o_orderkey LEFT JOIN {_LINES} n ON n.l_orderkey = o_orderkey")
+def v01_album_overview(t):
+    titles = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("title"))
+    artists = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("display_order"), F.col("l_suppkey").alias("artist"))
+    d = V.album_overview(t.orders.select("o_orderkey"), titles, artists, artists, "o_orderkey", [F.col("title")])
+    return d.withColumn("artists", F.array_join("artists", ","))
+
+
+@query("SELECT s_suppkey, s_name AS title, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT l_returnflag || l_linenumber AS c FROM lineitem WHERE l_suppkey = s_suppkey)) AS codes FROM supplier")
+def v02_artist_overview(t):
+    s = t.supplier.select("s_suppkey", F.col("s_name").alias("title"), F.col("s_name").alias("alias"))
+    codes = t.lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("code"))
+    return V.artist_overview(t.supplier.select("s_suppkey"), s, s, codes, "s_suppkey", [F.col("title")]).select("s_suppkey", "title", "codes")
+
+
+@query("SELECT song_id, (SELECT string_agg(artist_id, ',' ORDER BY display_order, artist_id) FROM song_artists_v a WHERE a.song_id = s.song_id) AS artists, (SELECT l_orderkey FROM lineitem WHERE l_partkey + 1 = s.song_id ORDER BY l_shipdate, l_orderkey LIMIT 1) AS release_id, (SELECT string_agg(authority_code, ',' ORDER BY authority_code) FROM song_authorities_v c WHERE c.song_id = s.song_id) AS codes FROM songs_v s")
+def v03_song_overview(t):
+    rel = t.lineitem.select((F.col("l_partkey") + 1).alias("song_id"), F.col("l_orderkey").alias("release_id"), "l_shipdate")
+    d = V.song_overview(t.songs_v.select("song_id"), t.song_artists_v, rel, t.song_authorities_v, [F.col("l_shipdate"), F.col("release_id")])
+    return d.select("song_id", F.array_join(F.transform("artists", lambda x: x.cast("string")), ",").alias("artists"), "release_id", "codes")
+
+
+@query(f"WITH b AS ({_BEST}) SELECT c_custkey AS entry_id, o_orderkey, o_orderstatus, g AS group_id FROM customer LEFT JOIN b ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS k, min(o_orderkey) AS g FROM orders GROUP BY o_custkey) ON k = c_custkey")
+def v04_entry_overview(t):
+    order = [F.expr("CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"), F.desc("o_totalprice"), F.desc("o_orderdate"), F.col("o_orderkey")]
+    o = t.orders.withColumn("entry_id", F.col("o_custkey"))
+    d = V.entry_overview(t.customer.select(F.col("c_custkey").alias("entry_id")), o, o.select("entry_id", F.col("o_orderkey").alias("group_id")), order)
+    return d.select("entry_id", "o_orderkey", "o_orderstatus", "group_id")
+
+
+@query("SELECT 'songs' AS resource, count(*) AS n FROM songs_v UNION ALL SELECT 'entries', count(*) FROM entries_v UNION ALL SELECT 'history', count(*) FROM events")
+def v05_resources(t):
+    tables = {"songs": t.songs_v, "entries": t.entries_v, "history": t.events}
+    out = None
+    for n in tables:
+        d = V.resource(tables, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("resource"), "n")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey + 1 AS song_id, p_name AS song_title FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+def v06_hydrate_song(t):
+    d = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_partkey") + 1).alias("song_id"))
+    return V.hydrate_song(d, "song_id", t.songs_v.select("song_id", "title")).select("l_orderkey", "l_linenumber", "song_id", "song_title")
+
+
+@query("SELECT o_orderkey AS group_id, coalesce((SELECT string_agg(l_partkey, ',' ORDER BY l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS entries, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS issues FROM orders")
+def v07_hydrate_group(t):
+    m = t.lineitem.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("entry_id"), F.col("l_suppkey").alias("issue_id"), "l_returnflag")
+    d = V.hydrate_group(t.orders.select(F.col("o_orderkey").alias("group_id")), m, m.where("l_returnflag = 'R'"))
+    return d.select("group_id", F.array_join(F.transform("entries", lambda x: x["entry_id"].cast("string")), ",").alias("entries"), F.size("issues").cast("long").alias("issues"))
+
+
+@query("SELECT c_custkey, o_orderkey, CAST(o_totalprice AS DOUBLE) AS price FROM customer JOIN orders ON o_custkey = c_custkey")
+def v08_detail_docs(t):
+    o = t.orders.withColumnRenamed("o_custkey", "c_custkey")
+    d = V.detail_docs(t.customer.select("c_custkey"), "c_custkey", {"orders": (o, ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])})
+    return d.select("c_custkey", F.explode("orders").alias("o")).select("c_custkey", "o.o_orderkey", F.col("o.o_totalprice").alias("price"))
+
+
+@query("SELECT category, total, song_id, place FROM (SELECT category, song_id, count(*) OVER (PARTITION BY category) AS total, row_number() OVER (PARTITION BY category ORDER BY lower(title) NULLS LAST, song_id) AS place FROM (SELECT song_id, title, 'bit' || b AS category FROM songs_v, (SELECT unnest([1, 2, 4, 8]) AS b) WHERE genre_tag & b <> 0)) WHERE place <= 24")
+def v09_gallery(t):
+    keys = F.array_compact(F.array(*[F.when(F.col("genre_tag").bitwiseAND(F.lit(b).cast("long")) != 0, F.lit(f"bit{b}")) for b in (1, 2, 4, 8)]))
+    return V.gallery(t.songs_v, keys, "song_id", "title").select("category", "total", "song_id", "place")
+
+
+@query("SELECT o_orderkey AS issue_id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 1500 + 1 END, o_custkey + 1) AS song_id, p_name AS song_title FROM orders LEFT JOIN part ON p_partkey + 1 = coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 1500 + 1 END, o_custkey + 1)")
+def v10_issue_view(t):
+    i = t.orders.select(F.col("o_orderkey").alias("issue_id"), F.col("o_custkey").alias("entry_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 1500 + 1).alias("song_id"))
+    m = t.customer.select(F.col("c_custkey").alias("entry_id"), (F.col("c_custkey") + 1).alias("song_id"))
+    return V.issue_view(i, m, t.songs_v.select("song_id", "title")).select("issue_id", "song_id", "song_title")
+
+
+@query()
+def v11_export_docs(t):
+    o = t.orders.withColumnRenamed("o_custkey", "c_custkey")
+    return V.export_docs(V.detail_docs(t.customer.select("c_custkey", "c_name"), "c_custkey", {"orders": (o, ["o_orderkey"], ["o_orderkey", "o_orderstatus"])}))
+
+
+@query("SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS imported FROM customer")
+def v12_source_detail(t):
+    return V.source_detail(t.customer.select("c_custkey", "c_name"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
