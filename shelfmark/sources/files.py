@@ -22,7 +22,7 @@ def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     artists, albums, songs = part("artists"), part("albums"), part("songs")
     need = {"artists": (artists, ["id", "title"]), "albums": (albums, ["id", "title", "artistID"]), "songs": (songs, ["id", "title", "artistID", "duration"])}
     bad = [df.select(F.lit(n).alias("table"), "pos", F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]))).alias("field")) for n, (df, cols) in need.items()]
-    corrupt = doc.where("_corrupt IS NOT NULL").select(F.lit("document").alias("table"), F.lit(0).alias("pos"), F.lit("json").alias("field"))
+    corrupt = doc.where("_corrupt IS NOT NULL").select(F.lit("document").alias("table"), F.coalesce(F.size("songs"), F.lit(-1)).alias("pos"), F.lit("json").alias("field"))
     special = artists.where(F.col("title.en").rlike("[&,]")).select(F.col("title.en").alias("name"))
     return {"artists": artists, "albums": albums, "songs": songs, "special_names": special, "violations": bad[0].union(bad[1]).union(bad[2]).union(corrupt)}
 
