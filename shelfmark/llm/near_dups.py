@@ -17,7 +17,9 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS = 32
 ROWS = 5
-#: Compared with all others of its bucket in one round, at most so many documents of each bucket.
+#: Compared with all others of its bucket in one round, at most so many documents of each bucket: first some of
+#: its largest class, to which most of the rest belong, then those of its smallest classes until none is left.
+FEW = 8
 CENTRES = 128
 SIGNATURE = "doc_id long, a long, b long, n long, bands array<long>"
 
@@ -193,8 +195,8 @@ def classes(docs: DataFrame) -> DataFrame:
     Texts of equal weighted shingles (five lower-cased words) are one class at once; of the others, pairs that
     share a band are checked exactly, and those of similarity 0.8 or more are linked. Within a bucket not all
     pairs are made: every member is compared with a centre; then, as long as a bucket has members of different
-    classes, members of its smallest classes are centres in turn, until no two members of different classes are
-    left uncompared. A null, empty or white-space text is a class of its own. Repeated rows get the same class.
+    classes, a few of its largest class and then members of its smallest classes are centres in turn, until no
+    two members of different classes are left uncompared. A null, empty or white-space text is a class of its own. Repeated rows get the same class.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sig = stored(signed(docs), "signatures")
@@ -231,8 +233,9 @@ def classes(docs: DataFrame) -> DataFrame:
         if now.isEmpty():
             break
         turn += 1
-        slot = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(CENTRES))
-        centres = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("size", F.xxhash64("doc").alias("h"), "doc", "n", "label")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
+        few = turn <= 2
+        slot = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(FEW if few else CENTRES))
+        centres = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct((-F.col("size") if few else F.col("size")).alias("size"), F.xxhash64("doc").alias("h"), "doc", "n", "label")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
         centres = stored(centres, "centres")
         done = done.unionByName(centres.select("key", F.col("centre").alias("doc")))
     named = exact.select("a", "b", "n", "rep").join(comp.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("a", "b", "n", F.coalesce("label", "rep").alias("class_id"))
