@@ -217,7 +217,8 @@ def classes(docs: DataFrame) -> DataFrame:
         alike = F.least("n", "centre_n") >= SIMILAR * F.greatest("n", "centre_n")
         pairs = now.join(centres, "key").where(apart & alike).select(F.greatest("doc", "centre").alias("u"), F.least("doc", "centre").alias("v")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            # written first: else Spark takes tested pairs away before the distinct, from many times the rows
+            pairs = stored(pairs, "pairs").join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if texts is None:
