@@ -11,8 +11,7 @@ from shelfmark.llm.common import load, stored
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdict = rules.quality_rules(docs, load(spark, sf_dir, "labels", "doc_id", "quality"))
-    return docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return rules.kept_rows(docs, load(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,5 +196,19 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark text."""
-    return docs.join(matches(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, with all columns, that hold no benchmark text; no shuffle of texts."""
+    at = docs.columns.index("text")
+    schema = docs.schema
+    for rows in blocks(items):
+        index = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = Index(index.value)
+            for b in batches:
+                texts, clean = [t or "" for t in b.column(at).to_pylist()], []
+                for first, last in chunks(texts, 1_000_000):
+                    clean += [not x for x in leaks([normal(t) for t in texts[first:last]], own)]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(keep, schema)
+    return docs

@@ -148,33 +148,57 @@ def probability(model: dict, raw: bytes, hashes: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30))))
 
 
+def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
+    """The regression, fitted on the labelled rows of docs."""
+    ids = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    half = [ids.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2) for y in (0, 1)]
+    chosen = half[0].unionByName(half[1])  # few ids: bounded by fit_rows
+    return fit(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+
+
+def judged(texts: list[str | None], hasher: Hasher, model: dict, keep_at: float) -> list[tuple]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality of every text."""
+    rows = []
+    for t in texts:
+        t = t or ""
+        raw = t.encode()
+        words = raw.split()
+        ids, h = hasher.words(words)
+        counts = base_counts(t, words, ids)
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        p = probability(model, raw, h)
+        rows.append((*counts, failed, not failed and p >= keep_at, p))
+    return rows
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
     """Counts, the fixed rules and the regression's verdict for every whole text.
 
     A null or empty text has no words and fails the fixed rule of 50 words. Repeated rows are judged each.
     Words, symbols and lines are counted over the whole text.
     """
-    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    ids = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    half = [ids.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2) for y in (0, 1)]
-    chosen = half[0].unionByName(half[1])  # few ids: bounded by fit_rows
-    model = sc.broadcast(fit(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, fit_rows))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, m = Hasher(), model.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for t in texts:
-                raw = t.encode()
-                words = raw.split()
-                ids, h = hasher.words(words)
-                n, chars, symbols, dup, rep = base_counts(t, words, ids)
-                failed = n < 50 or 100 * rep > 50 * n
-                p = probability(m, raw, h)
-                rows.append((n, chars, symbols, dup, rep, failed, not failed and p >= keep_at, p))
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-            yield pa.record_batch([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 8, kinds))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"])
+        hasher = Hasher()
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
+        names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+        for b in batches:
+            rows = judged(b.column(1).to_pylist(), hasher, model.value, keep_at)
+            yield pa.record_batch([b.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 8, kinds))], names=names)
 
     return docs.mapInArrow(judge, SCHEMA)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs, with all columns, that quality_rules keeps; no shuffle of texts."""
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, fit_rows))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            yield b.filter(pa.array([r[6] for r in judged(b.column(at).to_pylist(), hasher, model.value, keep_at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

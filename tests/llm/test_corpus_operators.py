@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shelfmark.llm import decontaminate, near_dups, repeats, urls
+from shelfmark.llm import decontaminate, near_dups, repeats, rules, urls
 
 
 def rows(df):
@@ -99,7 +99,8 @@ def test_decontamination(docs, nothing, spark):
             assert got[i] == {k for k, ws in known.items() for w in ws if edit_distance(w, t) <= decontaminate.edit_budget(len(w))}
     assert any(got.values())
     assert decontaminate.report(nothing, items).count() == 0 and decontaminate.report(docs, items.limit(0)).where("contaminated").count() == 0
-    assert decontaminate.decontaminated(docs, items).columns == docs.columns
+    clean = decontaminate.decontaminated(docs, items)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, x in got.items() if not x}
 
 
 def test_urls(spark):
@@ -135,6 +136,9 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
             out.write.parquet(str(tmp_path / name))
             new = spark.read.parquet(str(tmp_path / name))
             assert new.count() <= seen.count()
+            if name == "quality_rules":
+                verdict = rules.quality_rules(seen, spark.read.parquet(f"{sf}/labels.parquet"))
+                assert sorted(r.doc_id for r in new.collect()) == sorted(r.doc_id for r in verdict.where("kept").collect())
             if name == "near_duplicates":
                 assert sorted(r.doc_id for r in new.collect()) == sorted(set(brute_classes(rows(seen)).values()))
             if name == "personal_data":
