@@ -20,7 +20,7 @@ ROWS = 5
 #: Compared with all others of its bucket in one round, at most so many documents of each bucket: first some of
 #: its largest class, to which most of the rest belong, then those of its smallest classes until none is left.
 FEW = 8
-CENTRES = 128
+CENTRES = 512
 SIGNATURE = "doc_id long, a long, b long, n long, bands array<long>"
 
 
@@ -163,6 +163,23 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long")
 
 
+def _found_elsewhere(texts: DataFrame) -> DataFrame:
+    """doc and how many of its weighted shingles some other of these texts has too: no pair shares more than that."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler()
+        for b in batches:
+            ids, all_texts = b.column(0), b.column(1).to_pylist()
+            for i, j in chunks(all_texts, 1_000_000):
+                units = [own.units(t) for t in all_texts[i:j]]
+                doc = np.repeat(ids.slice(i, j - i).to_numpy(), [len(u) for u in units])
+                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(np.concatenate(units).view(np.int64))], names=["doc", "unit"])
+
+    units = texts.select("doc_id", "text").mapInArrow(unfold, "doc long, unit long")
+    alone = units.groupBy("unit").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("doc")).where("k = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
+    return texts.select(F.col("doc_id").alias("doc")).join(alone, "doc", "left").select("doc", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc, label): the least id of each connected component, for every id on an edge.
 
@@ -204,30 +221,30 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = stored(exact.where("rep is not null").select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("key")), "bands")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first")).where("size > 1").drop("size")
     members = stored(rows.join(shared, "key"), "members")
+    texts = stored(docs.dropDuplicates(["doc_id"]).join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    members = stored(members.join(_found_elsewhere(texts), "doc").withColumn("most", F.col("n") - F.col("alone")).drop("alone"), "members")
     links = None
-    texts = None
     label = members.select("doc", F.col("doc").alias("label")).distinct()
     tested = None
     done = members.select("key", F.col("first").alias("doc")).distinct()
-    centres = members.where("doc = first").select("key", F.col("doc").alias("centre"), F.col("n").alias("centre_n"), F.lit(None).cast("long").alias("centre_label"))
-    now = members.select("key", "doc", "n", F.lit(None).cast("long").alias("label"))
+    centres = members.where("doc = first").select("key", F.col("doc").alias("centre"), F.col("n").alias("centre_n"), F.col("most").alias("centre_most"), F.lit(None).cast("long").alias("centre_label"))
+    now = members.select("key", "doc", "n", "most", F.lit(None).cast("long").alias("label"))
     turn = 0
     while True:
         apart = F.coalesce(F.col("label") != F.col("centre_label"), F.lit(True)) & (F.col("doc") != F.col("centre"))
-        alike = F.least("n", "centre_n") >= SIMILAR * F.greatest("n", "centre_n")
+        both = F.least("most", "centre_most")  # they cannot share more, so this test loses no pair
+        alike = both * (1 + SIMILAR) >= SIMILAR * (F.col("n") + F.col("centre_n")) - 1e-6
         pairs = now.join(centres, "key").where(apart & alike).select(F.greatest("doc", "centre").alias("u"), F.least("doc", "centre").alias("v")).distinct()
         if tested is not None:
             # written first: else Spark takes tested pairs away before the distinct, from many times the rows
             pairs = stored(pairs, "pairs").join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if texts is None:
-            texts = stored(docs.dropDuplicates(["doc_id"]).join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
         found = stored(_linked(pairs, texts), "links")
         links = found if links is None else links.unionByName(found)
         comp = _labels(links)
         label = members.select("doc").distinct().join(comp, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
-        here = members.select("key", "doc", "n").join(done, ["key", "doc"], "left_anti").join(label, "doc")
+        here = members.select("key", "doc", "n", "most").join(done, ["key", "doc"], "left_anti").join(label, "doc")
         sizes = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
         mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key")
         now = stored(here.join(mixed, "key", "left_semi").join(sizes, ["key", "label"]), "open")
@@ -236,7 +253,7 @@ def classes(docs: DataFrame) -> DataFrame:
         turn += 1
         few = turn <= 2
         slot = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(FEW if few else CENTRES))
-        centres = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct((-F.col("size") if few else F.col("size")).alias("size"), F.xxhash64("doc").alias("h"), "doc", "n", "label")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
+        centres = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct((-F.col("size") if few else F.col("size")).alias("size"), F.xxhash64("doc").alias("h"), "doc", "n", "most", "label")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.most").alias("centre_most"), F.col("c.label").alias("centre_label"))
         centres = stored(centres, "centres")
         done = done.unionByName(centres.select("key", F.col("centre").alias("doc")))
     named = exact.select("a", "b", "n", "rep").join(comp.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("a", "b", "n", F.coalesce("label", "rep").alias("class_id"))
