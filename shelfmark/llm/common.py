@@ -19,10 +19,7 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "spark-shelfmark")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "spark-shelfmark")
     return root.rstrip("/")
 
 
