@@ -88,8 +88,8 @@ def match_fuzzy(entries: DataFrame, songs: DataFrame, k: int = TOP, least: float
     return scored.withColumn("_r", best).where(F.col("_r") <= k).select("entry_id", "song_id", F.lit("FUZZY").alias("method"), F.round("confidence", 4).alias("confidence"), F.lit("pending").alias("status"))
 
 
-def match_cascade(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """The first stage with any mapping wins for each entry."""
+def match_cascade(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """The first stage with any mapping wins for each entry; without fuzzy, the fuzzy stage is left out."""
     found = match_by_authority(entries, codes)
     left = entries.join(found.select("entry_id").distinct(), "entry_id", "left_anti")
     exact = match_exact(left, songs)
@@ -220,7 +220,7 @@ def summary(mappings: DataFrame) -> DataFrame:
     return mappings.agg(F.count(F.lit(1)).alias("mappings"), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("method") == "APPLE").alias("by_store"), F.count_if((F.col("method") == "EXACT") & (F.col("confidence") >= 0.98)).alias("by_code"))
 
 
-def match_source(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = False) -> dict[str, DataFrame]:
+def match_source(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = True) -> dict[str, DataFrame]:
     """The whole plan of a batch: mappings after demotion, pair conflicts, groups of the unmatched, their issues, a summary."""
     conflicts = pair_conflicts(entries, "isrc")
     mappings = demote(match_cascade(entries, songs, codes, fuzzy), conflicts)

@@ -823,6 +823,11 @@ _CASCADE = f"WITH auth AS ({_AUTH_OUT}) SELECT * FROM auth UNION ALL SELECT * FR
 
 @query(_CASCADE)
 def m07_cascade(t):
+    return M.match_cascade(_entries(t), _songs(t), t.song_authorities_v, fuzzy=False)
+
+
+@query()
+def m07_cascade_fuzzy(t):
     return M.match_cascade(_entries(t), _songs(t), t.song_authorities_v)
 
 
@@ -850,6 +855,11 @@ def m09_pair_conflicts(t):
 
 @query(f"WITH c AS ({_CASCADE.replace('WITH auth AS', 'WITH auth AS', 1)}) SELECT entry_id, song_id, method, CASE WHEN entry_id % 5 = 0 AND status = 'confirmed' THEN least(confidence, 0.92) ELSE confidence END AS confidence, CASE WHEN entry_id % 5 = 0 AND status = 'confirmed' THEN 'pending' ELSE status END AS status FROM c")
 def m10_demote(t):
+    return M.demote(M.match_cascade(_entries(t), _songs(t), t.song_authorities_v, fuzzy=False), t.entries_v.where("entry_id % 5 = 0"))
+
+
+@query()
+def m10_demote_fuzzy(t):
     return M.demote(M.match_cascade(_entries(t), _songs(t), t.song_authorities_v), t.entries_v.where("entry_id % 5 = 0"))
 
 
@@ -892,7 +902,7 @@ def m16_insert_new(t):
 
 @query(f"WITH c AS ({_CASCADE}) SELECT count(*) AS mappings, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (method = 'APPLE') AS by_store, count(*) FILTER (method = 'EXACT' AND confidence >= 0.98) AS by_code FROM c")
 def a16_match_summary(t):
-    return M.summary(M.match_cascade(_entries(t), _songs(t), t.song_authorities_v))
+    return M.summary(M.match_cascade(_entries(t), _songs(t), t.song_authorities_v, fuzzy=False))
 
 
 @query()
