@@ -1,13 +1,16 @@
 """Entry-to-song matching as joins over whole tables: codes, exact metadata, fuzzy titles, grouping of the rest.
 
-Entries: entry_id, core_title, raw_duration, artists (array of ids), apple_id, isrc. Songs: song_id,
-normalized_title, duration, artists.
+Entries: entry_id, core_title, raw_duration, artists (array of ids by code), apple_id, isrc, and where known
+name_artists (array of ids by name, from resolve_artists), names (of the artists, normalised) and credits (names in
+the title, from guest_credits). Songs: song_id, normalized_title, duration, artists, and where known artist_names
+(normalised, in the order of artists).
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +53,30 @@ def all_credited(missing: Column, credits: Column) -> Column:
     return (F.size(credits) > 0) & F.forall(missing, lambda m: F.array_contains(credits, m))
 
 
+def _ids(df: DataFrame, *cols: str) -> Column:
+    """The ids of those of these array columns that the table has, each once."""
+    arrays = [F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in cols if c in df.columns]
+    return reduce(F.array_union, arrays)
+
+
+def _entry_side(entries: DataFrame) -> list[Column]:
+    """What agreement() reads of an entry; without names or credits, empty arrays."""
+    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)) if c in entries.columns else F.array().cast(kind)
+    return [_ids(entries, "artists").alias("entry_artists"), empty("name_artists", entries.schema["artists"].dataType).alias("by_name"), empty("credits", "array<string>").alias("credits")]
+
+
+def _song_side(songs: DataFrame) -> list[Column]:
+    names = F.col("artist_names") if "artist_names" in songs.columns else F.array().cast("array<string>")
+    return [_ids(songs, "artists").alias("song_artists"), names.alias("song_names")]
+
+
+def agreement() -> Column:
+    """artist_level over the columns of _entry_side and _song_side; a missing artist without a name is not credited."""
+    entry, song = F.col("entry_artists"), F.col("song_artists")
+    missing = F.transform(F.filter(F.transform(song, lambda a, i: F.struct(a.alias("id"), F.get("song_names", i).alias("name"))), lambda x: ~F.array_contains(entry, x["id"])), lambda x: x["name"])
+    return artist_level(entry, song, F.col("by_name"), F.coalesce(all_credited(missing, F.col("credits")), F.lit(False)))
+
+
 def match_by_authority(entries: DataFrame, codes: DataFrame) -> DataFrame:
     """Songs by shared code. One song: confirmed, 1.0 by the store's id and 0.98 by recording code; several: all pending at 0.92."""
     pairs = entries.select("entry_id", F.explode(F.array(F.struct(F.lit(1).alias("authority"), F.col("apple_id").alias("authority_code")), F.struct(F.lit(0).alias("authority"), F.col("isrc").alias("authority_code")))).alias("c")).select("entry_id", "c.*").where("authority_code IS NOT NULL")
@@ -60,9 +87,9 @@ def match_by_authority(entries: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def exact_candidates(entries: DataFrame, songs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    e = entries.select("entry_id", F.col("core_title").alias("title"), F.col("raw_duration").alias("ms"), F.col("artists").alias("entry_artists"))
-    s = songs.select("song_id", F.col("normalized_title").alias("title"), "duration", F.col("artists").alias("song_artists"))
-    return equi_band_join(e, s, ["title"], "ms", "duration", tolerance).withColumn("level", artist_level(F.col("entry_artists"), F.col("song_artists"))).where("level <> 'none'")
+    e = entries.select("entry_id", F.col("core_title").alias("title"), F.col("raw_duration").alias("ms"), *_entry_side(entries))
+    s = songs.select("song_id", F.col("normalized_title").alias("title"), "duration", *_song_side(songs))
+    return equi_band_join(e, s, ["title"], "ms", "duration", tolerance).withColumn("level", agreement()).where("level <> 'none'")
 
 
 def match_exact(entries: DataFrame, songs: DataFrame) -> DataFrame:
@@ -76,14 +103,15 @@ def match_exact(entries: DataFrame, songs: DataFrame) -> DataFrame:
 def match_fuzzy(entries: DataFrame, songs: DataFrame, k: int = TOP, least: float = MIN_CONFIDENCE) -> DataFrame:
     """Blocks on a shared artist and a wide duration band, prunes by length, then scores titles; the best k stay pending.
 
-    Every agreeing level but none needs a common artist, so blocking on it loses nothing.
+    Every agreeing level needs an artist of the song among the entry's by code or by name, so blocking on the union of
+    both loses nothing.
     """
-    e = entries.select("entry_id", "core_title", F.col("raw_duration").alias("ms"), F.col("artists").alias("entry_artists"), F.explode("artists").alias("artist"))
-    s = songs.select("song_id", "normalized_title", "duration", F.col("artists").alias("song_artists"), F.explode("artists").alias("artist"))
+    e = entries.select("entry_id", "core_title", F.col("raw_duration").alias("ms"), *_entry_side(entries), F.explode(_ids(entries, "artists", "name_artists")).alias("artist"))
+    s = songs.select("song_id", "normalized_title", "duration", *_song_side(songs), F.explode(_ids(songs, "artists")).alias("artist"))
     pairs = equi_band_join(e, s, ["artist"], "ms", "duration", FUZZY_WINDOW).drop("artist").where(length_bound(F.col("core_title"), F.col("normalized_title"), TITLE_FLOOR)).dropDuplicates(["entry_id", "song_id"])
     scored = pairs.withColumn("similar", title_similarity(F.col("core_title"), F.col("normalized_title"))).where(F.col("similar") >= TITLE_FLOOR)
     near = 1 - F.abs(F.col("ms") - F.col("duration")) / FUZZY_WINDOW
-    scored = scored.withColumn("confidence", 0.7 * F.col("similar") + 0.2 * factor(artist_level(F.col("entry_artists"), F.col("song_artists"))) + 0.1 * near).where(F.col("confidence") >= least)
+    scored = scored.withColumn("confidence", 0.7 * F.col("similar") + 0.2 * factor(agreement()) + 0.1 * near).where(F.col("confidence") >= least)
     best = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("confidence"), "song_id"))
     return scored.withColumn("_r", best).where(F.col("_r") <= k).select("entry_id", "song_id", F.lit("FUZZY").alias("method"), F.round("confidence", 4).alias("confidence"), F.lit("pending").alias("status"))
 
@@ -157,11 +185,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def recording_edges(entries: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """Edges that connect what all same-recording pairs connect: equal title and artist, lengths within the tolerance.
+    """Edges that connect what all same-recording pairs connect: equal title, a common artist, lengths within the tolerance.
 
-    In order of length, each row needs an edge only to the one before it, if that is within the tolerance; a
+    The artist is the column of that name, else each of names, else each of artists and name_artists. In order of length, each row needs an edge only to the one before it, if that is within the tolerance; a
     chain of such edges reaches every pair.
     """
+    if "artist" not in entries.columns:
+        each = F.array_distinct("names") if "names" in entries.columns else _ids(entries, "artists", "name_artists")
+        entries = entries.select("entry_id", "core_title", "raw_duration", F.explode(each).alias("artist"))
     w = Window.partitionBy("core_title", "artist").orderBy("raw_duration", "entry_id")
     d = entries.where("core_title <> ''").withColumns({"b": F.lag("entry_id").over(w), "_d": F.lag("raw_duration").over(w)})
     return d.where(F.col("b").isNotNull() & (F.col("raw_duration") - F.col("_d") <= tolerance)).select(F.col("entry_id").alias("a"), "b")
@@ -225,5 +256,5 @@ def match_source(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy:
     conflicts = pair_conflicts(entries, "isrc")
     mappings = demote(match_cascade(entries, songs, codes, fuzzy), conflicts)
     left = entries.join(mappings.select("entry_id").distinct(), "entry_id", "left_anti")
-    groups = group_unmatched(left.withColumn("artist", F.element_at("artists", 1)), "isrc")
+    groups = group_unmatched(left, "isrc")
     return {"mappings": mappings, "conflicts": conflicts, "groups": groups, "issues": no_candidate_issues(entries, mappings, groups), "summary": summary(mappings)}

@@ -777,6 +777,29 @@ def _entries(t):
     return t.entries_v.withColumn("artists", F.array("artist_id"))
 
 
+def _artist_names(t):
+    """artist_id, name: guests (from 101 on) are named after a kind of part that some title credits."""
+    guests = t.part.where("p_partkey % 2 = 0").groupBy((101 + F.col("p_partkey") % 9).cast("int").alias("artist_id")).agg(F.min_by(F.lower("p_type"), F.struct(F.col("p_partkey") % 12 != 0, "p_partkey")).alias("name"))
+    own = t.song_artists_v.where("artist_id <= 100").select("artist_id", F.concat(F.lit("artist "), "artist_id").alias("name")).distinct()
+    return own.unionByName(guests)
+
+
+def _named_songs(t):
+    """_songs with the names of their artists, in the order of the ids."""
+    a = t.song_artists_v.select("song_id", "artist_id").distinct().join(_artist_names(t), "artist_id", "left").groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("artist_id", "name"))).alias("a"))
+    return t.songs_v.withColumn("normalized_title", F.col("title")).join(a, "song_id").withColumns({"artists": F.col("a.artist_id"), "artist_names": F.col("a.name")}).drop("a")
+
+
+def _resolved_entries(t):
+    """Entries with artists by code (a fifth has no code), artists by name, and the credits of their titles."""
+    names = _artist_names(t)
+    named = F.concat(F.lit("artist "), "artist_id")
+    coded = F.when((F.col("entry_id") - 100001) % 5 != 1, F.array(F.concat(F.lit("C"), "artist_id"))).otherwise(F.array().cast("array<string>"))
+    e = t.entries_v.withColumns({"codes": coded, "names": F.array(named), "credits": X.guest_credits(F.col("raw_title"))})
+    found = M.resolve_artists(e, names.select("artist_id", F.concat(F.lit("C"), "artist_id").alias("code")), names)
+    return e.join(found, "entry_id").withColumnRenamed("code_artists", "artists")
+
+
 @query("SELECT entry_id, a1 AS code_artist, (SELECT min(artist_id) FROM song_artists_v WHERE artist_id = a1) AS name_artist FROM (SELECT entry_id, artist_id AS a1 FROM entries_v)")
 def m01_resolve_artists(t):
     ids = t.song_artists_v.select("artist_id").distinct()
@@ -795,7 +818,15 @@ def m02_artist_level(t):
 
 @query("SELECT p_partkey, contains(p_name, string_split(p_type, ' ')[1]) AS credited FROM part")
 def m03_credited(t):
-    return t.part.select("p_partkey", F.contains("p_name", F.split("p_type", " ")[0]).alias("_x"), M.all_credited(F.array(F.split("p_type", " ")[0]), F.array(F.lit("-"))).alias("_y")).select("p_partkey", (F.col("_x") | F.col("_y")).alias("credited"))
+    return t.part.select("p_partkey", M.all_credited(F.array(F.split("p_type", " ")[0]), F.split("p_name", " ")).alias("credited"))
+
+
+@query()
+def m03_title_credits(t):
+    """Whether the names of all other artists of an entry's own song stand in the entry's title."""
+    songs = _named_songs(t).select((F.col("song_id") + 100000).alias("entry_id"), F.filter("artist_names", lambda n: ~n.startswith("artist ")).alias("guests"))
+    d = t.entries_v.join(songs, "entry_id").where(F.size("guests") > 0)
+    return d.select("entry_id", M.all_credited(F.col("guests"), X.guest_credits(F.col("raw_title"))).alias("credited"))
 
 
 _AUTH = "SELECT entry_id, song_id, max(authority) AS authority FROM (SELECT entry_id, 1 AS authority, apple_id AS authority_code FROM entries_v UNION ALL SELECT entry_id, 0, isrc FROM entries_v) JOIN song_authorities_v USING (authority, authority_code) GROUP BY ALL"
@@ -813,9 +844,14 @@ def m05_match_exact(t):
     return M.match_exact(_entries(t), _songs(t))
 
 
+@query()
+def m05_match_exact_resolved(t):
+    return M.match_exact(_resolved_entries(t), _named_songs(t))
+
+
 @query()
 def m06_match_fuzzy(t):
-    return M.match_fuzzy(_entries(t), _songs(t))
+    return M.match_fuzzy(_resolved_entries(t), _named_songs(t))
 
 
 _CASCADE = f"WITH auth AS ({_AUTH_OUT}) SELECT * FROM auth UNION ALL SELECT * FROM ({_EXACT_OUT}) WHERE entry_id NOT IN (SELECT entry_id FROM auth)"
@@ -907,7 +943,7 @@ def a16_match_summary(t):
 
 @query()
 def m17_match_source(t):
-    plan = M.match_source(_entries(t), _songs(t), t.song_authorities_v)
+    plan = M.match_source(_resolved_entries(t), _named_songs(t), t.song_authorities_v)
     m = plan["mappings"].select("entry_id", "song_id", "status")
     return m.unionByName(plan["groups"].select("entry_id", F.col("group_id").alias("song_id"), F.lit("grouped").alias("status")))
 
