@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import U64, chunks, mix
 
-#: Q-gram length, window length, step, edits allowed for each character.
+#: Q-gram length, window length, characters up to which an item is also asked for whole, edits allowed
+#: for each character.
 Q = 8
 WINDOW = 120
-STEP = 60
+WHOLE = 180
 EDITS = 0.07
 #: Characters of benchmark text in one broadcast index; more items are done in further blocks.
 BLOCK_CHARS = 2_000_000
@@ -28,12 +29,10 @@ def normal(text: str) -> str:
 
 
 def windows(text: str) -> list[str]:
-    """A short item is one window; a longer one is cut into overlapping windows, the last at its end."""
+    """Every stretch of WINDOW characters, and an item of at most WHOLE characters itself, which has a larger budget."""
     t = normal(text)
-    if len(t) <= WINDOW + STEP:
-        return [t] if t else []
-    at = [*range(0, len(t) - WINDOW, STEP), len(t) - WINDOW]
-    return [t[i : i + WINDOW] for i in at]
+    whole = [t] if 0 < len(t) <= WHOLE else []
+    return whole + ([t[i : i + WINDOW] for i in range(len(t) - WINDOW + 1)] if len(t) > WINDOW else [])
 
 
 def edit_budget(length: int) -> int:
@@ -56,20 +55,24 @@ def _qgrams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of the windows of some benchmark items."""
+    """Q-grams of benchmark items, each taken once; a stretch of an item is a range of its offsets.
+
+    An entry is an item with the length of the stretches of it that are asked for: WINDOW, or the whole item.
+    """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items, self.text, self.short = [], [], []
+        self.items, self.text, self.short, spans = [], [], [], []
         for i, t in items:
-            for w in windows(t or ""):
-                if len(w) < 2 * Q:  # too short for the lemma: asked for as it is
-                    self.short.append((i, w))
-                else:
-                    self.items.append(i)
-                    self.text.append(w)
-        size = np.asarray([len(w) for w in self.text], np.int64)
-        self.budget = np.asarray([edit_budget(n) for n in size], np.int64)
-        self.least = size - Q + 1 - Q * self.budget
+            w = normal(t or "")
+            if len(w) >= 2 * Q:
+                self.items.append(i)
+                self.text.append(w)
+                spans.append([n for n in (len(w), WINDOW) if n <= len(w) and (n == WINDOW or len(w) <= WHOLE)])
+            elif w:  # too short for the lemma: asked for as it is
+                self.short.append((i, w))
+        # for each item, (stretch length, budget, least shared q-grams)
+        self.asked = [[(n, edit_budget(n), n - Q + 1 - Q * edit_budget(n)) for n in dict.fromkeys(x)] for x in spans]
+        self.least = np.asarray([min(x[2] for x in a) for a in self.asked], np.int64)
         self.item_of = np.asarray(self.items, np.int64)
         grams = [_qgrams(_codes(w)) for w in self.text]
         h = np.concatenate(grams) if grams else np.zeros(0, U64)
@@ -115,8 +118,32 @@ def within(pattern: str, region: str, budget: int, first: int, last: int) -> boo
     return bool(cost.min() <= budget)
 
 
+def any_within(item: str, starts: np.ndarray, size: int, text: str, budget: int, first: int, last: int) -> bool:
+    """Whether within() holds for any stretch of the item from one of the starts, on the item's diagonals first..last."""
+    p, r = _codes(item), _codes(text)
+    ramp = np.arange(last - first + 1)
+    diag = starts[:, None] + first + ramp
+    big = budget + 1
+    cost = np.where((diag >= 0) & (diag <= len(r)), 0, big)
+    for i in range(1, size + 1):
+        j = diag + i
+        out = (j < 0) | (j > len(r))
+        ok = (j >= 1) & ~out
+        step = cost + np.where(ok, r[np.clip(j - 1, 0, len(r) - 1)] != p[starts + i - 1][:, None], big)
+        down = np.append(cost[:, 1:] + 1, np.full((len(starts), 1), big), axis=1)
+        new = np.where(out, big, np.minimum(step, down))
+        new = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        cost = np.minimum(np.where(out, big, new), big)
+        keep = cost.min(axis=1) <= budget
+        if not keep.all():
+            starts, diag, cost = starts[keep], diag[keep], cost[keep]
+            if not len(starts):
+                return False
+    return True
+
+
 def leaks(texts: list[str], index: Index) -> list[set[int]]:
-    """For every normalised text the benchmark items of which a window occurs in it within its edit budget."""
+    """For every normalised text the benchmark items of which one of windows() occurs in it within its edit budget."""
     found: list[set[int]] = [{i for i, w in index.short if w in t} for t in texts]
     if not len(index.hash):
         return found
@@ -134,21 +161,35 @@ def leaks(texts: list[str], index: Index) -> list[set[int]]:
         if size < index.least[w] or int(index.item_of[w]) in found[d]:
             continue
         rows = order[at : at + size]
-        if _aligned(texts[d], w, pos[rows] - begin[d] - off[rows], index):
+        if _aligned(texts[d], w, pos[rows] - begin[d] - off[rows], off[rows], index):
             found[d].add(int(index.item_of[w]))
     return found
 
 
-def _aligned(text: str, w: int, diag: np.ndarray, index: Index) -> bool:
-    """Bands of diagonals as wide as the budget on either side, each overlapping the next by half; those with enough q-grams are aligned."""
-    budget, size = int(index.budget[w]), len(index.text[w])
-    step = np.floor_divide(diag, budget + 1)
-    bands, n = np.unique(np.concatenate([step, step - 1]), return_counts=True)
-    for band in bands[n >= max(1, index.least[w])].tolist():
-        low, high = band * (budget + 1) - budget, (band + 2) * (budget + 1) + budget
-        begin = max(0, low)
-        if within(index.text[w], text[begin : high + size + 1], budget, low - begin, high - begin):
-            return True
+def _aligned(text: str, w: int, diag: np.ndarray, off: np.ndarray, index: Index) -> bool:
+    """Bands of diagonals as wide as the budget on either side, each overlapping the next by half.
+
+    In a band, every stretch whose offsets have enough q-grams is aligned: the first of them alone, as most
+    quotes are found by it, then all others at once.
+    """
+    item = index.text[w]
+    for size, budget, least in index.asked[w]:
+        step = np.floor_divide(diag, budget + 1)
+        bands, n = np.unique(np.concatenate([step, step - 1]), return_counts=True)
+        for band in bands[n >= max(1, least)].tolist():
+            low, high = band * (budget + 1) - budget, (band + 2) * (budget + 1) + budget
+            upto = np.append(0, np.cumsum(np.bincount(off[(step == band) | (step == band + 1)], minlength=len(item) - Q + 1)))
+            shared = upto[size - Q + 1 :] - upto[: len(upto) - (size - Q + 1)]
+            starts = np.flatnonzero(shared >= max(1, least))
+            if not len(starts):
+                continue
+            best = int(starts[np.argmax(shared[starts])])
+            begin = max(0, low + best)
+            if within(item[best : best + size], text[begin : max(0, high + best + size + 1)], budget, low + best - begin, high + best - begin):
+                return True
+            rest = starts[starts != best]
+            if any(any_within(item, rest[k : k + 4096], size, text, budget, low, high) for k in range(0, len(rest), 4096)):
+                return True
     return False
 
 
@@ -164,7 +205,7 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) for every document that holds a benchmark item, or a window of a long one.
+    """(doc_id, item_id) for every document that holds a benchmark item, or any stretch of WINDOW characters of one.
 
     Null and empty texts hold none, null and empty items are held by none; repeated rows give one row.
     """
