@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import chunks, stored
 
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Characters of context at most, hashed counters for each model, and the weight of the shorter context.
+#: Bytes of context at most, and the weight of the shorter context.
 ORDER = 5
-SLOTS = 1 << 20
 BACKOFF = 2.0
-SCHEMA = "page_id long, host string, path string, rule string, verdict string, score double"
+#: Grams in more than this part of all rows are broadcast; rows of one url are dealt to so many keys.
+HOT = 2000
+SALTS = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -39,88 +40,98 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     return df.withColumns({"rule": rule, "verdict": verdict})
 
 
-def _slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every character of every url: counters of (context, character) and of the context, for 0..ORDER characters before it."""
-    raw = [("\2" * ORDER + u + "\3").encode() for u in urls]
+def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(url, gram, times): every byte of every url, and its end, behind the ORDER bytes before it, as an exact number."""
+    raw = [b"\2" * ORDER + u.encode() + b"\3" for u in urls]
     size = np.asarray([len(r) for r in raw])
-    c = np.frombuffer(b"".join(raw), np.uint8).astype(U64)
+    c = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     inside = np.ones(len(c), bool)
     begin = np.cumsum(size) - size
     for k in range(ORDER):
         inside[begin + k] = False
     at = np.flatnonzero(inside)
-    ctx = np.zeros(len(at), U64)
-    pair, own = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
+    gram = np.zeros(len(at), np.int64)
     for o in range(ORDER + 1):
-        if o:
-            ctx = ctx * U64(257) + c[at - o] + U64(1)
-        h = mix(ctx * U64(8) + U64(o))
-        own[o] = (h % U64(SLOTS)).astype(np.int64)
-        pair[o] = (mix(h ^ (c[at] + U64(0x1F00))) % U64(SLOTS)).astype(np.int64)
-    return pair, own, np.repeat(np.arange(len(urls)), size - ORDER)
+        gram |= c[at - o] << (8 * o)
+    of = np.repeat(np.arange(len(urls)), size - ORDER)
+    order = np.lexsort((gram, of))
+    of, gram = of[order], gram[order]
+    first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (gram[1:] != gram[:-1])))
+    return of[first], gram[first], np.diff(np.append(first, len(of)))
 
 
-def counters(known: DataFrame) -> DataFrame:
-    """(model, slot, n) over all urls with a verdict: each task adds up its own, then Spark adds up the tasks'."""
+def grams(known: DataFrame) -> DataFrame:
+    """(k1, k2, gram, n, good, bad) for every different url, in rows of its different grams. known: k1, k2, text, good, bad."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, SLOTS), np.int32)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            urls, good = [u or "" for u in b.column(0).to_pylist()], np.asarray(b.column(1).to_pylist(), bool)
-            if len(urls):
-                pair, own, of = _slots(urls)
-                for m in (0, 1):
-                    pick = good[of] == bool(m)
-                    total[m, 0] += np.bincount(pair[:, pick].ravel(), minlength=SLOTS).astype(np.int32)
-                    total[m, 1] += np.bincount(own[:, pick].ravel(), minlength=SLOTS).astype(np.int32)
-        at = np.flatnonzero(total.ravel())
-        for i in range(0, len(at), 100_000):
-            some = at[i : i + 100_000]
-            yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total.ravel()[some], pa.int64())], names=["slot", "n"])
-
-    return known.select("url", (F.col("verdict") == "allow").alias("good")).mapInArrow(add, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-def log_ratio(urls: list[str], total: np.ndarray) -> np.ndarray:
-    """Mean over characters of log P(accepted model) - log P(rejected model); contexts back off by their counts."""
-    if not urls:
-        return np.zeros(0)
-    pair, own, of = _slots(urls)
-    logs = []
-    for m in (0, 1):
-        p = np.full(pair.shape[1], 1 / 256)
-        for o in range(ORDER + 1):
-            n, c = total[m, 1][own[o]], total[m, 0][pair[o]]
-            p = (np.minimum(c, n) + BACKOFF * p) / (n + BACKOFF)
-        logs.append(np.log(p))
-    size = np.bincount(of, minlength=len(urls))
-    return np.bincount(of, weights=logs[1] - logs[0], minlength=len(urls)) / size
+            texts = b.column(2).to_pylist()
+            for first, last in chunks(texts, 200_000):
+                of, gram, n = _grams(texts[first:last])
+                take = pa.array(of + first)
+                yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(gram), pa.array(n), b.column(3).take(take), b.column(4).take(take)], names=["k1", "k2", "gram", "n", "good", "bad"])
+
+    return known.select("k1", "k2", "text", "good", "bad").mapInArrow(cut, "k1 long, k2 long, gram long, n long, good long, bad long")
+
+
+def log_ratios(rows: DataFrame) -> DataFrame:
+    """(gram, times, ratio): log P(accepted model) - log P(rejected model) of the last byte, in billionths.
+
+    Counts are exact, of each order's contexts and of the bytes behind them, and are rows of Spark tables that grow
+    with the input. Contexts back off by their counts. A key of any join here stands in at most 256 rows.
+    """
+    seen = rows.groupBy("gram").agg(F.sum("n").alias("times"), F.sum(F.col("n") * F.col("good")).alias("c1"), F.sum(F.col("n") * F.col("bad")).alias("c0"))
+    seen = stored(seen, "grams")
+    model = None
+    for o in range(ORDER + 1):
+        pair = F.col("gram").bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1))
+        pairs = seen if o == ORDER else seen.groupBy(pair.alias("gram")).agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+        pairs = pairs.withColumn("context", F.shiftright("gram", 8))
+        own = pairs.groupBy("context").agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
+        pairs = pairs.join(own, "context")
+        if model is None:
+            pairs = pairs.withColumns({"q1": F.lit(1 / 256), "q0": F.lit(1 / 256)})
+        else:
+            shorter = model.select(F.col("gram").alias("shorter"), F.col("p1").alias("q1"), F.col("p0").alias("q0"))
+            pairs = pairs.join(shorter, F.col("gram").bitwiseAND(F.lit((1 << 8 * o) - 1)) == F.col("shorter"))
+        model = pairs.withColumns({f"p{m}": (F.col(f"c{m}") + BACKOFF * F.col(f"q{m}")) / (F.col(f"n{m}") + BACKOFF) for m in "10"})
+    return model.select("gram", "times", F.round((F.log("p1") - F.log("p0")) * 1e9).cast("long").alias("ratio"))
+
+
+def scores(known: DataFrame) -> DataFrame:
+    """(k1, k2, good, bad, score) of every different url: the mean log ratio over its bytes and its end.
+
+    Grams in over a HOTth of all rows are joined by a broadcast of those few; the others by their value.
+    """
+    rows = grams(known)
+    model = stored(log_ratios(rows), "model")
+    most = model.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0] / HOT
+    hot = model.where(F.col("times") > most).select("gram", "ratio")
+    d = rows.join(F.broadcast(hot), "gram", "left")
+    cold = d.where("ratio IS NULL").drop("ratio").join(model.where(F.col("times") <= most).select("gram", "ratio"), "gram")
+    both = d.where("ratio IS NOT NULL").unionByName(cold)
+    total = both.groupBy("k1", "k2").agg(F.max("good").alias("good"), F.max("bad").alias("bad"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("ratio")).alias("sum"))
+    return stored(total.select("k1", "k2", "good", "bad", (F.col("sum") / F.col("size") / 1e9).alias("score")), "url-scores")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, bins: int = 2001) -> DataFrame:
     """Rule verdicts, and for the other urls the models'.
 
-    Every url with a rule's verdict trains the model of that verdict, its host and path as one text; the
-    threshold is the cut of the score histogram of those same urls that makes the least balanced error. A null
-    url, or one without ://, has empty host and path, no rule, and the models' verdict on the empty text.
-    Repeated rows are judged each. The counters have a fixed size, whatever the corpus.
+    Every row with a rule's verdict trains the model of that verdict with its whole url; the threshold is the cut
+    of the score histogram of those same rows that makes the least balanced error. A null url is the empty text; it
+    and urls without :// have empty host and path and no rule. Repeated rows are judged each. Different urls are
+    told apart by two 64-bit hashes.
     """
-    spark = pages.sparkSession
-    df = ruled(pages, rules).withColumn("url", F.concat("host", "path"))
-    known = df.where(F.col("rule").isNotNull())
-    total = np.zeros(4 * SLOTS, np.float32)
-    for b in counters(known).select("slot", F.col("n").cast("float").alias("n")).toArrow().to_batches():
-        total[b.column(0).to_numpy()] = b.column(1).to_numpy()
-    model = spark.sparkContext.broadcast(total.reshape(2, 2, SLOTS))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            urls = [u or "" for u in b.column(5).to_pylist()]
-            yield pa.record_batch([*b.columns[:5], pa.array(log_ratio(urls, model.value), pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    scored = df.select("page_id", "host", "path", "rule", "verdict", "url").mapInArrow(score, SCHEMA)
+    text = F.coalesce("url", F.lit(""))
+    df = ruled(pages, rules).withColumns({"text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text)})
+    known = df.groupBy("k1", "k2", "text").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
+    judged = scores(known)
     cell = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("score") + 1) * (bins - 1) / 2))).alias("cell")
-    seen = scored.where(F.col("rule").isNotNull()).groupBy(cell, "verdict").agg(F.count(F.lit(1)).alias("n")).collect()
+    kinds = F.explode(F.array(F.struct(F.lit("allow").alias("verdict"), F.col("good").alias("n")), F.struct(F.lit("block").alias("verdict"), F.col("bad").alias("n"))))
+    seen = judged.select(cell, kinds.alias("k")).where("k.n > 0").groupBy("cell", "k.verdict").agg(F.sum("k.n").alias("n")).collect()
+    # one url may be most rows: its rows are dealt by page
+    salted = judged.select("k1", "k2", "score", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    scored = df.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"]).select("page_id", "host", "path", "rule", "verdict", "score")
     n = np.zeros((2, bins))
     for r in seen:
         n[int(r.verdict == "allow"), int(r.cell)] += r.n
