@@ -136,15 +136,26 @@ def conflict_issues(pairs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
 
 
 def pair_conflicts(entries: DataFrame, code: str, tolerance: int = TOLERANCE) -> DataFrame:
-    """Entries of one code that disagree on title or length, both directions: entry_id, other_id, reason.
+    """Entries of one code that disagree on title, length or artists, both directions: entry_id, other_id, reason.
 
-    Pairs are needed only between different contents, so equal ones are first taken together.
+    Artists disagree where both entries have some and none in common; they are those of names, else of artists and
+    name_artists, where the table has such columns. Pairs are made between different contents, and members are
+    joined to them as rows by a content id.
     """
-    kinds = entries.where(F.col(code).isNotNull()).groupBy(code, "core_title", "raw_duration").agg(F.collect_list("entry_id").alias("ids"))
-    a = kinds.select(code, F.col("core_title").alias("ta"), F.col("raw_duration").alias("da"), F.col("ids").alias("ia"))
-    b = kinds.select(code, F.col("core_title").alias("tb"), F.col("raw_duration").alias("db"), F.col("ids").alias("ib"))
-    found = F.array_compact(F.array(F.when(F.col("ta") != F.col("tb"), F.lit("title")), F.when(F.abs(F.col("da") - F.col("db")) > tolerance, F.lit("duration"))))
-    return a.join(b, code).select("ia", "ib", F.explode(found).alias("reason")).select(F.explode("ia").alias("entry_id"), "ib", "reason").select("entry_id", F.explode("ib").alias("other_id"), "reason")
+    if "names" in entries.columns:
+        artists = F.array_distinct(F.coalesce("names", F.array().cast("array<string>")))
+    else:
+        artists = _ids(entries, "artists", "name_artists") if "artists" in entries.columns else F.array().cast("array<int>")
+    content = F.struct("code", "title", "ms", "who")
+    rows = entries.where(F.col(code).isNotNull()).select("entry_id", F.col(code).alias("code"), F.col("core_title").alias("title"), F.col("raw_duration").alias("ms"), F.array_sort(artists).alias("who")).withColumn("id", F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
+    kinds = rows.select("id", "code", "title", "ms", "who").distinct()
+    a, b = (kinds.select("code", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "title", "ms", "who")]) for x in "ab")
+    apart = (F.size("who_a") > 0) & (F.size("who_b") > 0) & ~F.arrays_overlap("who_a", "who_b")
+    found = F.array_compact(F.array(F.when(F.col("title_a") != F.col("title_b"), F.lit("title")), F.when(F.abs(F.col("ms_a") - F.col("ms_b")) > tolerance, F.lit("duration")), F.when(apart, F.lit("artist"))))
+    pairs = a.join(b, "code").select("id_a", "id_b", F.explode(found).alias("reason"))
+    one = rows.select(F.col("id").alias("id_a"), "entry_id")
+    other = rows.select(F.col("id").alias("id_b"), F.col("entry_id").alias("other_id"))
+    return pairs.join(one, "id_a").join(other, "id_b").select("entry_id", "other_id", "reason")
 
 
 def demote(mappings: DataFrame, flagged: DataFrame) -> DataFrame:

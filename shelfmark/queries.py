@@ -889,6 +889,11 @@ def m09_pair_conflicts(t):
     return M.pair_conflicts(_coded_docs(t), "isrc")
 
 
+@query(f"WITH d AS ({_ISRC}) SELECT a.entry_id, b.entry_id AS other_id, 'title' AS reason FROM d a JOIN d b USING (isrc) WHERE a.core_title <> b.core_title UNION ALL SELECT a.entry_id, b.entry_id, 'duration' FROM d a JOIN d b USING (isrc) WHERE abs(a.raw_duration - b.raw_duration) > 2000 UNION ALL SELECT a.entry_id, b.entry_id, 'artist' FROM d a JOIN d b USING (isrc) WHERE a.entry_id % 7 <> b.entry_id % 7")
+def m09_pair_conflicts_artists(t):
+    return M.pair_conflicts(_coded_docs(t).withColumn("artists", F.array((F.col("entry_id") % 7).cast("int"))), "isrc")
+
+
 @query(f"WITH c AS ({_CASCADE.replace('WITH auth AS', 'WITH auth AS', 1)}) SELECT entry_id, song_id, method, CASE WHEN entry_id % 5 = 0 AND status = 'confirmed' THEN least(confidence, 0.92) ELSE confidence END AS confidence, CASE WHEN entry_id % 5 = 0 AND status = 'confirmed' THEN 'pending' ELSE status END AS status FROM c")
 def m10_demote(t):
     return M.demote(M.match_cascade(_entries(t), _songs(t), t.song_authorities_v, fuzzy=False), t.entries_v.where("entry_id % 5 = 0"))
