@@ -636,6 +636,11 @@ def x08_remove_punctuation(t):
     return _ascii_docs(t).select("doc_id", X.remove_punctuation(F.col("x")).alias("x"))
 
 
+@query()
+def x08_remove_punctuation_whole(t):
+    return t.documents.select("doc_id", X.remove_punctuation(F.col("text")).alias("x"))
+
+
 @query("SELECT doc_id, regexp_replace(text, '\\p{C}', '', 'g') AS x FROM documents")
 def x09_strip_controls(t):
     return t.documents.select("doc_id", X.strip_controls(F.col("text")).alias("x"))
@@ -651,6 +656,11 @@ def x11_normalize_light(t):
     return _ascii_docs(t).select("doc_id", X.normalize_light(F.col("x")).alias("x"))
 
 
+@query()
+def x11_normalize_light_whole(t):
+    return t.documents.select("doc_id", X.normalize_light(F.col("text")).alias("x"))
+
+
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 2 WHEN 'es' THEN 4 WHEN 'fr' THEN 8 ELSE 1 END AS bit FROM documents")
 def x12_locale_bit(t):
     return t.documents.select("doc_id", C.locale_bit(F.col("lang")).alias("bit"))
