@@ -73,7 +73,6 @@ class Index:
         # for each item, (stretch length, budget, least shared q-grams)
         self.asked = [[(n, edit_budget(n), n - Q + 1 - Q * edit_budget(n)) for n in dict.fromkeys(x)] for x in spans]
         self.least = np.asarray([min(x[2] for x in a) for a in self.asked], np.int64)
-        self.item_of = np.asarray(self.items, np.int64)
         grams = [_qgrams(_codes(w)) for w in self.text]
         h = np.concatenate(grams) if grams else np.zeros(0, U64)
         order = np.argsort(h, kind="stable")
@@ -158,11 +157,11 @@ def leaks(texts: list[str], index: Index) -> list[set[int]]:
     n = np.diff(np.append(first, len(key)))
     for at, size in zip(first.tolist(), n.tolist()):
         d, w = divmod(int(key[at]), len(index.text))
-        if size < index.least[w] or int(index.item_of[w]) in found[d]:
+        if size < index.least[w] or index.items[w] in found[d]:
             continue
         rows = order[at : at + size]
         if _aligned(texts[d], w, pos[rows] - begin[d] - off[rows], off[rows], index):
-            found[d].add(int(index.item_of[w]))
+            found[d].add(index.items[w])
     return found
 
 
@@ -193,6 +192,10 @@ def _aligned(text: str, w: int, diag: np.ndarray, off: np.ndarray, index: Index)
     return False
 
 
+def _by_id(i: int | None) -> tuple[bool, int]:
+    return i is None, i or 0
+
+
 def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of bounded text, so that any size of it can be broadcast piece by piece."""
     items = items.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
@@ -201,13 +204,14 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         if rows:
-            yield sorted((r.item_id, r.text) for r in rows)
+            yield sorted(((r.item_id, r.text) for r in rows), key=lambda r: (_by_id(r[0]), r[1]))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) for every document that holds a benchmark item, or any stretch of WINDOW characters of one.
 
-    Null and empty texts hold none, null and empty items are held by none; repeated rows give one row.
+    Null and empty texts hold none, null and empty items are held by none; items without
+    an id are one item, counted and without a place in the list of ids; repeated rows give one row.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -221,7 +225,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ids, texts, got = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], []
                 for first, last in chunks(texts, 1_000_000):
                     some = [normal(t) for t in texts[first:last]]
-                    got += [(i, x) for i, items in zip(ids[first:last], leaks(some, own)) for x in sorted(items)]
+                    got += [(i, x) for i, items in zip(ids[first:last], leaks(some, own)) for x in sorted(items, key=_by_id)]
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*got) if got else ([], []))], names=["doc_id", "item_id"])
 
         part = docs.mapInArrow(scan, SCHEMA)

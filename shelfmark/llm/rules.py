@@ -26,12 +26,20 @@ _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 
 
+def _packed(ids: np.ndarray) -> np.ndarray:
+    return (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+
+
 def repeated_words(ids: np.ndarray) -> int:
     """Words that lie in a three-word window found twice or more."""
     n = len(ids)
     if n < 4:
         return 0
-    key = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    if ids.max() >= 1 << 21:  # pairs of words first, numbered anew, so that three fit in 64 bits
+        two = np.unique((ids[:-1] << 32) | ids[1:], return_inverse=True)[1].astype(np.int64)
+        key = (two[:-1] << 32) | ids[2:]
+    else:
+        key = _packed(ids)
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(n - 2, bool)
@@ -73,8 +81,6 @@ class Hasher:
             self.__init__()
         if len(words) > 1_500_000:
             order = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            if len(order) >= 1 << 21:
-                raise ValueError("a text has over two million different words")
             ids = np.asarray([order[w] for w in words], np.int64)
         else:
             ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
