@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, chunks, mix, stored
@@ -17,11 +17,9 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS = 32
 ROWS = 5
-#: Compared with all others of its bucket in one round, at most so many documents of each bucket: first some of
-#: its largest class, to which most of the rest belong, then those of its smallest classes until none is left.
-FEW = 8
-CENTRES = 512
-SIGNATURE = "doc_id long, a long, b long, n long, bands array<long>"
+#: Members of a group of which all pairs are checked; larger groups go by their centre.
+SMALL = 8
+SIGNATURE = "doc_id long, row long, node long, n long, bands array<long>"
 
 
 def _cells() -> Iterator[tuple[float, np.ndarray]]:
@@ -119,22 +117,26 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, 128 bits that name the text's weighted shingles, their number, and band keys (none without words)."""
+    """doc_id, row (a hash of id and text), node (64 bits that name the text's weighted shingles), their number, and band keys (none without words)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler()
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            ids, row, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
             for i, j in chunks(texts, 2_000_000):
                 units = [own.units(t) for t in texts[i:j]]
                 n = np.asarray([len(u) for u in units], np.int64)
-                names = np.asarray([[int(mix(u).sum()), int(mix(u ^ U64(0x5851F42D4C957F2D)).sum())] for u in units], U64).view(np.int64)
+                node = np.asarray([int(mix(u).sum()) for u in units], U64).view(np.int64)
                 keys = band_keys(signatures(units))
                 size = np.where(n > 0, BANDS, 0)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys[n > 0].ravel(), pa.int64()))
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(n), bands], names=["doc_id", "a", "b", "n", "bands"])
+                yield pa.record_batch([ids.slice(i, j - i), row.slice(i, j - i), pa.array(node), pa.array(n), bands], names=["doc_id", "row", "node", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), _row().alias("row"), "text").mapInArrow(sign, SIGNATURE)
+
+
+def _row() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -142,42 +144,56 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 0.0
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def _units(docs: DataFrame, todo: DataFrame) -> DataFrame:
+    """(node, units) of the texts of todo (node, row), each text once."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler()
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, j in chunks(texts, 1_000_000):
+                units = [own.units(t) for t in texts[i:j]]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(u) for u in units])]), pa.int32()), pa.array(np.concatenate(units).view(np.int64)))
+                yield pa.record_batch([b.column(0).slice(i, j - i), lists], names=["node", "units"])
+
+    texts = docs.groupBy(_row().alias("row")).agg(F.any_value("text").alias("text"))  # repeated rows meet before the join
+    return texts.join(todo, "row").select("node", "text").mapInArrow(unfold, "node long, units array<long>")
+
+
+def _linked(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """Of these pairs (u, v) those whose exact weighted similarity is high enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler()
-        last: tuple = (None, None)
         for b in batches:
-            u, v, tu, tv = (c.to_pylist() for c in b.columns)
-            keep = []
-            for i in range(len(u)):
-                if last[0] != v[i]:
-                    last = (v[i], own.units(tv[i]))
-                if similarity(own.units(tu[i]), last[1]) >= SIMILAR:
-                    keep.append(i)
-            yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["u", "v"])
+            keep = pa.array([similarity(x, y) >= SIMILAR for x, y in zip(_arrays(b.column(2)), _arrays(b.column(3)))], pa.bool_())
+            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
-    one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
-    two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long")
+    one, two = (units.select(F.col("node").alias(k), F.col("units").alias(f"units_{k}")) for k in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "units_u", "units_v").mapInArrow(check, "u long, v long")
 
 
-def _found_elsewhere(texts: DataFrame) -> DataFrame:
-    """doc and how many of its weighted shingles some other of these texts has too: no pair shares more than that."""
+def _against_centres(members: DataFrame, units: DataFrame) -> DataFrame:
+    """members: centre, node, n, weight, label. Adds centre_n, both (how many units node and centre share) and rest (node's other units)."""
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, all_texts = b.column(0), b.column(1).to_pylist()
-            for i, j in chunks(all_texts, 1_000_000):
-                units = [own.units(t) for t in all_texts[i:j]]
-                doc = np.repeat(ids.slice(i, j - i).to_numpy(), [len(u) for u in units])
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(np.concatenate(units).view(np.int64))], names=["doc", "unit"])
+            both, rest, size = [], [], []
+            for x, c in zip(_arrays(b.column(5)), _arrays(b.column(6))):
+                r = np.setdiff1d(x, c, assume_unique=True)
+                both.append(len(x) - len(r))
+                rest.append(r)
+                size.append(len(c))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rest])]), pa.int32()), pa.array(np.concatenate([*rest, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(size, pa.int64()), pa.array(both, pa.int64()), lists], names=["centre", "node", "n", "weight", "label", "centre_n", "both", "rest"])
 
-    units = texts.select("doc_id", "text").mapInArrow(unfold, "doc long, unit long")
-    alone = units.groupBy("unit").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("doc")).where("k = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
-    return texts.select(F.col("doc_id").alias("doc")).join(alone, "doc", "left").select("doc", F.coalesce("alone", F.lit(0)).alias("alone"))
+    own, centre = units, units.select(F.col("node").alias("centre"), F.col("units").alias("centre_units"))
+    both = members.join(own, "node").join(centre, "centre").select("centre", "node", "n", "weight", "label", "units", "centre_units")
+    return both.mapInArrow(compare, "centre long, node long, n long, weight long, label long, centre_n long, both long, rest array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,59 +218,98 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("doc"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("doc"), F.col("v").alias("label"))).distinct()
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return stored(components(links), "labels")
+def _next_groups(compared: DataFrame, turn: int) -> DataFrame:
+    """Groups in which every pair lies that may still be linked, of members compared with one centre.
+
+    Of such a pair one, x, is not linked to the centre: it shares under SIMILAR / (1 + SIMILAR) * (n + centre_n)
+    units with it, and a linked pair shares at least that part of its own sizes' sum. So x and y share a unit
+    that the centre lacks, or y is smaller than the centre and both share enough with it. The first are
+    grouped by that unit, the others by the centre; groups whose members have one label are done.
+    """
+    need = SIMILAR / (1 + SIMILAR)
+    far = F.col("both") < need * (F.col("n") + F.col("centre_n")) - 1e-6
+    label = F.when(far, F.col("label")).otherwise(F.col("centre"))
+    by_unit = compared.select("centre", F.explode("rest").alias("unit"), "node", "n", "weight", label.alias("label")).select(F.xxhash64("centre", "unit", F.lit(turn)).alias("key"), "node", "n", "weight", "label", F.col("weight").alias("rank"))
+    reach = F.floor(F.col("both") / need + 1e-6).cast("long") - F.col("n")  # the largest partner without another shared unit
+    ends = compared.groupBy("centre").agg(F.min("n").alias("least"), F.max(F.when(far, reach)).alias("reach")).where("reach >= least")
+    by_size = compared.join(ends, "centre").where((F.col("both") >= SIMILAR * F.col("n") - 1e-6) & ((far & (reach >= F.col("least"))) | (F.col("n") <= F.col("reach"))))
+    by_size = by_size.select(F.xxhash64("centre", F.lit(-turn)).alias("key"), "node", "n", "weight", label.alias("label"), (-F.col("n")).alias("rank"))
+    rows = stored(by_unit.unionByName(by_size), "rest")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return stored(rows.join(mixed, "key", "left_semi"), "members")
+
+
+def _links(members: DataFrame, units: DataFrame) -> DataFrame:
+    """Links (u, v) among the members of each key: enough of them to connect all that are linked.
+
+    In small groups all pairs of different labels are checked. The members of a larger one are checked against its
+    centre alone, the one of most rank; then those pairs are grouped anew that can still be linked.
+    members: key, node, n, weight, label, rank.
+    """
+    found, turn = None, 0
+    while not members.isEmpty():
+        turn += 1
+        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("rank", "node")).alias("top"))
+        sized = stored(members.join(stored(size.select("key", "size", F.col("top.node").alias("centre")), "sizes"), "key"), "sized")
+        small, large = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
+        one, two = (small.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label"))) for k in "uv")
+        alike = F.least("n_u", "n_v") >= SIMILAR * F.greatest("n_u", "n_v") - 1e-6
+        pairs = one.join(two, "key").where((F.col("node_u") < F.col("node_v")) & (F.col("label_u") != F.col("label_v")) & alike).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+        links = stored(_linked(pairs, units), "links")
+        found = links if found is None else found.unionByName(links)
+        asked = large.where("node <> centre").groupBy("centre", "node").agg(F.min("n").alias("n"), F.min("weight").alias("weight"), F.min("label").alias("label"))
+        compared = stored(_against_centres(stored(asked, "asked"), units), "compared")
+        near = F.col("both") >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("centre_n")) - 1e-6
+        found = found.unionByName(compared.where(near).select(F.col("node").alias("u"), F.col("centre").alias("v")))
+        members = _next_groups(compared, turn)
+    return found
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n, and for texts with words class_id and best (the row hash of the class's least row), for every row."""
+    sig = stored(signed(docs), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))  # an id before none
+    texts = sig.where("n > 0").groupBy("node").agg(first.alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    texts = stored(texts, "texts")
+    rows = texts.select("node", "n", F.explode("bands").alias("key"))
+    often = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "often")
+    shared = stored(rows.join(often, "key"), "shared")
+    # a text near the middle of its group meets most of the others
+    weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    units = stored(_units(docs, weights.join(texts, "node").select("node", F.col("rep.row").alias("row"))), "units")
+    members = stored(shared.join(weights, "node").select("key", "node", "n", "weight", F.col("node").alias("label"), F.col("weight").alias("rank")), "members")
+    links = _links(members, units)
+    reps = texts.select("node", "rep")
+    if links is None:
+        named = reps
+    else:
+        label = stored(components(links).select(F.col("doc").alias("node"), "label"), "labels")
+        least = reps.join(label, "node").groupBy("label").agg(F.min("rep").alias("least"))
+        named = reps.join(label.join(least, "label"), "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
+    named = named.select("node", F.col("rep.doc_id").alias("class_id"), F.col("rep.row").alias("best"))
+    return sig.drop("bands").join(stored(named, "named"), "node", "left")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id, the least doc_id of its class, for every row.
+    """doc_id, class_id (the least doc_id of its class) and n_shingles, for every row.
 
     Texts of equal weighted shingles (five lower-cased words) are one class at once; of the others, pairs that
-    share a band are checked exactly, and those of similarity 0.8 or more are linked. Within a bucket not all
-    pairs are made: every member is compared with a centre; then, as long as a bucket has members of different
-    classes, a few of its largest class and then members of its smallest classes are centres in turn, until no
-    two members of different classes are left uncompared. A null, empty or white-space text is a class of its own. Repeated rows get the same class.
+    share a band are linked if their exact similarity is 0.8 or more, and linked texts are one class. No bucket is
+    expanded to all pairs: see _links. A null, empty or white-space text is a class of its own. Rows are judged by their text:
+    repeated rows get the same class, and rows of one id with different texts those of their texts. Rows without an
+    id take part; their class is the least id in it, or null. Texts may be of any length; columns other than doc_id
+    and text are ignored. Texts are told apart by 64-bit sums of hashed shingles.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = stored(signed(docs), "signatures")
-    exact = sig.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    rows = stored(exact.where("rep is not null").select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("key")), "bands")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first")).where("size > 1").drop("size")
-    members = stored(rows.join(shared, "key"), "members")
-    texts = stored(docs.dropDuplicates(["doc_id"]).join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    members = stored(members.join(_found_elsewhere(texts), "doc").withColumn("most", F.col("n") - F.col("alone")).drop("alone"), "members")
-    links = None
-    label = members.select("doc", F.col("doc").alias("label")).distinct()
-    tested = None
-    done = members.select("key", F.col("first").alias("doc")).distinct()
-    centres = members.where("doc = first").select("key", F.col("doc").alias("centre"), F.col("n").alias("centre_n"), F.col("most").alias("centre_most"), F.lit(None).cast("long").alias("centre_label"))
-    now = members.select("key", "doc", "n", "most", F.lit(None).cast("long").alias("label"))
-    turn = 0
-    while True:
-        apart = F.coalesce(F.col("label") != F.col("centre_label"), F.lit(True)) & (F.col("doc") != F.col("centre"))
-        both = F.least("most", "centre_most")  # they cannot share more, so this test loses no pair
-        alike = both * (1 + SIMILAR) >= SIMILAR * (F.col("n") + F.col("centre_n")) - 1e-6
-        pairs = now.join(centres, "key").where(apart & alike).select(F.greatest("doc", "centre").alias("u"), F.least("doc", "centre").alias("v")).distinct()
-        if tested is not None:
-            # written first: else Spark takes tested pairs away before the distinct, from many times the rows
-            pairs = stored(pairs, "pairs").join(tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(_linked(pairs, texts), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = _labels(links)
-        label = members.select("doc").distinct().join(comp, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
-        here = members.select("key", "doc", "n", "most").join(done, ["key", "doc"], "left_anti").join(label, "doc")
-        sizes = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key")
-        now = stored(here.join(mixed, "key", "left_semi").join(sizes, ["key", "label"]), "open")
-        if now.isEmpty():
-            break
-        turn += 1
-        few = turn <= 2
-        slot = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(FEW if few else CENTRES))
-        centres = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct((-F.col("size") if few else F.col("size")).alias("size"), F.xxhash64("doc").alias("h"), "doc", "n", "most", "label")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.most").alias("centre_most"), F.col("c.label").alias("centre_label"))
-        centres = stored(centres, "centres")
-        done = done.unionByName(centres.select("key", F.col("centre").alias("doc")))
-    named = exact.select("a", "b", "n", "rep").join(comp.select(F.col("doc").alias("rep"), "label"), "rep", "left").select("a", "b", "n", F.coalesce("label", "rep").alias("class_id"))
-    return sig.drop("bands").join(named, ["a", "b", "n"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
+    found = _classes(docs.select("doc_id", "text"))
+    return found.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, of the first text of each class: the one with the least id.
+
+    Every text without words stays. Rows that repeat both id and text are one row.
+    """
+    rows = _classes(docs.select("doc_id", "text"))
+    keep = rows.where("n = 0 OR row = best").select(F.col("row").alias("near_dups_row")).distinct()
+    named = docs.withColumn("near_dups_row", _row())
+    return named.join(stored(keep, "keep"), "near_dups_row", "left_semi").dropDuplicates(["near_dups_row"]).select(*docs.columns)
