@@ -17,8 +17,11 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS = 32
 ROWS = 5
-#: Members of a group of which all pairs are checked; larger groups go by their centre.
-SMALL = 8
+NEED = SIMILAR / (1 + SIMILAR)
+TINY = 1e-6
+#: Members of a group of which all pairs are checked, and how many members of a larger one show its base.
+SMALL = 32
+SAMPLE = 32
 SIGNATURE = "doc_id long, row long, node long, n long, bands array<long>"
 
 
@@ -177,23 +180,35 @@ def _linked(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "units_u", "units_v").mapInArrow(check, "u long, v long")
 
 
-def _against_centres(members: DataFrame, units: DataFrame) -> DataFrame:
-    """members: centre, node, n, weight, label. Adds centre_n, both (how many units node and centre share) and rest (node's other units)."""
+def _bases(groups: DataFrame, units: DataFrame) -> DataFrame:
+    """(group, base): the units that most members of a group have, as far as about SAMPLE of its members show.
+
+    Results do not hang on it, as any set of units serves as a base; a good one leaves little to compare.
+    """
+
+    def most(group: pa.Table) -> pa.Table:
+        lists = [x for c in group.column("units").chunks for x in _arrays(c)]
+        unit, n = np.unique(np.concatenate(lists), return_counts=True)
+        return pa.table({"group": group.column("group")[:1], "base": pa.array([unit[2 * n > len(lists)]], pa.list_(pa.int64()))})
+
+    some = groups.where(F.pmod(F.xxhash64("node"), F.col("size")) < SAMPLE).select("group", "node")
+    return some.join(units, "node").select("group", "units").groupBy("group").applyInArrow(most, "group long, base array<long>")
+
+
+def _against_bases(members: DataFrame, units: DataFrame, bases: DataFrame) -> DataFrame:
+    """members: group, node, n, weight, label. Adds base_n, both (units shared with the base), more (others of the node) and less (others of the base)."""
+    kinds = [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both, rest, size = [], [], []
+            rows = []
             for x, c in zip(_arrays(b.column(5)), _arrays(b.column(6))):
-                r = np.setdiff1d(x, c, assume_unique=True)
-                both.append(len(x) - len(r))
-                rest.append(r)
-                size.append(len(c))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rest])]), pa.int32()), pa.array(np.concatenate([*rest, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(size, pa.int64()), pa.array(both, pa.int64()), lists], names=["centre", "node", "n", "weight", "label", "centre_n", "both", "rest"])
+                more = np.setdiff1d(x, c, assume_unique=True)
+                rows.append((len(c), len(x) - len(more), np.sort(more), np.setdiff1d(c, x, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, kinds))], names=["group", "node", "n", "weight", "label", "base_n", "both", "more", "less"])
 
-    own, centre = units, units.select(F.col("node").alias("centre"), F.col("units").alias("centre_units"))
-    both = members.join(own, "node").join(centre, "centre").select("centre", "node", "n", "weight", "label", "units", "centre_units")
-    return both.mapInArrow(compare, "centre long, node long, n long, weight long, label long, centre_n long, both long, rest array<long>")
+    both = members.join(units, "node").join(bases, "group").select("group", "node", "n", "weight", "label", "units", "base")
+    return both.mapInArrow(compare, "group long, node long, n long, weight long, label long, base_n long, both long, more array<long>, less array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,50 +233,78 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("doc"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("doc"), F.col("v").alias("label"))).distinct()
 
 
-def _next_groups(compared: DataFrame, turn: int) -> DataFrame:
-    """Groups in which every pair lies that may still be linked, of members compared with one centre.
+def _scored(compared: DataFrame) -> DataFrame:
+    """Adds to each member compared with its group's base: score, and of the group the node of most score, that score, the most score of those not linked to that node (far), and the least size.
 
-    Of such a pair one, x, is not linked to the centre: it shares under SIMILAR / (1 + SIMILAR) * (n + centre_n)
-    units with it, and a linked pair shares at least that part of its own sizes' sum. So x and y share a unit
-    that the centre lacks, or y is smaller than the centre and both share enough with it. The first are
-    grouped by that unit, the others by the centre; groups whose members have one label are done.
+    With NEED = SIMILAR / (1 + SIMILAR), x and y are linked if and only if they share NEED * (n_x + n_y) units, that is
+    if they share at least -(score_x + score_y) of the units in which each differs from the base. So all whose
+    score makes up for the best one's are linked to that one without a look at it.
     """
-    need = SIMILAR / (1 + SIMILAR)
-    far = F.col("both") < need * (F.col("n") + F.col("centre_n")) - 1e-6
-    label = F.when(far, F.col("label")).otherwise(F.col("centre"))
-    by_unit = compared.select("centre", F.explode("rest").alias("unit"), "node", "n", "weight", label.alias("label")).select(F.xxhash64("centre", "unit", F.lit(turn)).alias("key"), "node", "n", "weight", "label", F.col("weight").alias("rank"))
-    reach = F.floor(F.col("both") / need + 1e-6).cast("long") - F.col("n")  # the largest partner without another shared unit
-    ends = compared.groupBy("centre").agg(F.min("n").alias("least"), F.max(F.when(far, reach)).alias("reach")).where("reach >= least")
-    by_size = compared.join(ends, "centre").where((F.col("both") >= SIMILAR * F.col("n") - 1e-6) & ((far & (reach >= F.col("least"))) | (F.col("n") <= F.col("reach"))))
-    by_size = by_size.select(F.xxhash64("centre", F.lit(-turn)).alias("key"), "node", "n", "weight", label.alias("label"), (-F.col("n")).alias("rank"))
-    rows = stored(by_unit.unionByName(by_size), "rest")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return stored(rows.join(mixed, "key", "left_semi"), "members")
-
-
-def _links(members: DataFrame, units: DataFrame) -> DataFrame:
+    score = F.col("both") - NEED * F.col("n") - F.col("base_n") / 2
+    compared = compared.withColumn("score", score)
+    best = stored(compared.groupBy("group").agg(F.max(F.struct("score", "node")).alias("best"), F.min("n").alias("least")), "best")
+    found = compared.join(best.select("group", F.col("best.node").alias("top"), F.col("best.score").alias("top_score"), "least"), "group")
+    return found.withColumn("far", F.col("score") + F.col("top_score") < -TINY)
+
+
+def _next_groups(scored: DataFrame, turn: int) -> DataFrame:
+    """Groups in which every pair lies that may still be linked, of members scored against their group's base.
+
+    Of two members of different labels one is far. They share NEED * (n_x + n_y) units if linked. If either has fewer
+    units of the base, they share a unit outside it, and as many as lack. Else they share a unit in which both
+    differ from the base. Of n units of which so many must be shared, all but the last ones, in one order, are
+    enough to meet on one.
+    """
+    least = F.greatest(F.ceil(SIMILAR * F.col("n") - TINY), F.col("least"))
+    lack = F.greatest(F.lit(1), F.ceil(NEED * (F.col("n") + least) - F.col("both") - TINY))
+    reach = F.floor(F.col("both") / NEED + TINY) - F.col("n")  # the largest partner for which the base's units are enough
+    label = F.when(F.col("far"), F.col("label")).otherwise(F.col("top"))
+    rest = stored(scored.withColumns({"label": label, "lack": lack.cast("int"), "reach": reach}), "rest")
+    head = lambda units, lack: F.explode(F.slice(units, 1, F.greatest(F.lit(0), F.size(units) - lack + 1)))
+    common = ("group", "node", "n", "weight", "label", "far", "reach")
+    outside = rest.select(*common, head(F.col("more"), F.col("lack")).alias("unit")).withColumn("kind", F.lit(2 * turn))
+    # the others, as far as sizes allow a pair with a far member
+    ends = rest.groupBy("group").agg(F.max(F.when(F.col("far"), F.col("reach"))).alias("far_reach"), F.max(F.when(F.col("far"), F.col("score"))).alias("far_score")).where("far_reach IS NOT NULL")
+    near = rest.join(ends, "group").where(F.when(F.col("far"), F.col("reach") >= F.col("least")).otherwise(False) | (F.col("n") <= F.col("far_reach")) & (F.col("reach") >= F.col("least")))
+    lack = F.greatest(F.lit(1), F.ceil(-F.col("score") - F.when(F.col("far"), F.col("top_score")).otherwise(F.col("far_score")) - TINY)).cast("int")
+    inside = near.select(*common, head(F.sort_array(F.concat("more", "less")), lack).alias("unit")).withColumn("kind", F.lit(2 * turn + 1))
+    rows = stored(outside.unionByName(inside).withColumn("key", F.xxhash64("group", "unit", "kind")), "unit-groups")
+    keys = rows.groupBy("key").agg(F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max(F.when(F.col("far"), F.col("reach"))).alias("far_reach"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"))
+    keys = keys.where(F.col("far") & (F.col("low") < F.col("high")))
+    # of groups with the same members one is enough
+    keys = keys.groupBy("size", "name").agg(F.min_by(F.struct("key", "least", "far_reach"), F.col("key")).alias("one")).select("one.*")
+    rows = rows.drop("far_reach").join(stored(keys.withColumnRenamed("least", "key_least"), "keys"), "key")
+    possible = (F.col("kind") % 2 == 0) | F.col("far") & (F.col("reach") >= F.col("key_least")) | (F.col("n") <= F.col("far_reach"))
+    return stored(rows.where(possible).select("key", "node", "n", "weight", "label"), "members")
+
+
+def _links(members: DataFrame, units: DataFrame) -> DataFrame | None:
     """Links (u, v) among the members of each key: enough of them to connect all that are linked.
 
-    In small groups all pairs of different labels are checked. The members of a larger one are checked against its
-    centre alone, the one of most rank; then those pairs are grouped anew that can still be linked.
-    members: key, node, n, weight, label, rank.
+    In small groups all pairs of different labels are checked. The members of a larger one are compared with its
+    base; then those pairs are grouped anew that can still be linked. members: key, node, n, weight, label.
     """
     found, turn = None, 0
     while not members.isEmpty():
-        turn += 1
-        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("rank", "node")).alias("top"))
-        sized = stored(members.join(stored(size.select("key", "size", F.col("top.node").alias("centre")), "sizes"), "key"), "sized")
+        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "node")).alias("top"))
+        sized = members.join(stored(size.select("key", "size", F.col("top.node").alias("top")), "sizes"), "key")
+        sized = stored(sized, "sized")
         small, large = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
         one, two = (small.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label"))) for k in "uv")
-        alike = F.least("n_u", "n_v") >= SIMILAR * F.greatest("n_u", "n_v") - 1e-6
+        alike = F.least("n_u", "n_v") >= SIMILAR * F.greatest("n_u", "n_v") - TINY
         pairs = one.join(two, "key").where((F.col("node_u") < F.col("node_v")) & (F.col("label_u") != F.col("label_v")) & alike).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
         links = stored(_linked(pairs, units), "links")
         found = links if found is None else found.unionByName(links)
-        asked = large.where("node <> centre").groupBy("centre", "node").agg(F.min("n").alias("n"), F.min("weight").alias("weight"), F.min("label").alias("label"))
-        compared = stored(_against_centres(stored(asked, "asked"), units), "compared")
-        near = F.col("both") >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("centre_n")) - 1e-6
-        found = found.unionByName(compared.where(near).select(F.col("node").alias("u"), F.col("centre").alias("v")))
-        members = _next_groups(compared, turn)
+        # the buckets of one group of texts have one member of most weight: they are one group
+        group = F.col("key") if turn else F.col("top")
+        groups = large.groupBy(group.alias("group"), "node").agg(F.min("n").alias("n"), F.min("weight").alias("weight"), F.min("label").alias("label"))
+        groups = stored(groups, "groups")
+        counted = stored(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "counted")
+        bases = stored(_bases(groups.join(counted, "group"), units), "bases")
+        scored = stored(_scored(stored(_against_bases(groups, units, bases), "compared")), "scored")
+        found = found.unionByName(scored.where("NOT far AND node <> top").select(F.col("node").alias("u"), F.col("top").alias("v")))
+        members = _next_groups(scored, turn)
+        turn += 1
     return found
 
 
@@ -277,7 +320,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     # a text near the middle of its group meets most of the others
     weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     units = stored(_units(docs, weights.join(texts, "node").select("node", F.col("rep.row").alias("row"))), "units")
-    members = stored(shared.join(weights, "node").select("key", "node", "n", "weight", F.col("node").alias("label"), F.col("weight").alias("rank")), "members")
+    members = stored(shared.join(weights, "node").select("key", "node", "n", "weight", F.col("node").alias("label")), "members")
     links = _links(members, units)
     reps = texts.select("node", "rep")
     if links is None:
