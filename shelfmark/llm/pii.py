@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +30,33 @@ PATTERNS = {
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Madame|Monsieur)\.? [A-ZÀ-Þ][\w'-]{1,30}(?: [A-ZÀ-Þ][\w'-]{1,30})?",
     "birth_date": r"\b(?:born|dob|date of birth|geboren|nacido|née?)\b[ :,a-z]{0,12}[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}",
 }
+#: Written for this library from common knowledge: frequent top-level domains, country calling codes, the countries
+#: whose IBANs are frequent, and frequent given names. Not complete: a labeler may be wrong, its reliability is estimated.
+_DOMAINS = "com org net edu gov mil int info biz name io ai app dev me tv co de fr es it uk eu ie nl be ch at dk se no fi pl pt cz gr hu ro ru ua tr il in cn jp kr au nz ca us mx br ar cl za".split()
 GAZETTEER = {
-    "email": frozenset("com org net edu gov io de fr es uk eu info".split()),
-    "spoken_email": frozenset("com org net edu gov io de fr es uk eu info".split()),
-    "phone": frozenset("1 7 20 30 31 32 33 34 39 40 41 43 44 45 46 47 48 49 52 54 55 61 81 82 86 91".split()),
-    "iban": frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()),
-    "name": frozenset("Anna Carlos Emma Hans James Jean John Juan Maria Marie Mary Michael Paul Peter Robert Sarah Thomas".split()),
+    "email": frozenset(_DOMAINS),
+    "spoken_email": frozenset(_DOMAINS),
+    "phone": frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()),
+    "iban": frozenset("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split()),
+    "name": frozenset("Alice Anna Antonio Carlos Carmen Charles Charlotte Christine Claire Daniel David Elena Elizabeth Emma Eva François Frank Hans Heinrich Isabel James Jean Jennifer John José Juan Julia Karl Klaus Laura Linda Louis Lucia Luis Manuel Marc María Maria Marie Mary Michael Miguel Nicolas Patricia Paul Pedro Peter Pierre Richard Robert Sarah Sophie Stefan Susan Thomas Ursula William Wolfgang".split()),
 }
 POSITIVE = re.compile(r"(?i)\b(e-?mail|mail|correo|courriel|phone|tel|call|fax|mobile|telefon|teléfono|téléphone|card|visa|credit|account|iban|ssn|social security|address|name|contact|born|ip|host|server|login)\b[^\n]{0,25}$")
 NEGATIVE = re.compile(r"(?i)\b(version|v|release|section|chapter|isbn|issn|order|page|figure|table|build|serial|part no)\.?\s{0,2}$")
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Madame", "Monsieur")
+_WORD = re.compile(r"\w+")
+_RUNS = re.compile(r"[A-ZÀ-Þ]+|[^\W\dA-ZÀ-Þ_]+|\d+")
 VOTES = ("regex", "gazetteer", "context", "against", "edge")
+#: What the classifier sees besides kind and votes: two bits of form, the span's shape and the word before it, both
+#: hashed to so many buckets, which bounds the table of patterns that reaches the driver.
+SEEN = ("many_digits", "separators", "shape", "word")
+SHAPES = 16
+WORDS = 32
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -54,7 +70,8 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        parts = [p.lstrip("0") for p in s.split(".")]
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     digits = "".join(c for c in s if "0" <= c <= "9")
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -68,13 +85,35 @@ def _valid(kind: str, s: str) -> bool:
     return True
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the email pattern, from one @ to the next, in linear time."""
+    end = at = 0
+    while (sign := text.find("@", at)) >= 0:
+        first = max(end, at)
+        begin = first + len(text[first:sign].rstrip(_LOCAL))
+        at = sign + 1
+        if begin < sign and (m := _DOMAIN.match(text, at)):
+            yield begin, m.end()
+            end = m.end()
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the ip pattern: of each dotted run of numbers four parts after four, in linear time."""
+    for m in _DOTTED.finditer(text):
+        ends = [x.end() for x in _DIGITS.finditer(text, m.start(), m.end())]
+        begins = [m.start(), *(e + 1 for e in ends)]
+        for k in range(0, len(ends) - 3, 4):
+            yield begins[k], ends[k + 3]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base kinds: leftmost matches that do not overlap, failing ones dropped."""
     out = []
     if "@" in text:
-        out += [(0, m.start(), m.end()) for m in _COMPILED["email"].finditer(text)]
+        out += [(0, s, e) for s, e in _emails(text)]
     if _DIGIT.search(text):
-        for k in (1, 2, 3):
+        out += [(1, s, e) for s, e in _ips(text) if _valid("ip", text[s:e])]
+        for k in (2, 3):
             if k != 3 or "+" in text:
                 out += [(k, m.start(), m.end()) for m in _COMPILED[KINDS[k]].finditer(text) if _valid(KINDS[k], m[0])]
     return out
@@ -83,7 +122,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Base spans, then spans of the added kinds that overlap neither those nor each other."""
     out = base_spans(text)
-    taken = sorted((s, e) for _, s, e in out)
+    taken: list[tuple[int, int]] = []  # joined, in order
+    for s, e in sorted((s, e) for _, s, e in out):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
     digit = bool(_DIGIT.search(text))
     for k in range(len(BASE), len(KINDS)):
         kind = KINDS[k]
@@ -92,14 +136,15 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         if kind not in ("spoken_email", "name", "ip6") and not digit:
             continue
         for m in _COMPILED[kind].finditer(text):
-            if all(m.end() <= s or m.start() >= e for s, e in taken):
+            i = bisect_left(taken, (m.end(), 0))
+            if not i or taken[i - 1][1] <= m.start():
                 out.append((k, m.start(), m.end()))
-                taken.append((m.start(), m.end()))
+                taken.insert(i, (m.start(), m.end()))
     return out
 
 
 def votes(text: str, k: int, s: int, e: int) -> tuple[int, ...]:
-    """Each labeler's vote on a span: 1 for, -1 against, 0 none; then two bits of shape."""
+    """Each labeler's vote on a span: 1 for, -1 against, 0 none; then what only the classifier sees: see SEEN."""
     kind, span = KINDS[k], text[s:e]
     digits = sum(c.isdigit() for c in span)
     known = GAZETTEER.get(kind)
@@ -122,9 +167,16 @@ def votes(text: str, k: int, s: int, e: int) -> tuple[int, ...]:
         1 if edge else -1,
         int(digits >= 9),
         int(any(c in " -.()" for c in span)),
+        zlib.crc32(_shape(span).encode()) % SHAPES,
+        zlib.crc32((_WORD.findall(before.lower()) or [""])[-1].encode()) % WORDS,
     )
 
 
+def _shape(span: str) -> str:
+    """Runs of capitals, letters and digits as one sign each, other characters as they are."""
+    return _RUNS.sub(lambda m: "A" if m[0][0].isupper() else "0" if m[0][0].isdigit() else "a", span)
+
+
 def weigh(table: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns: P(personal) of each, and each labeler's reliability.
 
@@ -152,13 +204,14 @@ def weigh(table: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarra
 def _inputs(table: np.ndarray) -> np.ndarray:
     kinds = np.eye(len(KINDS))[table[:, 0]]
     v = table[:, 1 : 1 + len(VOTES)]
-    return np.concatenate([kinds, v == 1, v == -1, table[:, -2:], np.ones((len(table), 1))], 1).astype(float)
+    digits, separators, shape, word = table[:, -4:].T
+    return np.concatenate([kinds, v == 1, v == -1, digits[:, None], separators[:, None], np.eye(SHAPES)[shape], np.eye(WORDS)[word], np.ones((len(table), 1))], 1).astype(float)
 
 
 def fit(rows: list) -> dict:
-    """The span classifier: logistic regression on the weighed patterns. rows: (kind, votes, shape, count)."""
+    """The span classifier: logistic regression on the weighed patterns. rows: (kind, votes, SEEN, count)."""
     if not rows:
-        rows = [(k, 1, 0, 0, 0, 1, 0, 0, 1) for k in range(len(BASE))]
+        rows = [(k, 1, 0, 0, 0, 1, 0, 0, 0, 0, 1) for k in range(len(BASE))]
     a = np.asarray(rows, np.int64)
     p, reliability = weigh(a[:, :-1], a[:, -1].astype(float))
     x, n = _inputs(a[:, :-1]), a[:, -1].astype(float)
@@ -171,8 +224,8 @@ def fit(rows: list) -> dict:
 
 
 def pattern_counts(docs: DataFrame) -> DataFrame:
-    """How often each (kind, votes, shape) occurs among all candidates; a bounded table."""
-    names = ["kind", *VOTES, "many_digits", "separators"]
+    """How often each (kind, votes, SEEN) occurs among all candidates; a bounded table."""
+    names = ["kind", *VOTES, *SEEN]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
