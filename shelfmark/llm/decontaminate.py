@@ -21,6 +21,8 @@ EDITS = 0.07
 BLOCK_CHARS = 2_000_000
 SCHEMA = "doc_id long, item_id long"
 _TABLE_BITS = 22
+#: Places where a text and items share a q-gram that are looked at together.
+HITS = 2_000_000
 
 
 def normal(text: str) -> str:
@@ -68,7 +70,7 @@ class Index:
                 self.items.append(i)
                 self.text.append(w)
                 spans.append([n for n in (len(w), WINDOW) if n <= len(w) and (n == WINDOW or len(w) <= WHOLE)])
-            elif w:  # too short for the lemma: asked for as it is
+            elif w:  # too short for the lemma, and for a place within a text to tell anything
                 self.short.append((i, w))
         # for each item, (stretch length, budget, least shared q-grams)
         self.asked = [[(n, edit_budget(n), n - Q + 1 - Q * edit_budget(n)) for n in dict.fromkeys(x)] for x in spans]
@@ -79,19 +81,40 @@ class Index:
         self.hash = h[order]
         self.window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int64)
         self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
+        self.aligned: dict[tuple, bool] = {}
+        self._grams: tuple[int, np.ndarray, np.ndarray] = (-1, h[:0], self.offset[:0])
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.hash >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, window, offset) of every q-gram that the text shares with a window."""
+    def grams(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """The q-grams of one item in order, with their offsets; the last item's are kept."""
+        if self._grams[0] != w:
+            h = _qgrams(_codes(self.text[w]))
+            order = np.argsort(h, kind="stable")
+            self._grams = (w, h[order], order)
+        return self._grams[1:]
+
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, first entry, entries) of every q-gram of a text that some item has; nothing is expanded."""
         at = np.flatnonzero(self.table[(h >> U64(64 - _TABLE_BITS)).view(np.int64)])
         low = np.searchsorted(self.hash, h[at], "left")
         real = self.hash[np.minimum(low, len(self.hash) - 1)] == h[at]
         at, low = at[real], low[real]
-        n = np.searchsorted(self.hash, h[at], "right") - low
-        pos = np.repeat(at, n)
-        which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return pos, self.window[which], self.offset[which]
+        return at, low, np.searchsorted(self.hash, h[at], "right") - low
+
+
+def _expanded(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def _slices(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries that expand to about HITS rows each."""
+    upto = np.cumsum(n)
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + HITS, "right")))
+        yield first, last
+        first = last
 
 
 def within(pattern: str, region: str, budget: int, first: int, last: int) -> bool:
@@ -143,28 +166,47 @@ def any_within(item: str, starts: np.ndarray, size: int, text: str, budget: int,
 
 def leaks(texts: list[str], index: Index) -> list[set[int]]:
     """For every normalised text the benchmark items of which one of windows() occurs in it within its edit budget."""
-    found: list[set[int]] = [{i for i, w in index.short if w in t} for t in texts]
+    found: list[set[int]] = [{i for i, w in index.short if w == t} for t in texts]
     if not len(index.hash):
         return found
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    pos, win, off = index.hits(_qgrams(_codes("\0".join(texts))))
-    # the lemma without place first: a text must share enough q-grams with a window at all
+    h = _qgrams(_codes("\0".join(texts)))
+    pos, low, n = index.found(h)
     doc = np.searchsorted(begin, pos, "right") - 1
-    key = doc * len(index.text) + win
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(key)))
-    for at, size in zip(first.tolist(), n.tolist()):
-        d, w = divmod(int(key[at]), len(index.text))
-        if size < index.least[w] or index.items[w] in found[d]:
-            continue
-        rows = order[at : at + size]
-        if _aligned(texts[d], w, pos[rows] - begin[d] - off[rows], off[rows], index):
+    # the lemma without place first: a text must share enough q-grams with an item at all. Counts only, slice by slice
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i, j in _slices(n):
+        key, k = np.unique(np.repeat(doc[i:j], n[i:j]) * len(index.text) + index.window[_expanded(low[i:j], n[i:j])], return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, k]), minlength=len(keys)).astype(np.int64)
+    enough = counts >= index.least[keys % len(index.text)] if len(keys) else np.zeros(0, bool)
+    for key in keys[enough].tolist():
+        d, w = divmod(key, len(index.text))
+        if index.items[w] not in found[d] and _shared(texts[d], h[begin[d] : max(begin[d], begin[d + 1] - Q)], w, index):
             found[d].add(index.items[w])
     return found
 
 
+def _shared(text: str, h: np.ndarray, w: int, index: Index) -> bool:
+    """Whether a stretch of item w occurs in the text, which is gone through in overlapping parts of bounded hits."""
+    mine, offset = index.grams(w)
+    low = np.searchsorted(mine, h, "left")
+    n = np.searchsorted(mine, h, "right") - low
+    overlap = 2 * (WHOLE + edit_budget(WHOLE))  # more than any alignment spans
+    first = 0
+    upto = np.concatenate([[0], np.cumsum(n)])
+    while first < len(h):
+        last = min(len(h), max(first + 2 * overlap, int(np.searchsorted(upto, upto[first] + HITS, "right")) - 1))
+        at = first + np.flatnonzero(n[first:last])
+        off = offset[_expanded(low[at], n[at])]
+        if _aligned(text, w, np.repeat(at, n[at]) - off, off, index):
+            return True
+        if last == len(h):
+            break
+        first = last - overlap
+    return False
+
+
 def _aligned(text: str, w: int, diag: np.ndarray, off: np.ndarray, index: Index) -> bool:
     """Bands of diagonals as wide as the budget on either side, each overlapping the next by half.
 
@@ -182,16 +224,28 @@ def _aligned(text: str, w: int, diag: np.ndarray, off: np.ndarray, index: Index)
             starts = np.flatnonzero(shared >= max(1, least))
             if not len(starts):
                 continue
-            best = int(starts[np.argmax(shared[starts])])
-            begin = max(0, low + best)
-            if within(item[best : best + size], text[begin : max(0, high + best + size + 1)], budget, low + best - begin, high + best - begin):
-                return True
-            rest = starts[starts != best]
-            if any(any_within(item, rest[k : k + 4096], size, text, budget, low, high) for k in range(0, len(rest), 4096)):
+            least_start = int(starts[0])
+            begin = max(0, low + least_start)
+            part, region = item[least_start : int(starts[-1]) + size], text[begin : max(0, high + int(starts[-1]) + size + 1)]
+            key = (part, region, (starts - least_start).tobytes(), size, low + least_start - begin)
+            if key not in index.aligned:  # passages that repeat, within a text or among items, are aligned once
+                if len(index.aligned) > 20_000:
+                    index.aligned.clear()
+                index.aligned[key] = _stretches_within(part, region, starts - least_start, shared[starts], size, budget, low + least_start - begin, high + least_start - begin)
+            if index.aligned[key]:
                 return True
     return False
 
 
+def _stretches_within(part: str, region: str, starts: np.ndarray, shared: np.ndarray, size: int, budget: int, low: int, high: int) -> bool:
+    best = int(starts[np.argmax(shared)])
+    begin = max(0, low + best)
+    if within(part[best : best + size], region[begin : max(0, high + best + size + 1)], budget, low + best - begin, high + best - begin):
+        return True
+    rest = starts[starts != best]
+    return any(any_within(part, rest[k : k + 4096], size, region, budget, low, high) for k in range(0, len(rest), 4096))
+
+
 def _by_id(i: int | None) -> tuple[bool, int]:
     return i is None, i or 0
 
@@ -210,8 +264,10 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) for every document that holds a benchmark item, or any stretch of WINDOW characters of one.
 
-    Null and empty texts hold none, null and empty items are held by none; items without
-    an id are one item, counted and without a place in the list of ids; repeated rows give one row.
+    Items of under 2 * Q characters say too little: only a text that is such an item as a whole holds it. Null and
+    empty texts hold none, null and empty items are held by none; items without an id are one item, counted and
+    without a place in the list of ids; repeated rows give one row. Texts may be of any length, and any number of
+    items may share a passage. Columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
