@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .rules import platt
+from .rules import FIT_CHARS, labelled, platt
 
 #: The field is fitted on at most so many labelled rows, those of the smallest hashes of doc_id.
 FIT_ROWS = 4000
@@ -166,7 +166,7 @@ def score(model: dict, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["a"] * _logit(_share(p, size, first)) + model["b"], -30, 30)))
 
 
-def line_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def line_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
     """Score of every whole text; rows with crc32(doc_id) mod 3 = 1 are held out of the fit.
 
     A null or empty text has no lines and the score of a text whose lines are all bad. Repeated rows score alike.
@@ -174,10 +174,8 @@ def line_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     sc = docs.sparkSession.sparkContext
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    ids = labels.where(F.col("quality").isNotNull() & ~held).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    half = [ids.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2) for y in (0, 1)]
-    rows = docs.join(F.broadcast(half[0].unionByName(half[1])), "doc_id").dropDuplicates(["doc_id"]).collect()
-    model = sc.broadcast(fit([(r.doc_id, r.text or "", int(r.quality)) for r in rows]))
+    rows = labelled(docs, labels.where(~held), fit_rows, fit_chars).collect()
+    model = sc.broadcast(fit([(r.doc_id, r.text, int(r.quality)) for r in rows]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

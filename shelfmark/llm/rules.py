@@ -16,6 +16,8 @@ from .common import U64
 
 #: The regression is fitted on at most so many labelled rows, those of the smallest hashes of doc_id.
 FIT_ROWS = 4000
+#: Longer texts are scored, but not learned from.
+FIT_CHARS = 50_000
 #: Rows below this calibrated probability are rejected.
 KEEP_AT = 0.5
 BITS = 17
@@ -92,9 +94,9 @@ class Hasher:
         return ids, np.fromiter(map(h.__getitem__, words), U64, len(words))
 
 
-def features(raw: bytes, hashes: np.ndarray) -> list[np.ndarray]:
-    """Buckets of one- and two-word grams and of three- and four-byte grams, each kind in a range of its own."""
-    chars = np.frombuffer(raw, np.uint8).astype(U64)
+def features(text: str, hashes: np.ndarray) -> list[np.ndarray]:
+    """Buckets of one- and two-word grams and of three- and four-character grams, each kind in a range of its own."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
     return [_grams(hashes, 1, 1), _grams(hashes, 2, 2) + SIZE, _grams(chars, 3, 3) + 2 * SIZE, _grams(chars, 4, 4) + 3 * SIZE]
 
 
@@ -106,9 +108,8 @@ def fit(sample: DataFrame, label: str = "quality", rounds: int = 12, rate: float
     rows = sorted(((r.doc_id, r.text or "", int(r[label])) for r in sample.collect()), key=lambda r: zlib.crc32(str(r[0]).encode()))
     hasher, xs, ys = Hasher(), [], []
     for _, text, y in rows:
-        raw = text.encode()
-        ids, h = hasher.words(raw.split())
-        xs.append([(u, (c / c.sum()).astype(np.float32)) for u, c in (np.unique(f, return_counts=True) for f in features(raw, h)) if len(u)])
+        _, h = hasher.words(text.encode().split())
+        xs.append([(u.astype(np.int32), (c / c.sum()).astype(np.float32)) for u, c in (np.unique(f, return_counts=True) for f in features(text, h)) if len(u)])
         ys.append(y)
     w, y = np.zeros(4 * SIZE, np.float32), np.asarray(ys, float)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -149,17 +150,27 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def probability(model: dict, raw: bytes, hashes: np.ndarray) -> float:
-    z = sum(float(model["w"][f].mean()) for f in features(raw, hashes) if len(f))
+def probability(model: dict, text: str, hashes: np.ndarray) -> float:
+    z = sum(float(model["w"][f].mean()) for f in features(text, hashes) if len(f))
     return float(1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30))))
 
 
-def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """The regression, fitted on the labelled rows of docs."""
-    ids = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) -> DataFrame:
+    """doc_id, text, quality of at most fit_rows rows, half of either label, those of the least hashes of doc_id.
+
+    Texts of over fit_chars characters are not learned from, which bounds the sample in bytes. Of several labels
+    of a document the lowest counts, of several texts the first in order.
+    """
+    ids = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     half = [ids.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2) for y in (0, 1)]
     chosen = half[0].unionByName(half[1])  # few ids: bounded by fit_rows
-    return fit(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= fit_chars)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> dict:
+    """The regression, fitted on the labelled rows of docs."""
+    return fit(labelled(docs, labels, fit_rows, fit_chars))
 
 
 def judged(texts: list[str | None], hasher: Hasher, model: dict, keep_at: float) -> list[tuple]:
@@ -172,7 +183,7 @@ def judged(texts: list[str | None], hasher: Hasher, model: dict, keep_at: float)
         ids, h = hasher.words(words)
         counts = base_counts(t, words, ids)
         failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-        p = probability(model, raw, h)
+        p = probability(model, t, h)
         rows.append((*counts, failed, not failed and p >= keep_at, p))
     return rows
 
