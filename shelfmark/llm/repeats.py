@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,14 @@ from .common import U64, mix, stored
 LENGTH = 200
 Q = 64
 _STARTS = LENGTH - Q + 1
-#: A bucket of more different contexts (about 8 MB of bytes) is refined over the cluster, not in one task.
-LARGE = 25_000
+#: Length of the first buckets in a task; doubled by each refinement until it is LENGTH.
+FIRST = 50
+#: A bucket of more different contexts (about 1.3 MB of bytes) is dealt anew by its next refinement.
+LARGE = 4_000
 #: Bytes of text worked on at once.
 PART = 2_000_000
 RUNS = "h long, c long, doc_id long, lo int, n int, at int"
-CONTEXTS = "h long, doc_id long, lo int, n int, at int, bytes binary"
+CONTEXTS = "h long, size long, doc_id long, lo int, n int, at int, least int, most int, bytes binary"
 SPANS = "doc_id long, lo int, hi int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -133,28 +137,81 @@ def all_runs(docs: DataFrame) -> DataFrame:
 def repeated_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which of these starts have a string of LENGTH bytes that another of them has too.
 
-    Bucket-pointer refinement: the q-gram bucket of each place is refined by the bucket of the place Q further
-    on; the numbers so made are used again, at the place where the string's last 2 * Q bytes begin, to tell
-    LENGTH bytes apart. Starts alone in a bucket leave before the second step.
+    Bucket-pointer refinement: the bucket of each place, first a q-gram's, is refined by the bucket of the place as
+    many bytes further on; the buckets so made are refined in the same way, until they tell LENGTH bytes apart.
+    Starts alone in a bucket leave on the way. What is left in one bucket is compared byte by byte.
     """
-    p = Prefix(data)
-    last = LENGTH - 2 * Q
-    wanted = np.zeros(len(data), bool)
-    wanted[starts] = True
-    wanted[starts + last] = True
-    places = np.flatnonzero(wanted)
-    bucket = mix(p.of(places, places + Q) * U64(0x9E3779B97F4A7C15) + p.of(places + Q, places + 2 * Q))
-    number = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
-    index = np.cumsum(wanted) - 1
-    one, two = number[index[starts]], number[index[starts + last]]
     again = np.zeros(len(starts), bool)
-    size = np.bincount(one)
-    left = np.flatnonzero(size[one] > 1)
-    pair, n = np.unique((one[left] << 32) | two[left], return_inverse=True)
-    again[left] = np.bincount(n, minlength=len(pair))[n] > 1
+    left = np.arange(len(starts))
+    p = Prefix(data)
+    place = np.unique(np.concatenate([starts + k for k in range(0, LENGTH, FIRST)]))
+    bucket = p.of(place, place + FIRST)
+    length = FIRST
+    while True:
+        number = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
+        own = number[np.searchsorted(place, starts[left])]
+        many = np.bincount(own)[own] > 1
+        left, own = left[many], own[many]
+        if length == LENGTH or not len(left):
+            break
+        further = np.unique(np.concatenate([starts[left] + k for k in range(0, LENGTH, 2 * length)]))
+        bucket = (number[np.searchsorted(place, further)] << 32) | number[np.searchsorted(place, further + length)]
+        place, length = further, 2 * length
+    order = np.argsort(own, kind="stable")
+    left, own = left[order], own[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    leader = np.repeat(starts[left[first]], np.diff(np.append(first, len(own))))
+    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    same = np.zeros(len(left), bool)
+    for i in range(0, len(left), 50_000):
+        same[i : i + 50_000] = (view[starts[left[i : i + 50_000]]] == view[leader[i : i + 50_000]]).all(1)
+    if same.all():
+        again[left] = True
+    else:  # different strings of one hash
+        text = [data[x : x + LENGTH].tobytes() for x in starts[left]]
+        n = Counter(text)
+        again[left] = [n[t] > 1 for t in text]
     return again
 
 
+def _refined(contexts: DataFrame) -> DataFrame:
+    """Contexts dealt anew by their bucket's next refinement.
+
+    The anchor of a start lies least to most bytes behind it, so that all its bucket's strings share the bytes from
+    least before the anchor to LENGTH - most behind it. The starts with the anchor in the nearer half of that
+    range are told apart by the next bytes behind those, the others by the bytes before them. At last a bucket
+    has strings of one place of the anchor alone, which share all LENGTH bytes.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for h, _, doc, lo, n, at, least, most, raw in zip(*(c.to_pylist() for c in b.columns)):
+                middle = (least + most) // 2
+                seed = h.to_bytes(8, "little", signed=True)
+                for near in (True, False):
+                    # start i has its anchor at - i bytes behind it
+                    i, j = (max(0, at - middle), n) if near else (0, min(n, at - middle))
+                    if i < j:
+                        part = raw[at + LENGTH - most : at + LENGTH - middle] if near else raw[at - middle - 1 : at - least]
+                        key = xxhash.xxh64_intdigest(seed + (b"r" if near else b"l") + part)
+                        ends = (least, middle) if near else (middle + 1, most)
+                        rows.append((key - (key >> 63 << 64), 0, doc, lo + i, j - i, at - i, *ends, raw[i : j - 1 + LENGTH]))
+                if len(rows) > 10_000:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
+
+    return contexts.mapInArrow(split, CONTEXTS)
+
+
+_CONTEXT = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in CONTEXTS.split(", ")])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_CONTEXT), _CONTEXT)], schema=_CONTEXT)
+
+
 def _bucket_spans(contexts: DataFrame) -> DataFrame:
     """Spans of starts that repeat, for contexts dealt by bucket; buckets are worked on side by side."""
 
@@ -190,20 +247,19 @@ def _bucket_spans(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(refine, SPANS)
 
 
-def _window_spans(contexts: DataFrame) -> DataFrame:
-    """The same for large buckets: every start's string is named by its hash and counted over the cluster."""
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for h, doc, lo, n, _, raw in zip(*cols):
-                p = Prefix(np.frombuffer(raw, np.uint8))
-                i = np.arange(n)
-                yield pa.record_batch([pa.array([h] * n, pa.int64()), pa.array(p.of(i, i + LENGTH).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array((lo + i).astype(np.int32))], names=["h", "w", "doc_id", "lo"])
-
-    named = contexts.mapInArrow(names, "h long, w long, doc_id long, lo int")
-    again = named.groupBy("h", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "w")
-    return named.join(again, ["h", "w"], "left_semi").select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi"))
+def _context_spans(contexts: DataFrame) -> DataFrame:
+    """Spans of starts that repeat in the same bucket; size is the number of contexts in it."""
+    out = None
+    while True:
+        spans = _bucket_spans(contexts.where(F.col("size") <= LARGE).select("h", "doc_id", "lo", "n", "at", "bytes"))
+        out = spans if out is None else out.unionByName(spans)
+        large = contexts.where(F.col("size") > LARGE)
+        if large.isEmpty():
+            return out
+        out = out.unionByName(large.where("least = most").select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi")))
+        dealt = stored(_refined(large.where("least < most")), "refined").drop("size")
+        size = stored(dealt.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        contexts = stored(dealt.join(size, "h").select(*_CONTEXT.names), "contexts")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -211,7 +267,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Buckets are the q-grams that the least hash picks from each string. Buckets of one are done. Where whole
     contexts in a bucket are equal, all their strings repeat; one context of each kind and those that are alone
-    in their bucket with others go on and are refined to LENGTH bytes.
+    in their bucket with others go on and are refined to LENGTH bytes: a bucket of at most LARGE in one task, a larger
+    one over the cluster first.
     """
     found = all_runs(docs)
     # written, so that the join after it deals both sides anew and Spark can split a frequent bucket
@@ -222,31 +279,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     equal = some.join(kinds.where("k > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "lo", (F.col("lo") + F.col("n") - 1 + LENGTH).alias("hi"))
     # one context of each kind: the rest of a kind has been decided with it
-    one = kinds.join(mixed, "h").select("h", "c", F.col("one.doc_id").alias("doc_id"), F.col("one.lo").alias("lo"), (F.col("kinds") > LARGE).alias("large"))
+    one = kinds.join(mixed, "h").select("h", "c", F.col("one.doc_id").alias("doc_id"), F.col("one.lo").alias("lo"), F.col("kinds").alias("size"))
     todo = some.join(one, ["h", "c", "doc_id", "lo"])
-    lists = todo.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "at", "large")).alias("todo"))
+    lists = todo.groupBy("doc_id").agg(F.collect_list(F.struct("h", "size", "lo", "n", "at")).alias("todo"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "doc_id", "lo", "n", "at", "bytes", "large"]
         for b in batches:
             rows, size = [], 0
             for i, t, todo in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 raw = (t.as_py() or "").encode()
                 for x in todo:
                     part = raw[x["lo"] : x["lo"] + x["n"] - 1 + LENGTH]
-                    rows.append((x["h"], i, x["lo"], x["n"], x["at"], part, x["large"]))
+                    rows.append((x["h"], x["size"], i, x["lo"], x["n"], x["at"], 0, _STARTS - 1, part))
                     size += len(part)
                 if size > 8_000_000:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds_of)], names=names)
+                    yield _batch(rows)
                     rows, size = [], 0
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds_of)], names=names)
-
-    kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-    contexts = stored(docs.join(lists, "doc_id").mapInArrow(cut, CONTEXTS + ", large boolean"), "contexts")
-    small = _bucket_spans(contexts.where("not large").drop("large"))
-    large = _window_spans(contexts.where("large").drop("large"))
-    return equal.unionByName(small).unionByName(large)
+            yield _batch(rows)
+
+    contexts = stored(docs.join(lists, "doc_id").mapInArrow(cut, CONTEXTS), "contexts")
+    return equal.unionByName(_context_spans(contexts))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
