@@ -168,16 +168,28 @@ def _units(docs: DataFrame, todo: DataFrame) -> DataFrame:
     return texts.join(todo, "row").select("node", "text").mapInArrow(unfold, "node long, units array<long>")
 
 
+def _met_units(units: DataFrame) -> DataFrame:
+    """(node, n, units): of the units of each text those that some other text of these has too; n counts all.
+
+    No pair shares others. Texts that keep too few of them for any link are left out.
+    """
+    alone = units.select("node", F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = alone.groupBy("node").agg(F.collect_list("unit").alias("alone"))
+    met = units.join(alone, "node", "left").select("node", F.size("units").cast("long").alias("n"), F.when(F.col("alone").isNull(), F.col("units")).otherwise(F.array_except("units", "alone")).alias("units"))
+    return met.where(F.size("units") >= SIMILAR * F.col("n") - TINY)
+
+
 def _linked(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Of these pairs (u, v) those whose exact weighted similarity is high enough."""
+    """Of these pairs (u, v, need) those that share at least need units."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([similarity(x, y) >= SIMILAR for x, y in zip(_arrays(b.column(2)), _arrays(b.column(3)))], pa.bool_())
+            both = np.asarray([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_arrays(b.column(3)), _arrays(b.column(4)))], np.int64)
+            keep = pa.array(both >= b.column(2).to_numpy())
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
     one, two = (units.select(F.col("node").alias(k), F.col("units").alias(f"units_{k}")) for k in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "units_u", "units_v").mapInArrow(check, "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "need", "units_u", "units_v").mapInArrow(check, "u long, v long")
 
 
 def _bases(groups: DataFrame, units: DataFrame) -> DataFrame:
@@ -196,19 +208,19 @@ def _bases(groups: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _against_bases(members: DataFrame, units: DataFrame, bases: DataFrame) -> DataFrame:
-    """members: group, node, n, weight, label. Adds base_n, both (units shared with the base), more (others of the node) and less (others of the base)."""
+    """members: group, node, n, most, weight, label. Adds base_n, both (units shared with the base), more (others of the node) and less (others of the base)."""
     kinds = [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for x, c in zip(_arrays(b.column(5)), _arrays(b.column(6))):
+            for x, c in zip(_arrays(b.column(6)), _arrays(b.column(7))):
                 more = np.setdiff1d(x, c, assume_unique=True)
                 rows.append((len(c), len(x) - len(more), np.sort(more), np.setdiff1d(c, x, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, kinds))], names=["group", "node", "n", "weight", "label", "base_n", "both", "more", "less"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, kinds))], names=["group", "node", "n", "most", "weight", "label", "base_n", "both", "more", "less"])
 
-    both = members.join(units, "node").join(bases, "group").select("group", "node", "n", "weight", "label", "units", "base")
-    return both.mapInArrow(compare, "group long, node long, n long, weight long, label long, base_n long, both long, more array<long>, less array<long>")
+    both = members.join(units.select("node", "units"), "node").join(bases, "group").select("group", "node", "n", "most", "weight", "label", "units", "base")
+    return both.mapInArrow(compare, "group long, node long, n long, most long, weight long, label long, base_n long, both long, more array<long>, less array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,7 +273,7 @@ def _next_groups(scored: DataFrame, turn: int) -> DataFrame:
     label = F.when(F.col("far"), F.col("label")).otherwise(F.col("top"))
     rest = stored(scored.withColumns({"label": label, "lack": lack.cast("int"), "reach": reach}), "rest")
     head = lambda units, lack: F.explode(F.slice(units, 1, F.greatest(F.lit(0), F.size(units) - lack + 1)))
-    common = ("group", "node", "n", "weight", "label", "far", "reach")
+    common = ("group", "node", "n", "most", "weight", "label", "far", "reach")
     outside = rest.select(*common, head(F.col("more"), F.col("lack")).alias("unit")).withColumn("kind", F.lit(2 * turn))
     # the others, as far as sizes allow a pair with a far member
     ends = rest.groupBy("group").agg(F.max(F.when(F.col("far"), F.col("reach"))).alias("far_reach"), F.max(F.when(F.col("far"), F.col("score"))).alias("far_score")).where("far_reach IS NOT NULL")
@@ -275,14 +287,14 @@ def _next_groups(scored: DataFrame, turn: int) -> DataFrame:
     keys = keys.groupBy("size", "name").agg(F.min_by(F.struct("key", "least", "far_reach"), F.col("key")).alias("one")).select("one.*")
     rows = rows.drop("far_reach").join(stored(keys.withColumnRenamed("least", "key_least"), "keys"), "key")
     possible = (F.col("kind") % 2 == 0) | F.col("far") & (F.col("reach") >= F.col("key_least")) | (F.col("n") <= F.col("far_reach"))
-    return stored(rows.where(possible).select("key", "node", "n", "weight", "label"), "members")
+    return stored(rows.where(possible).select("key", "node", "n", "most", "weight", "label"), "members")
 
 
 def _links(members: DataFrame, units: DataFrame) -> DataFrame | None:
     """Links (u, v) among the members of each key: enough of them to connect all that are linked.
 
     In small groups all pairs of different labels are checked. The members of a larger one are compared with its
-    base; then those pairs are grouped anew that can still be linked. members: key, node, n, weight, label.
+    base; then those pairs are grouped anew that can still be linked. members: key, node, n, most (how many of its n units others have too), weight, label.
     """
     found, turn = None, 0
     while not members.isEmpty():
@@ -290,14 +302,15 @@ def _links(members: DataFrame, units: DataFrame) -> DataFrame | None:
         sized = members.join(stored(size.select("key", "size", F.col("top.node").alias("top")), "sizes"), "key")
         sized = stored(sized, "sized")
         small, large = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
-        one, two = (small.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label"))) for k in "uv")
-        alike = F.least("n_u", "n_v") >= SIMILAR * F.greatest("n_u", "n_v") - TINY
-        pairs = one.join(two, "key").where((F.col("node_u") < F.col("node_v")) & (F.col("label_u") != F.col("label_v")) & alike).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+        one, two = (small.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "most", "label"))) for k in "uv")
+        need = F.ceil(NEED * (F.col("n_u") + F.col("n_v")) - TINY)
+        possible = (F.col("node_u") < F.col("node_v")) & (F.col("label_u") != F.col("label_v")) & (F.least("most_u", "most_v") >= need)
+        pairs = one.join(two, "key").where(possible).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), need.alias("need")).distinct()
         links = stored(_linked(pairs, units), "links")
         found = links if found is None else found.unionByName(links)
         # the buckets of one group of texts have one member of most weight: they are one group
         group = F.col("key") if turn else F.col("top")
-        groups = large.groupBy(group.alias("group"), "node").agg(F.min("n").alias("n"), F.min("weight").alias("weight"), F.min("label").alias("label"))
+        groups = large.groupBy(group.alias("group"), "node").agg(F.min("n").alias("n"), F.min("most").alias("most"), F.min("weight").alias("weight"), F.min("label").alias("label"))
         groups = stored(groups, "groups")
         counted = stored(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "counted")
         bases = stored(_bases(groups.join(counted, "group"), units), "bases")
@@ -317,10 +330,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     rows = texts.select("node", "n", F.explode("bands").alias("key"))
     often = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "often")
     shared = stored(rows.join(often, "key"), "shared")
+    todo = shared.select("node").distinct().join(texts, "node").select("node", F.col("rep.row").alias("row"))
+    units = stored(_met_units(stored(_units(docs, todo), "all-units")), "units")
+    shared = stored(shared.drop("n", "size").join(units.select("node", "n", F.size("units").cast("long").alias("most")), "node"), "shared")
+    size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(shared.join(stored(size, "often"), "key"), "shared")
     # a text near the middle of its group meets most of the others
-    weights = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    units = stored(_units(docs, weights.join(texts, "node").select("node", F.col("rep.row").alias("row"))), "units")
-    members = stored(shared.join(weights, "node").select("key", "node", "n", "weight", F.col("node").alias("label")), "members")
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = stored(shared.join(stored(weights, "weights"), "node").select("key", "node", "n", "most", "weight", F.col("node").alias("label")), "members")
     links = _links(members, units)
     reps = texts.select("node", "rep")
     if links is None:
