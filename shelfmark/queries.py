@@ -584,11 +584,13 @@ def u06_dedupe_best(t):
 
 # 2.8 scalar functions
 
-_EN = "(SELECT doc_id, substr(text, 1, 200) AS x FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_EN = "(SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS x FROM documents)"
 
 
 def _ascii_docs(t):
-    return t.documents.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.substring("text", 1, 200).alias("x"))
+    """Whole texts of all documents, characters beyond ASCII as spaces: SQL has no NFKC."""
+    return t.documents.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("x"))
 
 
 @query()
@@ -596,9 +598,20 @@ def x01_simplify_punctuation(t):
     return t.documents.select("doc_id", X.simplify_punctuation(F.col("text")).alias("x"))
 
 
-@query("SELECT doc_id, translate(text, '_[]{};\"|', '-()(),''|') AS x FROM documents")
+def _text_sql(table: dict[str, str], sql: str) -> str:
+    """SQL that replaces characters as the table says."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    one = [c for c, to in table.items() if len(to) == 1]
+    sql = f"translate({sql}, {quoted(''.join(one))}, {quoted(''.join(table[c] for c in one))})"
+    for c, to in table.items():
+        if len(to) > 1:
+            sql = f"replace({sql}, {quoted(c)}, {quoted(to)})"
+    return sql
+
+
+@query(f"SELECT doc_id, {_text_sql(X._punctuation(False), 'text')} AS x FROM documents")
 def x01_translate_part(t):
-    return t.documents.select("doc_id", F.translate("text", "_[]{};\"|", "-()(),'|").alias("x"))
+    return t.documents.select("doc_id", X.simplify_punctuation(F.col("text"), aggressive=False).alias("x"))
 
 
 @query()
@@ -631,9 +644,9 @@ def x07_guest_credits(t):
     return t.entries_v.select("entry_id", F.explode(F.array_distinct(X.guest_credits(F.col("raw_title")))).alias("x"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(x, '[!-#%-*,-/:;?@\\[-\\]_{{}}=~|]', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM {_EN}")
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\p{{P}}=~|°]', ' ', 'g'), '{_SPACE}', ' ', 'g')) AS x FROM documents")
 def x08_remove_punctuation(t):
-    return _ascii_docs(t).select("doc_id", X.remove_punctuation(F.col("x")).alias("x"))
+    return t.documents.select("doc_id", X.remove_punctuation(F.col("text")).alias("x"))
 
 
 @query()
@@ -646,7 +659,7 @@ def x09_strip_controls(t):
     return t.documents.select("doc_id", X.strip_controls(F.col("text")).alias("x"))
 
 
-@query("SELECT doc_id, replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), 'ß', 'ss') AS x FROM documents")
+@query(f"SELECT doc_id, {_text_sql(X.LIGATURES, f"translate(lower(text), '{X.FOLD_FROM}{X.MARKS}', '{X.FOLD_TO}')")} AS x FROM documents")
 def x10_fold_latin(t):
     return t.documents.select("doc_id", X.fold_latin(F.col("text")).alias("x"))
 
