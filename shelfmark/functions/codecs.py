@@ -157,17 +157,52 @@ def code_sort_key(col: Column) -> Column:
     return F.struct(F.coalesce(*[F.when(c["kind"] == k, r) for k, r in CODE_RANK.items()], F.lit(2)).alias("rank"), c["number"].alias("number"), col.alias("text"))
 
 
-#: Authority, pattern of its pages with the code as group 1, page for a code.
-URL_PATTERNS = [("APPLE_MUSIC", r"^https?://music\.apple\.com/[a-z]{2}/(?:album|artist|song)/(?:[^/]+/)?(\d+)", "https://music.apple.com/us/song/{}"), ("SPOTIFY", r"^https?://open\.spotify\.com/(?:track|album|artist)/([A-Za-z0-9]+)", "https://open.spotify.com/track/{}"), ("YOUTUBE", r"^https?://(?:www\.)?youtube\.com/watch\?v=([\w-]+)", "https://www.youtube.com/watch?v={}"), ("DISCOGS", r"^https?://(?:www\.)?discogs\.com/(?:master|release|artist)/(\d+)", "https://www.discogs.com/master/{}")]
-
-
-def code_from_url(col: Column, patterns: list = URL_PATTERNS) -> Column:
-    """(authority, code) of the first pattern that fits, percent-decoded; else null."""
-    return F.coalesce(*[F.when(F.regexp_extract(col, p, 1) != "", F.struct(F.lit(a).alias("authority"), F.try_url_decode(F.regexp_extract(col, p, 1)).alias("code"))) for a, p, _ in patterns])
-
-
-def url_from_code(authority: Column, code: Column, patterns: list = URL_PATTERNS) -> Column:
-    return F.coalesce(*[F.when(authority == a, F.concat(F.lit(u.split("{}")[0]), code)) for a, _, u in patterns])
+#: Authority, what the page is of, the page without its host's scheme, with the code as group 1, and what goes
+#: before the code. Patterns ignore case.
+URL_PATTERNS = [
+    ("APPLE_MUSIC", "album", r"music\.apple\.com/[^/]+/album/(?:[^/?#]+/)?(\d+)(?:[/?#].*)?", ""),
+    ("APPLE_MUSIC", "artist", r"music\.apple\.com/[^/]+/artist/(?:[^/?#]+/)?(\d+)(?:[/?#].*)?", ""),
+    ("APPLE_MUSIC", "song", r"music\.apple\.com/[^/]+/song/(?:[^/?#]+/)?(\d+)(?:[/?#].*)?", ""),
+    ("SPOTIFY", "album", r"open\.spotify\.com/album/([A-Za-z0-9]+)(?:[/?#].*)?", ""),
+    ("SPOTIFY", "artist", r"open\.spotify\.com/artist/([A-Za-z0-9]+)(?:[/?#].*)?", ""),
+    ("SPOTIFY", "song", r"open\.spotify\.com/track/([A-Za-z0-9]+)(?:[/?#].*)?", ""),
+    ("SOUNDCLOUD", "album", r"soundcloud\.com/([^?#]*[^/?#])/?(?:[?#].*)?", ""),
+    ("SOUNDCLOUD", "artist", r"soundcloud\.com/([^?#]*[^/?#])/?(?:[?#].*)?", ""),
+    ("SOUNDCLOUD", "song", r"soundcloud\.com/([^?#]*[^/?#])/?(?:[?#].*)?", ""),
+    ("YOUTUBE_MUSIC", "album", r"music\.youtube\.com/playlist\?(?:[^#]*&)?list=([A-Za-z0-9_-]+)(?:[&#].*)?", ""),
+    ("YOUTUBE_MUSIC", "artist", r"music\.youtube\.com/(@[A-Za-z0-9_-]+)(?:[/?#].*)?", ""),
+    ("YOUTUBE_MUSIC", "artist", r"music\.youtube\.com/channel/([A-Za-z0-9_-]+)(?:[/?#].*)?", ""),
+    ("YOUTUBE_MUSIC", "song", r"music\.youtube\.com/watch\?(?:[^#]*&)?v=([A-Za-z0-9_-]+)(?:[&#].*)?", ""),
+    ("DISCOGS", "album", r"www\.discogs\.com/master/(\d+)(?:-[^/?#]+)?(?:[/?#].*)?", "m"),
+    ("DISCOGS", "album", r"www\.discogs\.com/release/(\d+)(?:-[^/?#]+)?(?:[/?#].*)?", "r"),
+    ("DISCOGS", "artist", r"www\.discogs\.com/artist/(\d+)(?:-[^/?#]+)?(?:[/?#].*)?", ""),
+    ("RATE_YOUR_MUSIC", "album", r"rateyourmusic\.com/release/album/([^?#]*[^/?#])/?(?:[?#].*)?", "a/"),
+    ("RATE_YOUR_MUSIC", "album", r"rateyourmusic\.com/release/comp/([^?#]*[^/?#])/?(?:[?#].*)?", "c/"),
+    ("RATE_YOUR_MUSIC", "album", r"rateyourmusic\.com/release/ep/([^?#]*[^/?#])/?(?:[?#].*)?", "e/"),
+    ("RATE_YOUR_MUSIC", "album", r"rateyourmusic\.com/release/single/([^?#]*[^/?#])/?(?:[?#].*)?", "s/"),
+    ("RATE_YOUR_MUSIC", "album", r"rateyourmusic\.com/work/([^?#]*[^/?#])/?(?:[?#].*)?", "w/"),
+    ("RATE_YOUR_MUSIC", "artist", r"rateyourmusic\.com/artist/([^/?#]+)(?:[/?#].*)?", ""),
+    ("RATE_YOUR_MUSIC", "song", r"rateyourmusic\.com/song/([^?#]*[^/?#])/?(?:[?#].*)?", ""),
+    ("RATE_YOUR_MUSIC", "song", r"rateyourmusic\.com/work/([^?#]*[^/?#])/?(?:[?#].*)?", "w/"),
+]
+#: The page of a code.
+URLS = {
+    ("APPLE_MUSIC", "song"): "https://music.apple.com/us/song/{}",
+    ("SPOTIFY", "song"): "https://open.spotify.com/track/{}",
+    ("YOUTUBE_MUSIC", "song"): "https://music.youtube.com/watch?v={}",
+    ("SOUNDCLOUD", "song"): "https://soundcloud.com/{}",
+    ("DISCOGS", "artist"): "https://www.discogs.com/artist/{}",
+}
+
+
+def code_from_url(col: Column, context: str = "song") -> Column:
+    """(authority, code) of the first pattern of the context that fits, percent-decoded; else null."""
+    found = [(a, rf"(?i)^https://{p}$", before) for a, c, p, before in URL_PATTERNS if c == context]
+    return F.coalesce(*[F.when(F.regexp_extract(col, p, 1) != "", F.struct(F.lit(a).alias("authority"), F.concat(F.lit(before), F.try_url_decode(F.regexp_extract(col, p, 1))).alias("code"))) for a, p, before in found])
+
+
+def url_from_code(authority: Column, code: Column, context: str = "song") -> Column:
+    return F.coalesce(*[F.when(authority == a, F.concat(F.lit(u.split("{}")[0]), code)) for (a, c), u in URLS.items() if c == context])
 
 
 def pos_int(col: Column, default: int) -> Column:

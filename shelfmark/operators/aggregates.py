@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +64,8 @@ def rollup_decade_year(df: DataFrame, when: str) -> DataFrame:
 
 def bitmask_rollup(df: DataFrame, col: str, nodes: DataFrame) -> DataFrame:
     """Rows counted once under every node (key, mask) of which they have a bit. nodes is a small fixed tree."""
-    return df.join(F.broadcast(nodes), F.col(col).bitwiseAND(F.col("mask")) != 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    masks = df.groupBy(F.col(col).alias("_mask")).agg(F.count(F.lit(1)).alias("_n"))  # few different ones meet the tree
+    return masks.join(nodes, F.col("_mask").bitwiseAND(F.col("mask")) != 0).groupBy("key").agg(F.sum("_n").alias("n"))
 
 
 def top_k(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame:
@@ -94,6 +98,47 @@ def apply_sort(df: DataFrame, rules: list[tuple[str, bool]], id_col: str) -> Dat
     return df.orderBy(*cols, F.col(id_col).asc())
 
 
+def sort_places(df: DataFrame, rules: list[tuple], id_col: str, name: str = "place") -> DataFrame:
+    """The place of every row under apply_sort's order, from 0; no row is left out."""
+    cols = [(c if isinstance(c, Column) else F.col(c)) for c, _ in rules]
+    order = [c.asc_nulls_last() if up else c.desc_nulls_last() for c, (_, up) in zip(cols, rules)]
+    return sequence_ids(df, [*order, F.col(id_col).asc()], name)
+
+
+def array_key(col: str) -> Column:
+    """What an array column is sorted by: its elements in order, joined."""
+    return F.array_join(F.array_sort(col), "")
+
+
+def sort_groups(groups: DataFrame, members: DataFrame, key: str, rules: list[tuple[str, bool]], id_col: str, name: str = "place") -> DataFrame:
+    """The place of every group under the order of its best member by the same rules; groups without members come last."""
+    order = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in rules]
+    best = top_k(members, [key], [*order, F.col(id_col)], 1).select(key, *(F.col(c).alias(f"_m_{c}") for c, _ in rules), F.col(id_col).alias("best"))
+    d = groups.join(best, key, "left").withColumn("_none", F.col("best").isNull())
+    return sort_places(d, [("_none", True), *((f"_m_{c}", up) for c, up in rules)], key, name).drop("_none", *(f"_m_{c}" for c, _ in rules))
+
+
+#: The fields that tracks are sorted by; a field without a value gives way to the title.
+TRACK_FIELDS = ("title", "artist", "duration", "release_date")
+
+
+def sort_tracks(df: DataFrame, field: str, id_col: str, ascending: bool = True, name: str = "place") -> DataFrame:
+    """The place of every track by one of TRACK_FIELDS, texts without case, then by title and id."""
+    if field not in TRACK_FIELDS:
+        raise ValueError(f"tracks are not sorted by {field}")
+    low = lambda c: F.lower(c) if dict(df.dtypes)[c] == "string" else F.col(c)
+    key = F.coalesce(F.nullif(low(field), F.lit("")), low("title")) if dict(df.dtypes)[field] == "string" else low(field)
+    return sort_places(df, [(key, ascending), (low("title"), True)], id_col, name)
+
+
+def sub_genres(df: DataFrame, genre: str, words: str, table: dict[str, str]) -> DataFrame:
+    """bucket, n: rows under each sub-genre that one of their words names; a row of which no word does, under its genre."""
+    pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    named = F.array_distinct(F.array_compact(F.transform(F.split(F.upper(words), r"\s+"), lambda w: pairs[w])))
+    bucket = F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.concat(F.lit("Other "), genre))))
+    return df.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 def paginate(df: DataFrame, page: int, size: int, rules: list[tuple[str, bool]], id_col: str) -> DataFrame:
     """A page with total and page count; a page beyond the last is the first. Sizes are 1 to 500."""
     size = min(max(size, 1), 500)
@@ -103,10 +148,24 @@ def paginate(df: DataFrame, page: int, size: int, rules: list[tuple[str, bool]],
     return apply_sort(df, rules, id_col).offset((page - 1) * size).limit(size).withColumns({"total": F.lit(total), "page": F.lit(page), "page_count": F.lit(pages)})
 
 
-def sequence_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """0-based ids in order: a range sort, counts of its partitions, and places within them."""
+def checkpoint_dir(spark) -> None:
+    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset and all runs on one machine."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/spark-shelfmark-{uuid.uuid4().hex}")
+
+
+def sequence_ids(df: DataFrame, order: list, name: str) -> DataFrame:
+    """0-based ids in order: a range sort, counts of its partitions, and places within them.
+
+    The ranges are cut by a sample, so that they are written once: to cut them again could give others.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     low = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = low.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

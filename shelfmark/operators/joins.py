@@ -81,12 +81,6 @@ def zip_arrays(a: Column, b: Column) -> Column:
     return F.arrays_zip(a.alias("a"), b.alias("b"))
 
 
-def self_pairs(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """All pairs a < b of rows with the same key that is not null."""
-    d = df.where(F.col(key).isNotNull())
-    return d.select(key, F.col(id_col).alias("a")).join(d.select(key, F.col(id_col).alias("b")), key).where("a < b")
-
-
 def star_pairs(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """Each row with the least id of its key: as many edges as rows, connected like all pairs."""
     d = df.where(F.col(key).isNotNull())

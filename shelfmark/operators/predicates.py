@@ -74,10 +74,10 @@ def text_pred(col: Column, op: str, value: str) -> Column:
 
 
 def array_pred(col: Column, op: str, value: str) -> Column:
-    """Positive operators ask for some element; negative ones that no element equals or contains."""
+    """Positive operators ask for some element; negative ones that no element equals or contains. A null array has none."""
     if op in ("isNot", "notContains"):
-        return ~F.exists(col, lambda x: text_pred(x, "is" if op == "isNot" else "contains", value))
-    return F.exists(col, lambda x: text_pred(x, op, value))
+        return ~F.coalesce(F.exists(col, lambda x: text_pred(x, "is" if op == "isNot" else "contains", value)), F.lit(False))
+    return F.coalesce(F.exists(col, lambda x: text_pred(x, op, value)), F.lit(False))
 
 
 def rel_pred(df: DataFrame, related: DataFrame, key: str, wanted: bool = True) -> DataFrame:

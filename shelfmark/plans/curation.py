@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import sequence_ids
+
+#: The locale of Traditional Chinese titles and the album type of compilations.
+ZH_HANT = 32768
+COMPILATION = 3
+
 
 def set_status(mappings: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: entry_id, song_id, action (confirm or reject). Confirming sets 1.0, manual, and rejects the entry's other mappings."""
@@ -37,18 +43,38 @@ def merge_titles(current: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(has, "owner_id", "left").select("owner_id", "locale", (F.col("_has").isNull() & first).alias("fallback"), "title")
 
 
-def resolve_album(queries: DataFrame, albums: DataFrame) -> DataFrame:
-    """query_id, album_id: by title and most common artists, then the score; tied ones stay unresolved.
+def resolve_album(queries: DataFrame, titles: DataFrame, albums: DataFrame, album_artists: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, album_id, or null where none or several stand out.
 
-    queries: query_id, title, artists. albums: album_id, title, artists, locale, fallback.
+    queries: query_id, title, normalized_title, artists, normalized_artists (arrays alike). titles: album_id, title,
+    normalized_title, locale, fallback, several of an album. albums: album_id, album_type. names (artists' titles
+    and aliases): artist_id, name, normalized. First by the title as it is, then by the normalised one. Without
+    artists any album of that title will do, with "Various Artists" alone a compilation, else those with the
+    most artists named. Of several the best score counts: 2 for each Traditional Chinese title, 1 for each
+    title that is no fallback, and where artists are named 5 for as many of them, 3 for one more or less on an
+    album of three or more.
     """
-    q = queries.select("query_id", "title", F.col("artists").alias("_want"))
-    d = q.join(albums, "title").withColumn("hits", F.size(F.array_intersect("_want", "artists"))).where("hits > 0")
-    gap = F.abs(F.size("artists") - F.size("_want"))
-    score = F.when(F.col("locale") == 32768, 2).otherwise(0) + F.when(F.col("fallback"), 0).otherwise(1) + F.when(gap == 0, 5).when((gap == 1) & (F.size("_want") >= 3), 3).otherwise(0)
-    best = d.withColumn("score", score).withColumn("_r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("score")))).where("_r = 1")
-    one = best.groupBy("query_id").agg(F.count_distinct("album_id").alias("n"), F.min("album_id").alias("album_id")).where("n = 1")
-    return queries.select("query_id").join(one.select("query_id", "album_id"), "query_id", "left")
+    various = (F.size("artists") == 1) & (F.get("artists", F.lit(0)) == "Various Artists")
+    left = queries.withColumn("kind", F.when(F.size("artists") == 0, "any").when(various, "compilation").otherwise("artists"))
+    points = titles.groupBy("album_id").agg(F.sum(F.when(F.col("locale") == ZH_HANT, 2).otherwise(0) + F.when(F.col("fallback"), 0).otherwise(1)).alias("points"))
+    points = points.join(album_artists.groupBy("album_id").agg(F.count(F.lit(1)).alias("have")), "album_id", "left")
+    out = None
+    for title, name, artists in (("title", "name", "artists"), ("normalized_title", "normalized", "normalized_artists")):
+        t = titles.select("album_id", title)
+        plain = left.where("kind <> 'artists'").join(t, title).join(albums, "album_id").where(f"kind = 'any' OR album_type = {COMPILATION}")
+        plain = plain.select("query_id", "album_id", F.lit(0).alias("want"), F.lit(1).alias("hit")).distinct()
+        wanted = left.where("kind = 'artists'").select("query_id", title, F.size("artists").alias("want"), F.explode(artists).alias("key"))
+        known = names.select(F.col(name).alias("key"), "artist_id").distinct()
+        by = wanted.join(known, "key").join(album_artists, "artist_id").join(t, ["album_id", title]).select("query_id", "album_id", "want", F.lit(1).alias("hit"))
+        c = plain.unionByName(by).groupBy("query_id", "album_id", "want").agg(F.sum("hit").alias("hits")).join(points, "album_id")
+        gap = F.abs(F.coalesce("have", F.lit(0)) - F.col("want"))
+        score = F.col("points") + F.when(F.col("want") == 0, 0).when(gap == 0, 5).when((gap == 1) & (F.col("have") >= 3), 3).otherwise(0)
+        # the most hits, then the best score; ties stay unresolved
+        c = c.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc(score)))).where("r = 1")
+        one = c.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("album_id").alias("album_id")).where("n = 1").select("query_id", "album_id")
+        out = one if out is None else out.unionByName(one)
+        left = left.join(one, "query_id", "left_anti")
+    return queries.select("query_id").join(out, "query_id", "left")
 
 
 def resolve_artist(names: DataFrame, titles: DataFrame, normal) -> DataFrame:
@@ -61,9 +87,9 @@ def resolve_artist(names: DataFrame, titles: DataFrame, normal) -> DataFrame:
 def find_or_create(names: DataFrame, artists: DataFrame) -> DataFrame:
     """name, artist_id, created: unknown names get ids after the largest, in order of name."""
     known = names.select("name").distinct().join(artists, "name", "left")
-    top = artists.agg(F.coalesce(F.max("artist_id"), F.lit(0)).alias("_top"))
-    fresh = known.where("artist_id IS NULL").select("name", F.row_number().over(Window.orderBy("name")).alias("_k"))
-    return known.join(fresh, "name", "left").crossJoin(F.broadcast(top)).select("name", F.coalesce("artist_id", F.col("_top") + F.col("_k")).cast("long").alias("artist_id"), F.col("artist_id").isNull().alias("created"))
+    top = artists.agg(F.coalesce(F.max("artist_id"), F.lit(0))).first()[0]
+    fresh = sequence_ids(known.where("artist_id IS NULL").select("name"), ["name"], "_k")
+    return known.join(fresh, "name", "left").select("name", F.coalesce("artist_id", F.lit(top + 1) + F.col("_k")).cast("long").alias("artist_id"), F.col("artist_id").isNull().alias("created"))
 
 
 def load_verified(legacy: DataFrame) -> dict[str, DataFrame]:
@@ -93,7 +119,7 @@ def song_plan(members: DataFrame) -> DataFrame:
 
 def materialize_songs(plan: DataFrame, members: DataFrame, first_id: int) -> dict[str, DataFrame]:
     """Songs and confirmed mappings for the plans without errors but differing titles; ids follow group order."""
-    ok = plan.where("title IS NOT NULL AND duration IS NOT NULL").withColumn("song_id", (F.row_number().over(Window.orderBy("group_id")) - 1 + first_id).cast("long"))
+    ok = sequence_ids(plan.where("title IS NOT NULL AND duration IS NOT NULL"), ["group_id"], "_k").withColumn("song_id", F.col("_k") + first_id)
     return {"songs": ok.select("song_id", "title", "duration"), "mappings": members.join(ok.select("group_id", "song_id"), "group_id").select("entry_id", "song_id", F.lit("MANUAL").alias("method"), F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status"))}
 
 

@@ -1,21 +1,21 @@
 """Entry-to-song matching as joins over whole tables: codes, exact metadata, fuzzy titles, grouping of the rest.
 
-Entries: entry_id, core_title, raw_duration, artists (array of ids by code), apple_id, isrc, and where known
-name_artists (array of ids by name, from resolve_artists), names (of the artists, normalised) and credits (names in
-the title, from guest_credits). Songs: song_id, normalized_title, duration, artists, and where known artist_names
-(normalised, in the order of artists).
+Entries: entry_id, core_title, raw_duration, artists (array of ids by code), apple_id, isrc, and where known title (the
+whole normalised title, else the core title), name_artists (array of ids by name, from resolve_artists), names (of the
+artists, normalised) and credits (names in the title, from guest_credits). Songs: song_id, normalized_title, duration,
+artists, and where known titles and core_titles (arrays of all its normalised titles and of their core forms, else
+the one title) and artist_names (normalised, in the order of artists).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import length_bound, title_similarity
+from ..operators.aggregates import checkpoint_dir
 from ..operators.joins import equi_band_join, star_pairs
 
 #: Milliseconds, similarity floors, candidates kept, factors and levels of artist agreement.
@@ -30,18 +30,19 @@ MAPPING = ["entry_id", "song_id", "method", "confidence", "status"]
 
 def resolve_artists(entries: DataFrame, authorities: DataFrame, titles: DataFrame) -> DataFrame:
     """entry_id, code_artists, name_artists. entries: entry_id, codes, names (arrays); titles hold names and aliases."""
-    codes = entries.select("entry_id", F.explode("codes").alias("code")).join(authorities, "code").groupBy("entry_id").agg(F.array_sort(F.collect_set("artist_id")).alias("code_artists"))
+    codes = entries.select("entry_id", F.posexplode("codes").alias("at", "code")).join(authorities, "code").groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("at", "artist_id"))).alias("found"))
+    codes = codes.select("entry_id", F.array_distinct("found.artist_id").alias("code_artists"))  # in the order of the codes
     names = entries.select("entry_id", F.explode("names").alias("name")).join(titles, "name").groupBy("entry_id").agg(F.array_sort(F.collect_set("artist_id")).alias("name_artists"))
     empty = F.array().cast("array<int>")
     return entries.select("entry_id").join(codes, "entry_id", "left").join(names, "entry_id", "left").select("entry_id", F.coalesce("code_artists", empty).alias("code_artists"), F.coalesce("name_artists", empty).alias("name_artists"))
 
 
-def artist_level(entry: Column, song: Column, by_name: Column | None = None, credited: Column | None = None) -> Column:
-    """How an entry's artists agree with a song's: FACTORS' keys, tried in order."""
+def artist_level(entry: Column, song: Column, by_name: Column | None = None, credited: Column | None = None, authority: bool = False) -> Column:
+    """How an entry's artists agree with a song's: FACTORS' keys, tried in order; without any on either side, exact if matched by authority."""
     missing, both = F.size(F.array_except(song, entry)), F.size(F.array_intersect(entry, song))
     more = F.size(F.array_except(entry, song))
     named = F.size(F.array_intersect(by_name, song)) > 0 if by_name is not None else F.lit(False)
-    return F.when((missing == 0) & (more == 0) & (both > 0), "exact").when((more == 0) & (both > 0) & (credited if credited is not None else F.lit(False)), "subset_credit").when((more == 0) & (both > 0), "subset").when(both > 0, "partial").when(named, "name_match").otherwise("none")
+    return F.when((missing == 0) & (more == 0) & (both > 0), "exact").when((more == 0) & (both > 0) & (credited if credited is not None else F.lit(False)), "subset_credit").when((more == 0) & (both > 0), "subset").when(both > 0, "partial").when(named, "name_match").when(F.lit(authority) & (F.size(entry) == 0) & (F.size(song) == 0), "exact").otherwise("none")
 
 
 def factor(level: Column) -> Column:
@@ -70,92 +71,176 @@ def _song_side(songs: DataFrame) -> list[Column]:
     return [_ids(songs, "artists").alias("song_artists"), names.alias("song_names")]
 
 
-def agreement() -> Column:
+def agreement(authority: bool = False) -> Column:
     """artist_level over the columns of _entry_side and _song_side; a missing artist without a name is not credited."""
     entry, song = F.col("entry_artists"), F.col("song_artists")
     missing = F.transform(F.filter(F.transform(song, lambda a, i: F.struct(a.alias("id"), F.get("song_names", i).alias("name"))), lambda x: ~F.array_contains(entry, x["id"])), lambda x: x["name"])
-    return artist_level(entry, song, F.col("by_name"), F.coalesce(all_credited(missing, F.col("credits")), F.lit(False)))
+    return artist_level(entry, song, F.col("by_name"), F.coalesce(all_credited(missing, F.col("credits")), F.lit(False)), authority)
 
 
-def match_by_authority(entries: DataFrame, codes: DataFrame) -> DataFrame:
-    """Songs by shared code. One song: confirmed, 1.0 by the store's id and 0.98 by recording code; several: all pending at 0.92."""
-    pairs = entries.select("entry_id", F.explode(F.array(F.struct(F.lit(1).alias("authority"), F.col("apple_id").alias("authority_code")), F.struct(F.lit(0).alias("authority"), F.col("isrc").alias("authority_code")))).alias("c")).select("entry_id", "c.*").where("authority_code IS NOT NULL")
-    hit = pairs.join(codes, ["authority", "authority_code"]).groupBy("entry_id", "song_id").agg(F.max("authority").alias("authority"))
-    many = hit.groupBy("entry_id").agg(F.count(F.lit(1)).alias("songs"))
-    one = F.col("songs") == 1
-    return hit.join(many, "entry_id").select("entry_id", "song_id", F.when(F.col("authority") == 1, "APPLE").otherwise("EXACT").alias("method"), F.when(~one, 0.92).when(F.col("authority") == 1, 1.0).otherwise(0.98).alias("confidence"), F.when(one, "confirmed").otherwise("pending").alias("status"))
+def _title(entries: DataFrame) -> Column:
+    return F.col("title") if "title" in entries.columns else F.col("core_title")
+
+
+def _titles(songs: DataFrame, name: str) -> Column:
+    return F.col(name) if name in songs.columns else F.array("normalized_title")
+
+
+def _reasons(*found: tuple[Column, str]) -> Column:
+    return F.array_compact(F.array(*(F.when(cond, F.lit(name)) for cond, name in found)))
+
+
+def _by_authority(entries: DataFrame, codes: DataFrame, songs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """MAPPING and reasons, the issues of each row."""
+    both = F.array(F.struct(F.lit(1).alias("authority"), F.col("apple_id").alias("authority_code")), F.struct(F.lit(0).alias("authority"), F.col("isrc").alias("authority_code")))
+    pairs = entries.select("entry_id", F.explode(both).alias("c")).select("entry_id", "c.*").where("authority_code <> ''")
+    hit = pairs.join(codes, ["authority", "authority_code"]).select("entry_id", "authority", "song_id").distinct()
+    many = hit.groupBy("entry_id").agg(F.countDistinct("song_id").alias("songs"))
+    hit = hit.join(many, "entry_id")
+    method = F.when(F.col("authority") == 1, "APPLE").otherwise("EXACT").alias("method")
+    several = hit.where("songs > 1").select("entry_id", "song_id", method, F.lit(0.92).alias("confidence"), F.lit("pending").alias("status"), F.array(F.lit("authority")).alias("reasons"))
+    sole = hit.where("songs = 1").groupBy("entry_id", "song_id").agg(F.max("authority").alias("authority"))
+    e = entries.select("entry_id", "core_title", "raw_duration", *_entry_side(entries))
+    d = sole.join(e, "entry_id").join(songs.select("song_id", "duration", _titles(songs, "core_titles").alias("core_titles"), *_song_side(songs)), "song_id")
+    d = d.withColumn("reasons", _conflicts(agreement(authority=True), True, tolerance))
+    sure = F.size("reasons") == 0
+    confidence = F.when(~sure, 0.90).when(F.col("authority") == 1, 1.0).otherwise(0.98)
+    return several.unionByName(d.select("entry_id", "song_id", method, confidence.alias("confidence"), F.when(sure, "confirmed").otherwise("pending").alias("status"), "reasons"))
+
+
+def _conflicts(level: Column, authority: bool, tolerance: int = TOLERANCE) -> Column:
+    """What keeps an entry and a song apart: core title not among the song's, length, artists in part or (by authority) not at all."""
+    title = (F.col("core_title") != "") & ~F.array_contains("core_titles", F.col("core_title"))
+    return _reasons((title, "title"), (F.abs(F.col("raw_duration") - F.col("duration")) > tolerance, "duration"), ((level == "partial") | (F.lit(authority) & (level == "none")), "artist"))
+
+
+def match_by_authority(entries: DataFrame, codes: DataFrame, songs: DataFrame) -> DataFrame:
+    """Songs by shared code, a row for each authority and song.
+
+    Several songs: all pending at 0.92. One song: confirmed, 1.0 by the store's id and 0.98 by recording code, but pending
+    at 0.90 where title, length or artists disagree.
+    """
+    return _by_authority(entries, codes, songs).select(MAPPING)
 
 
 def exact_candidates(entries: DataFrame, songs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    e = entries.select("entry_id", F.col("core_title").alias("title"), F.col("raw_duration").alias("ms"), *_entry_side(entries))
-    s = songs.select("song_id", F.col("normalized_title").alias("title"), "duration", *_song_side(songs))
-    return equi_band_join(e, s, ["title"], "ms", "duration", tolerance).withColumn("level", agreement()).where("level <> 'none'")
+    """Pairs of equal title within the tolerance, the entry's core title among the song's, with an agreeing artist."""
+    e = entries.select("entry_id", "core_title", _title(entries).alias("title"), F.col("raw_duration").alias("ms"), *_entry_side(entries))
+    s = songs.select("song_id", F.explode(F.array_distinct(_titles(songs, "titles"))).alias("title"), _titles(songs, "core_titles").alias("core_titles"), "duration", *_song_side(songs))
+    pairs = equi_band_join(e, s, ["title"], "ms", "duration", tolerance).where(F.array_contains("core_titles", F.col("core_title")))
+    return pairs.withColumn("level", agreement()).where("level <> 'none'")
 
 
-def match_exact(entries: DataFrame, songs: DataFrame) -> DataFrame:
-    """Same title within the tolerance and an agreeing artist; confirmed only as the sole candidate with exact artists."""
+def _exact(entries: DataFrame, songs: DataFrame) -> DataFrame:
     c = exact_candidates(entries, songs)
     many = c.groupBy("entry_id").agg(F.count(F.lit(1)).alias("candidates"))
     sure = (F.col("candidates") == 1) & F.col("level").isin("exact", "subset_credit")
-    return c.join(many, "entry_id").select("entry_id", "song_id", F.lit("EXACT").alias("method"), F.round(0.9 * factor(F.col("level")), 4).alias("confidence"), F.when(sure, "confirmed").otherwise("pending").alias("status"))
+    reasons = _reasons((F.col("level") == "partial", "artist"), (F.col("candidates") > 1, "multiple"))
+    return c.join(many, "entry_id").select("entry_id", "song_id", F.lit("EXACT").alias("method"), F.round(0.9 * factor(F.col("level")), 4).alias("confidence"), F.when(sure, "confirmed").otherwise("pending").alias("status"), reasons.alias("reasons"))
+
+
+def match_exact(entries: DataFrame, songs: DataFrame) -> DataFrame:
+    """Same title within the tolerance and an agreeing artist; confirmed only as the sole candidate with exact artists."""
+    return _exact(entries, songs).select(MAPPING)
+
+
+def _fuzzy(entries: DataFrame, songs: DataFrame, k: int, least: float) -> DataFrame:
+    e = entries.select("entry_id", "core_title", F.col("raw_duration").alias("ms"), *_entry_side(entries), F.explode(_ids(entries, "artists", "name_artists")).alias("artist"))
+    s = songs.select("song_id", F.explode(F.array_distinct(_titles(songs, "core_titles"))).alias("song_title"), "duration", *_song_side(songs), F.explode(_ids(songs, "artists")).alias("artist"))
+    pairs = equi_band_join(e, s, ["artist"], "ms", "duration", FUZZY_WINDOW).drop("artist").where(length_bound(F.col("core_title"), F.col("song_title"), TITLE_FLOOR)).dropDuplicates(["entry_id", "song_id", "song_title"])
+    # titles recur over many pairs: each two are compared once
+    alike = pairs.select("core_title", "song_title").distinct().withColumn("similar", title_similarity(F.col("core_title"), F.col("song_title"))).where(F.col("similar") >= TITLE_FLOOR)
+    near = 1 - F.abs(F.col("ms") - F.col("duration")) / FUZZY_WINDOW
+    part = 0.2 * factor(agreement()) + 0.1 * near
+    scored = pairs.join(alike, ["core_title", "song_title"]).withColumn("part", part).groupBy("entry_id", "song_id").agg(F.max("similar").alias("similar"), F.first("part").alias("part"))
+    scored = scored.withColumn("exact", 0.7 * F.col("similar") + F.col("part")).where(F.col("exact") >= least).withColumn("confidence", F.round("exact", 4))
+    scored = scored.withColumn("_r", F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("confidence"), "song_id"))).where(F.col("_r") <= k)
+    many = scored.groupBy("entry_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return scored.join(many, "entry_id").select("entry_id", "song_id", F.lit("FUZZY").alias("method"), "confidence", F.lit("pending").alias("status"), _reasons((F.col("candidates") > 1, "multiple")).alias("reasons"))
 
 
 def match_fuzzy(entries: DataFrame, songs: DataFrame, k: int = TOP, least: float = MIN_CONFIDENCE) -> DataFrame:
     """Blocks on a shared artist and a wide duration band, prunes by length, then scores titles; the best k stay pending.
 
-    Every agreeing level needs an artist of the song among the entry's by code or by name, so blocking on the union of
-    both loses nothing.
+    Every agreeing level, that by name too, needs an artist of the song among the entry's by code or by name, so
+    blocking on the union of both ids loses nothing. A song's score is that of its most similar core title; ranks go
+    by the rounded confidence, then by song.
     """
-    e = entries.select("entry_id", "core_title", F.col("raw_duration").alias("ms"), *_entry_side(entries), F.explode(_ids(entries, "artists", "name_artists")).alias("artist"))
-    s = songs.select("song_id", "normalized_title", "duration", *_song_side(songs), F.explode(_ids(songs, "artists")).alias("artist"))
-    pairs = equi_band_join(e, s, ["artist"], "ms", "duration", FUZZY_WINDOW).drop("artist").where(length_bound(F.col("core_title"), F.col("normalized_title"), TITLE_FLOOR)).dropDuplicates(["entry_id", "song_id"])
-    scored = pairs.withColumn("similar", title_similarity(F.col("core_title"), F.col("normalized_title"))).where(F.col("similar") >= TITLE_FLOOR)
-    near = 1 - F.abs(F.col("ms") - F.col("duration")) / FUZZY_WINDOW
-    scored = scored.withColumn("confidence", 0.7 * F.col("similar") + 0.2 * factor(agreement()) + 0.1 * near).where(F.col("confidence") >= least)
-    best = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("confidence"), "song_id"))
-    return scored.withColumn("_r", best).where(F.col("_r") <= k).select("entry_id", "song_id", F.lit("FUZZY").alias("method"), F.round("confidence", 4).alias("confidence"), F.lit("pending").alias("status"))
+    return _fuzzy(entries, songs, k, least).select(MAPPING)
 
 
-def match_cascade(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """The first stage with any mapping wins for each entry; without fuzzy, the fuzzy stage is left out."""
-    found = match_by_authority(entries, codes)
+def _cascade(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = True) -> DataFrame:
+    found = _by_authority(entries, codes, songs)
     left = entries.join(found.select("entry_id").distinct(), "entry_id", "left_anti")
-    exact = match_exact(left, songs)
+    exact = _exact(left, songs)
     out = found.unionByName(exact)
     if fuzzy:
         left = left.join(exact.select("entry_id").distinct(), "entry_id", "left_anti")
-        out = out.unionByName(match_fuzzy(left, songs))
+        out = out.unionByName(_fuzzy(left, songs, TOP, MIN_CONFIDENCE))
     return out
 
 
-def conflict_issues(pairs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """One issue for each disagreement of a candidate pair. pairs: entry_id, song_id, core_title, normalized_title, raw_duration, duration, level."""
-    issue = lambda cond, name: F.when(cond, F.lit(name))
-    found = F.array_compact(F.array(issue(F.col("core_title") != F.col("normalized_title"), "title"), issue(F.abs(F.col("raw_duration") - F.col("duration")) > tolerance, "duration"), issue(F.col("level").isin("partial", "none"), "artist")))
-    return pairs.select("entry_id", "song_id", F.explode(found).alias("reason"))
+def match_cascade(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """The first stage with any mapping wins for each entry; without fuzzy, the fuzzy stage is left out."""
+    return _cascade(entries, songs, codes, fuzzy).select(MAPPING)
+
 
+def dedupe_mappings(mappings: DataFrame) -> DataFrame:
+    """One row for each entry and song: confirmed before pending, then the surest, then by the store's id."""
+    rank = F.row_number().over(Window.partitionBy("entry_id", "song_id").orderBy("status", F.desc("confidence"), "method"))
+    return mappings.withColumn("_r", rank).where("_r = 1").drop("_r")
+
+
+def stage_issues(found: DataFrame) -> DataFrame:
+    """entry_id, song_id, method, reason: the issues of the stages. Several candidates are one issue of the entry, without a song."""
+    d = found.select("entry_id", "song_id", "method", F.explode("reasons").alias("reason"))
+    whole = F.col("reason") == "multiple"
+    return d.select("entry_id", F.when(~whole, F.col("song_id")).alias("song_id"), F.when(~whole, F.col("method")).alias("method"), "reason").distinct()
+
+
+def conflict_issues(pairs: DataFrame, authority: bool = True, tolerance: int = TOLERANCE) -> DataFrame:
+    """One issue for each disagreement of a candidate pair. pairs: entry_id, song_id, core_title, core_titles, raw_duration, duration, level.
+
+    No common artist is an issue only of pairs matched by authority.
+    """
+    if "core_titles" not in pairs.columns:
+        pairs = pairs.withColumn("core_titles", F.array("normalized_title"))
+    return pairs.select("entry_id", "song_id", F.explode(_conflicts(F.col("level"), authority, tolerance)).alias("reason"))
 
-def pair_conflicts(entries: DataFrame, code: str, tolerance: int = TOLERANCE) -> DataFrame:
-    """Entries of one code that disagree on title, length or artists, both directions: entry_id, other_id, reason.
 
-    Artists disagree where both entries have some and none in common; they are those of names, else of artists and
-    name_artists, where the table has such columns. Pairs are made between different contents, and members are
-    joined to them as rows by a content id.
+def _contents(entries: DataFrame, code: str) -> DataFrame:
+    """entry_id, code, title, ms, who (artists), id (names the content) of entries that have a code.
+
+    Artists are those of names, else of artists and name_artists, where the table has such columns.
     """
     if "names" in entries.columns:
         artists = F.array_distinct(F.coalesce("names", F.array().cast("array<string>")))
     else:
         artists = _ids(entries, "artists", "name_artists") if "artists" in entries.columns else F.array().cast("array<int>")
     content = F.struct("code", "title", "ms", "who")
-    rows = entries.where(F.col(code).isNotNull()).select("entry_id", F.col(code).alias("code"), F.col("core_title").alias("title"), F.col("raw_duration").alias("ms"), F.array_sort(artists).alias("who")).withColumn("id", F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
-    kinds = rows.select("id", "code", "title", "ms", "who").distinct()
-    a, b = (kinds.select("code", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "title", "ms", "who")]) for x in "ab")
+    rows = entries.where(F.col(code).isNotNull()).select("entry_id", F.col(code).alias("code"), F.col("core_title").alias("title"), F.col("raw_duration").alias("ms"), F.array_sort(artists).alias("who"))
+    return rows.withColumn("id", F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
+
+
+def pair_conflicts(entries: DataFrame, code: str, tolerance: int = TOLERANCE) -> DataFrame:
+    """Contents of one code that disagree on title, length or artists: entry_id, other_id, reason, members, other_members.
+
+    Artists disagree where both entries have some and none in common. Entries of the same code and content are one
+    row, under the least of their ids, with their number; conflicting_entries names each of them. Both directions.
+    """
+    kinds = _contents(entries, code).groupBy("id", "code", "title", "ms", "who").agg(F.min("entry_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    a, b = (kinds.select("code", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "title", "ms", "who")]) for x in "ab")
     apart = (F.size("who_a") > 0) & (F.size("who_b") > 0) & ~F.arrays_overlap("who_a", "who_b")
-    found = F.array_compact(F.array(F.when(F.col("title_a") != F.col("title_b"), F.lit("title")), F.when(F.abs(F.col("ms_a") - F.col("ms_b")) > tolerance, F.lit("duration")), F.when(apart, F.lit("artist"))))
-    pairs = a.join(b, "code").select("id_a", "id_b", F.explode(found).alias("reason"))
-    one = rows.select(F.col("id").alias("id_a"), "entry_id")
-    other = rows.select(F.col("id").alias("id_b"), F.col("entry_id").alias("other_id"))
-    return pairs.join(one, "id_a").join(other, "id_b").select("entry_id", "other_id", "reason")
+    found = _reasons((F.col("title_a") != F.col("title_b"), "title"), (F.abs(F.col("ms_a") - F.col("ms_b")) > tolerance, "duration"), (apart, "artist"))
+    return a.join(b, "code").where("id_a <> id_b").select(F.col("first_a").alias("entry_id"), F.col("first_b").alias("other_id"), F.explode(found).alias("reason"), F.col("n_a").alias("members"), F.col("n_b").alias("other_members"))
+
+
+def conflicting_entries(entries: DataFrame, code: str, conflicts: DataFrame) -> DataFrame:
+    """entry_id of every entry whose content is in one of these pair_conflicts."""
+    rows = _contents(entries, code)
+    first = rows.groupBy("id").agg(F.min("entry_id").alias("first"))
+    hit = first.join(conflicts.select(F.col("entry_id").alias("first")).distinct(), "first", "left_semi")
+    return rows.join(hit, "id", "left_semi").select("entry_id")
 
 
 def demote(mappings: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -165,13 +250,6 @@ def demote(mappings: DataFrame, flagged: DataFrame) -> DataFrame:
     return mappings.join(f, "entry_id", "left").select("entry_id", "song_id", "method", F.when(hit, F.least("confidence", F.lit(0.92))).otherwise(F.col("confidence")).alias("confidence"), F.when(hit, "pending").otherwise(F.col("status")).alias("status"))
 
 
-def checkpoint_dir(spark) -> None:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/spark-shelfmark-{uuid.uuid4().hex}")
-
-
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, label): the least id of each connected component; nodes without edges are their own.
 
@@ -239,7 +317,18 @@ def no_candidate_issues(entries: DataFrame, mappings: DataFrame, groups: DataFra
 
 
 #: Issue reasons with their severity and the details each needs.
-ISSUES = {"title": ("warning", ["expected", "actual"]), "duration": ("warning", ["expected", "actual"]), "artist": ("warning", ["missing", "extra"]), "no_candidate": ("info", ["codes"]), "multiple_songs": ("error", ["songs"]), "dangling_reference": ("error", ["path"])}
+ISSUES = {
+    "AUTHORITY_CONFLICT": ("error", ["authority_type", "authority_code", "incoming_song_id", "candidate_song_ids", "conflict_fields"]),
+    "ARTIST_CONFLICT": ("warning", ["incoming_artist_ids", "candidate_artist_ids", "missing_artist_ids", "extra_artist_ids", "authority_matched"]),
+    "DURATION_MISMATCH": ("warning", ["incoming_duration_ms", "candidate_duration_ms", "difference_ms", "tolerance_ms"]),
+    "TITLE_CONFLICT": ("warning", ["locale", "incoming_title", "candidate_title", "normalized_incoming_title", "normalized_candidate_title"]),
+    "MULTIPLE_CANDIDATES": ("warning", ["candidate_song_ids", "candidate_scores", "candidate_methods"]),
+    "NO_CANDIDATE": ("warning", ["searched_authorities", "normalized_title", "artist_ids", "duration_ms"]),
+    "UNSUPPORTED_LOCALE": ("warning", ["original_locale", "mapped_locale", "source_field"]),
+    "MISSING_FALLBACK_TITLE": ("warning", ["audio_locale", "available_title_locales", "title_values", "fallback_failure"]),
+    "REFERENCED_ALBUM_MISSING": ("warning", ["referenced_album_id", "reference_field", "referencing_collection", "referencing_item_id", "reference_context"]),
+    "REFERENCED_ARTIST_MISSING": ("warning", ["referenced_artist_id", "reference_field", "referencing_collection", "referencing_item_id", "reference_context", "compilation", "display_name", "page_url", "suspected_various_artists"]),
+}
 
 
 def validate_issues(issues: DataFrame) -> DataFrame:
@@ -258,14 +347,21 @@ def apply_mappings(current: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def summary(mappings: DataFrame) -> DataFrame:
-    """Counts by method and status, before duplicates go."""
-    return mappings.agg(F.count(F.lit(1)).alias("mappings"), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("method") == "APPLE").alias("by_store"), F.count_if((F.col("method") == "EXACT") & (F.col("confidence") >= 0.98)).alias("by_code"))
+    """Counts by method and status, before duplicates go: of confirmed ones by store, code and metadata, pending ones, fuzzy ones."""
+    confirmed, exact = F.col("status") == "confirmed", F.col("method") == "EXACT"
+    by_code = confirmed & exact & (F.col("confidence") >= 0.98)
+    return mappings.agg(F.count(F.lit(1)).alias("mappings"), F.count_if(confirmed).alias("confirmed"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(confirmed & (F.col("method") == "APPLE")).alias("by_store"), F.count_if(by_code).alias("by_code"), F.count_if(confirmed & exact & ~by_code).alias("by_metadata"), F.count_if(F.col("method") == "FUZZY").alias("fuzzy"))
 
 
 def match_source(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy: bool = True) -> dict[str, DataFrame]:
-    """The whole plan of a batch: mappings after demotion, pair conflicts, groups of the unmatched, their issues, a summary."""
+    """The whole plan of a batch, nothing of it applied.
+
+    Mappings, one for each entry and song, after demotion; pair conflicts; groups of the unmatched; the issues of
+    the stages, then those without a candidate; a summary.
+    """
     conflicts = pair_conflicts(entries, "isrc")
-    mappings = demote(match_cascade(entries, songs, codes, fuzzy), conflicts)
+    found = _cascade(entries, songs, codes, fuzzy)
+    mappings = demote(dedupe_mappings(found.select(MAPPING)), conflicting_entries(entries, "isrc", conflicts))
     left = entries.join(mappings.select("entry_id").distinct(), "entry_id", "left_anti")
     groups = group_unmatched(left, "isrc")
-    return {"mappings": mappings, "conflicts": conflicts, "groups": groups, "issues": no_candidate_issues(entries, mappings, groups), "summary": summary(mappings)}
+    return {"mappings": mappings, "conflicts": conflicts, "groups": groups, "stage_issues": stage_issues(found), "issues": no_candidate_issues(entries, mappings, groups), "summary": summary(found)}

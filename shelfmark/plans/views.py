@@ -83,7 +83,7 @@ def gallery(df: DataFrame, categories: Column, id_col: str, title: str, page: in
 
     d = df.withColumn("category", F.explode(categories))
     n = d.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
-    return top_page(d, ["category"], [F.lower(title).asc_nulls_last(), F.col(id_col)], page, size).join(F.broadcast(n), "category")
+    return top_page(d, ["category"], [F.lower(title).asc_nulls_last(), F.col(id_col)], page, size).join(n, "category")
 
 
 def issue_view(issues: DataFrame, mappings: DataFrame, songs: DataFrame) -> DataFrame:

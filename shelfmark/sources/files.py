@@ -6,7 +6,7 @@ import plistlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOC = "struct<en:string,fr:string,ja:string,ko:string,zs:string,zt:string>"
@@ -38,8 +38,10 @@ def extract_entries(songs: DataFrame, albums: DataFrame) -> tuple[DataFrame, Dat
 def register_source(sources: DataFrame, files: DataFrame) -> DataFrame:
     """New files with the next source ids in order of name; registered ones are skipped."""
     new = files.select("source_file").distinct().join(sources.select("source_file"), "source_file", "left_anti")
-    top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("_top"))
-    return new.crossJoin(F.broadcast(top)).select((F.col("_top") + F.row_number().over(Window.orderBy("source_file"))).cast("long").alias("source_id"), "source_file")
+    from ..operators.aggregates import sequence_ids
+
+    top = sources.agg(F.coalesce(F.max("source_id"), F.lit(0))).first()[0]
+    return sequence_ids(new, ["source_file"], "_k").select((F.lit(top + 1) + F.col("_k")).cast("long").alias("source_id"), "source_file")
 
 
 def read_edited(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -44,7 +44,7 @@ def test_codecs(spark):
     assert [str(d) for d in one(spark, C.to_date_tolerant, "2024-02-30", "2024-02-29T10:00:00Z", "1999", "1999-05")] == ["None", "2024-02-29", "1999-01-01", "1999-05-01"]
     assert one(spark, lambda c: C.encode_flags(c, {"POP": 1 << 5, "TRAP": 1 << 40}), "pop, trap", None, "none") == [(1 << 40) + 32, 0, 0]
     assert dict(C.genre_nodes())["ROCK"] == (1 << 7) + (1 << 35) + (1 << 36) + (1 << 37)
-    assert [tuple(r) for r in one(spark, C.code_from_url, "https://open.spotify.com/track/abc")] == [("SPOTIFY", "abc")]
+    assert [tuple(r) for r in one(spark, C.code_from_url, "https://open.spotify.com/track/abc?si=1")] == [("SPOTIFY", "abc")]
     assert one(spark, lambda c: F.transform(C.title_rows(c), lambda r: r["title"]), '{"en":"A","fr":"B"}', "Plain") == [["A", "B"], ["Plain"]]
 
 
