@@ -20,7 +20,7 @@ ROWS = 5
 NEED = SIMILAR / (1 + SIMILAR)
 TINY = 1e-6
 #: Members of a group of which all pairs are checked, and how many members of a larger one show its base.
-SMALL = 32
+SMALL = 100
 SAMPLE = 32
 SIGNATURE = "doc_id long, row long, node long, n long, bands array<long>"
 
@@ -246,7 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _scored(compared: DataFrame) -> DataFrame:
-    """Adds to each member compared with its group's base: score, and of the group the node of most score, that score, the most score of those not linked to that node (far), and the least size.
+    """Adds to each member compared with its group's base a score, and the node of most score in its group (top).
+
+    Also whether it is not linked to that node (far), and else that node as its label; how many units outside the base it
+    must share with a partner that needs some (lack); the size up to which the base's units are enough (reach).
 
     With NEED = SIMILAR / (1 + SIMILAR), x and y are linked if and only if they share NEED * (n_x + n_y) units, that is
     if they share at least -(score_x + score_y) of the units in which each differs from the base. So all whose
@@ -256,10 +259,15 @@ def _scored(compared: DataFrame) -> DataFrame:
     compared = compared.withColumn("score", score)
     best = stored(compared.groupBy("group").agg(F.max(F.struct("score", "node")).alias("best"), F.min("n").alias("least")), "best")
     found = compared.join(best.select("group", F.col("best.node").alias("top"), F.col("best.score").alias("top_score"), "least"), "group")
-    return found.withColumn("far", F.col("score") + F.col("top_score") < -TINY)
+    found = found.withColumn("far", F.col("score") + F.col("top_score") < -TINY)
+    least = F.greatest(F.ceil(SIMILAR * F.col("n") - TINY), F.col("least"))
+    lack = F.greatest(F.lit(1), F.ceil(NEED * (F.col("n") + least) - F.col("both") - TINY))
+    reach = F.floor(F.col("both") / NEED + TINY) - F.col("n")
+    label = F.when(F.col("far"), F.col("label")).otherwise(F.col("top"))
+    return found.withColumns({"label": label, "lack": lack.cast("int"), "reach": reach})
 
 
-def _next_groups(scored: DataFrame, turn: int) -> DataFrame:
+def _next_groups(rest: DataFrame, turn: int) -> DataFrame:
     """Groups in which every pair lies that may still be linked, of members scored against their group's base.
 
     Of two members of different labels one is far. They share NEED * (n_x + n_y) units if linked. If either has fewer
@@ -267,11 +275,6 @@ def _next_groups(scored: DataFrame, turn: int) -> DataFrame:
     differ from the base. Of n units of which so many must be shared, all but the last ones, in one order, are
     enough to meet on one.
     """
-    least = F.greatest(F.ceil(SIMILAR * F.col("n") - TINY), F.col("least"))
-    lack = F.greatest(F.lit(1), F.ceil(NEED * (F.col("n") + least) - F.col("both") - TINY))
-    reach = F.floor(F.col("both") / NEED + TINY) - F.col("n")  # the largest partner for which the base's units are enough
-    label = F.when(F.col("far"), F.col("label")).otherwise(F.col("top"))
-    rest = stored(scored.withColumns({"label": label, "lack": lack.cast("int"), "reach": reach}), "rest")
     head = lambda units, lack: F.explode(F.slice(units, 1, F.greatest(F.lit(0), F.size(units) - lack + 1)))
     common = ("group", "node", "n", "most", "weight", "label", "far", "reach")
     outside = rest.select(*common, head(F.col("more"), F.col("lack")).alias("unit")).withColumn("kind", F.lit(2 * turn))
@@ -281,10 +284,10 @@ def _next_groups(scored: DataFrame, turn: int) -> DataFrame:
     lack = F.greatest(F.lit(1), F.ceil(-F.col("score") - F.when(F.col("far"), F.col("top_score")).otherwise(F.col("far_score")) - TINY)).cast("int")
     inside = near.select(*common, head(F.sort_array(F.concat("more", "less")), lack).alias("unit")).withColumn("kind", F.lit(2 * turn + 1))
     rows = stored(outside.unionByName(inside).withColumn("key", F.xxhash64("group", "unit", "kind")), "unit-groups")
-    keys = rows.groupBy("key").agg(F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max(F.when(F.col("far"), F.col("reach"))).alias("far_reach"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"))
+    keys = rows.groupBy("key").agg(F.max(F.col("kind") % 2).alias("inside"), F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max(F.when(F.col("far"), F.col("reach"))).alias("far_reach"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name"))
     keys = keys.where(F.col("far") & (F.col("low") < F.col("high")))
-    # of groups with the same members one is enough
-    keys = keys.groupBy("size", "name").agg(F.min_by(F.struct("key", "least", "far_reach"), F.col("key")).alias("one")).select("one.*")
+    # of groups of one kind with the same members one is enough
+    keys = keys.groupBy("inside", "size", "name").agg(F.min_by(F.struct("key", "least", "far_reach"), F.col("key")).alias("one")).select("one.*")
     rows = rows.drop("far_reach").join(stored(keys.withColumnRenamed("least", "key_least"), "keys"), "key")
     possible = (F.col("kind") % 2 == 0) | F.col("far") & (F.col("reach") >= F.col("key_least")) | (F.col("n") <= F.col("far_reach"))
     return stored(rows.where(possible).select("key", "node", "n", "most", "weight", "label"), "members")
@@ -309,14 +312,15 @@ def _links(members: DataFrame, units: DataFrame) -> DataFrame | None:
         links = stored(_linked(pairs, units), "links")
         found = links if found is None else found.unionByName(links)
         # the buckets of one group of texts have one member of most weight: they are one group
+        if large.isEmpty():
+            return found
         group = F.col("key") if turn else F.col("top")
-        groups = large.groupBy(group.alias("group"), "node").agg(F.min("n").alias("n"), F.min("most").alias("most"), F.min("weight").alias("weight"), F.min("label").alias("label"))
+        groups = large.groupBy(group.alias("group"), "node").agg(F.max("size").alias("size"), F.min("n").alias("n"), F.min("most").alias("most"), F.min("weight").alias("weight"), F.min("label").alias("label"))
         groups = stored(groups, "groups")
-        counted = stored(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "counted")
-        bases = stored(_bases(groups.join(counted, "group"), units), "bases")
-        scored = stored(_scored(stored(_against_bases(groups, units, bases), "compared")), "scored")
-        found = found.unionByName(scored.where("NOT far AND node <> top").select(F.col("node").alias("u"), F.col("top").alias("v")))
-        members = _next_groups(scored, turn)
+        bases = stored(_bases(groups, units), "bases")
+        rest = stored(_scored(stored(_against_bases(groups, units, bases), "compared")), "rest")
+        found = found.unionByName(rest.where("NOT far AND node <> top").select(F.col("node").alias("u"), F.col("top").alias("v")))
+        members = _next_groups(rest, turn)
         turn += 1
     return found
 
@@ -332,12 +336,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     shared = stored(rows.join(often, "key"), "shared")
     todo = shared.select("node").distinct().join(texts, "node").select("node", F.col("rep.row").alias("row"))
     units = stored(_met_units(stored(_units(docs, todo), "all-units")), "units")
-    shared = stored(shared.drop("n", "size").join(units.select("node", "n", F.size("units").cast("long").alias("most")), "node"), "shared")
-    size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(shared.join(stored(size, "often"), "key"), "shared")
-    # a text near the middle of its group meets most of the others
-    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = stored(shared.join(stored(weights, "weights"), "node").select("key", "node", "n", "most", "weight", F.col("node").alias("label")), "members")
+    # a text most of whose units others have is near the middle of its group
+    weight = (F.size("units") / F.col("n") * 1_000_000).cast("long").alias("weight")
+    kept = units.select("node", "n", F.size("units").cast("long").alias("most"), weight, F.col("node").alias("label"))
+    members = stored(shared.select("key", "node").join(kept, "node"), "members")
     links = _links(members, units)
     reps = texts.select("node", "rep")
     if links is None:
