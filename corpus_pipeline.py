@@ -15,9 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the least id."""
-    keep = near_dups.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Of every group of near duplicates the first document: the one with the least id. See near_dups.survivors."""
+    return near_dups.survivors(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
