@@ -19,6 +19,8 @@ BACKOFF = 2.0
 #: Grams in more than this part of all rows are broadcast; rows of one url are dealt to so many keys.
 HOT = 2000
 SALTS = 16
+#: One of so many different ruled urls trains no model; the cut is calibrated on those.
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -74,13 +76,18 @@ def grams(known: DataFrame) -> DataFrame:
     return known.select("k1", "k2", "text", "good", "bad").mapInArrow(cut, "k1 long, k2 long, gram long, n long, good long, bad long")
 
 
+def _held_out() -> Column:
+    return F.pmod(F.col("k1"), F.lit(FOLDS)) == 0
+
+
 def log_ratios(rows: DataFrame) -> DataFrame:
     """(gram, times, ratio): log P(accepted model) - log P(rejected model) of the last byte, in billionths.
 
     Counts are exact, of each order's contexts and of the bytes behind them, and are rows of Spark tables that grow
     with the input. Contexts back off by their counts. A key of any join here stands in at most 256 rows.
     """
-    seen = rows.groupBy("gram").agg(F.sum("n").alias("times"), F.sum(F.col("n") * F.col("good")).alias("c1"), F.sum(F.col("n") * F.col("bad")).alias("c0"))
+    train = F.col("n") * (~_held_out()).cast("int")
+    seen = rows.groupBy("gram").agg(F.sum("n").alias("times"), F.sum(train * F.col("good")).alias("c1"), F.sum(train * F.col("bad")).alias("c0"))
     seen = stored(seen, "grams")
     model = None
     for o in range(ORDER + 1):
@@ -117,28 +124,34 @@ def scores(known: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, bins: int = 2001) -> DataFrame:
     """Rule verdicts, and for the other urls the models'.
 
-    Every row with a rule's verdict trains the model of that verdict with its whole url; the threshold is the cut
-    of the score histogram of those same rows that makes the least balanced error. A null url is the empty text; it
+    Every row with a rule's verdict trains the model of that verdict with its whole url, but for those of one in
+    FOLDS of the different urls; the threshold is the cut of the score histogram of these held-out rows (of all ruled ones
+    where either verdict is missing among them) that makes the least balanced error. A null url is the empty text; it
     and urls without :// have empty host and path and no rule. Repeated rows are judged each. Different urls are
     told apart by two 64-bit hashes.
+    Urls may be of any length; columns other than page_id and url are ignored.
     """
     text = F.coalesce("url", F.lit(""))
     df = ruled(pages, rules).withColumns({"text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text)})
     known = df.groupBy("k1", "k2", "text").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
     judged = scores(known)
-    cell = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("score") + 1) * (bins - 1) / 2))).alias("cell")
+    squeezed = F.col("score") / (1 + F.abs("score"))  # any score has a cell
+    cell = F.floor((squeezed + 1) * (bins - 1) / 2).alias("cell")
+    judged = judged.withColumn("cell", cell)
     kinds = F.explode(F.array(F.struct(F.lit("allow").alias("verdict"), F.col("good").alias("n")), F.struct(F.lit("block").alias("verdict"), F.col("bad").alias("n"))))
-    seen = judged.select(cell, kinds.alias("k")).where("k.n > 0").groupBy("cell", "k.verdict").agg(F.sum("k.n").alias("n")).collect()
+    seen = judged.select("cell", _held_out().alias("held"), kinds.alias("k")).where("k.n > 0").groupBy("cell", "held", "k.verdict").agg(F.sum("k.n").alias("n")).collect()
     # one url may be most rows: its rows are dealt by page
-    salted = judged.select("k1", "k2", "score", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    scored = df.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    salted = judged.select("k1", "k2", "score", "cell", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    scored = df.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"]).select("page_id", "host", "path", "rule", "verdict", "score", "cell")
     n = np.zeros((2, bins))
+    both = len({r.verdict for r in seen if r.held}) == 2
     for r in seen:
-        n[int(r.verdict == "allow"), int(r.cell)] += r.n
-    cut = 0.0
+        if r.held or not both:
+            n[int(r.verdict == "allow"), int(r.cell)] += r.n
+    cut = (bins - 1) // 2
     if n[0].sum() and n[1].sum():
         # allow from a cell on: good ones below it and bad ones from it on are errors
         wrong = np.append(0, np.cumsum(n[1])) / n[1].sum() + 1 - np.append(0, np.cumsum(n[0])) / n[0].sum()
         best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-        cut = float(best[len(best) // 2]) / ((bins - 1) / 2) - 1
-    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= cut, "allow").otherwise("block")))
+        cut = int(best[len(best) // 2])
+    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("cell") >= cut, "allow").otherwise("block"))).drop("cell")
