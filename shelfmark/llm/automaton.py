@@ -172,6 +172,10 @@ def compile_rules(patterns: list[str], search: bool, backwards: bool = False) ->
     return _minimal(np.asarray(rows), np.asarray(masks, np.int64))
 
 
+#: So few lanes to run again are run byte by byte.
+FEW = 16
+
+
 def _minimal(rows: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge states that no input tells apart, by refining classes until they stay."""
     part = np.unique(masks, return_inverse=True)[1]
@@ -191,6 +195,15 @@ def _minimal(rows: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return new[rows[pick]].astype(np.uint16), masks[pick]
 
 
+_lists: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+
+
+def _as_lists(table: np.ndarray) -> list[list[int]]:
+    if id(table) not in _lists:
+        _lists[id(table)] = (table, table.tolist())
+    return _lists[id(table)][1]
+
+
 def states(table: np.ndarray, data: np.ndarray, lanes: int = 2048) -> np.ndarray:
     """The state after every byte, the whole of data in one pass over many lanes side by side.
 
@@ -201,7 +214,7 @@ def states(table: np.ndarray, data: np.ndarray, lanes: int = 2048) -> np.ndarray
     if n < 4 * lanes:
         out = np.empty(n, np.uint16)
         s = 0
-        rows = table.tolist()
+        rows = _as_lists(table)
         for i, c in enumerate(data.tolist()):
             s = rows[s][c]
             out[i] = s
@@ -222,6 +235,23 @@ def states(table: np.ndarray, data: np.ndarray, lanes: int = 2048) -> np.ndarray
         todo = np.flatnonzero(want != came)
         if not len(todo):
             return np.ascontiguousarray(out.T).ravel()[:n]
+        if len(todo) <= FEW:  # one byte after another, on through the lanes as long as states differ
+            rows = _as_lists(table)
+            for lane in todo.tolist():
+                while lane < lanes and (lane == 0 or out[-1, lane - 1] != came[lane]):
+                    s = int(out[-1, lane - 1]) if lane else 0
+                    came[lane] = s
+                    new, old = [], out[:, lane].tolist()
+                    for i, c in enumerate(cols[:, lane].tolist()):
+                        s = rows[s][c]
+                        if s == old[i]:
+                            break
+                        new.append(s)
+                    out[: len(new), lane] = new
+                    if len(new) < steps:
+                        break
+                    lane += 1
+            continue
         s = want[todo].astype(np.int32)
         came[todo] = want[todo]
         for i in range(steps):

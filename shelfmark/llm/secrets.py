@@ -99,16 +99,20 @@ def find_secrets(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
     begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, s, e in _scanner[0].scan(data):
-        i = int(np.searchsorted(begin, s, side="right")) - 1
-        base = int(begin[i])
-        a = len(raw[i][: s - base].decode())
-        out[i].append((k, a, a + len(raw[i][s - base : e - base].decode())))
+    found = _scanner[0].scan(data)
+    if found:
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte; the ends of texts count as one
+        for k, s, e in found:
+            i = int(np.searchsorted(begin, s, side="right")) - 1
+            out[i].append((k, int(points[s] - points[begin[i]]), int(points[e] - points[begin[i]])))
     return out
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """Secrets in every whole text. A null or empty text has none; repeated rows give repeated results."""
+    """Secrets in every whole text. A null or empty text has none; repeated rows give repeated results.
+
+    Texts may be of any length; columns other than doc_id and text are ignored.
+    """
     names = [r[0] for r in RULES]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
