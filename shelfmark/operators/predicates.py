@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_latin
 
 MAX_RULES = 20
+#: What a pattern may hold besides letters, digits and white space.
+_PATTERN_SIGNS = ".,:_/^$*+?[]-"
 _SAFE = 2**53 - 1
 _COMPARE = {"gt": "__gt__", "gte": "__ge__", "eq": "__eq__", "ne": "__ne__", "lte": "__le__", "lt": "__lt__"}
 
@@ -59,7 +62,13 @@ def enum_pred(col: Column, value, members) -> Column:
 
 
 def text_pred(col: Column, op: str, value: str) -> Column:
-    """is, isNot, contains, notContains, matches; both sides without accents and case."""
+    """is, isNot, contains, notContains, matches; both sides without accents and case.
+
+    A pattern has at most 80 characters, letters, digits, white space and a few signs, and at most two
+    quantifiers, no two of them side by side.
+    """
+    if len(value) > 200:
+        raise ValueError("a text rule takes at most 200 characters")
     have, want = fold_latin(col), fold_latin(F.lit(value))
     if op in ("is", "isNot"):
         return (have == want) if op == "is" else (have != want)
@@ -67,9 +76,14 @@ def text_pred(col: Column, op: str, value: str) -> Column:
         hit = F.contains(have, want)
         return hit if op == "contains" else ~hit
     if op == "matches":
-        if len(value) > 80 or len(re.findall(r"[*+?{]", value)) > 2:
-            raise ValueError("this pattern is too complex")
-        return have.rlike(value)
+        plain = all(unicodedata.category(c)[0] in "LN" or c.isspace() or c in _PATTERN_SIGNS for c in value)
+        if not value or len(value) > 80 or not plain or re.search(r"[*+?]{2}", value) or len(re.findall(r"[*+?]", value)) > 2:
+            raise ValueError("this pattern is not supported")
+        try:
+            re.compile(value)
+        except re.error as e:
+            raise ValueError("this is no pattern") from e
+        return F.rlike(have, want)
     raise ValueError(f"unknown operator {op}")
 
 
@@ -104,10 +118,20 @@ def apply_rules(df: DataFrame, catalogue: dict[str, str], rules: list[dict]) ->
     return df.where(reduce(Column.__and__, preds)) if preds else df
 
 
-def visible(df: DataFrame, resource: str, status: str | None = None) -> DataFrame:
-    """Default visibility: confirmed mappings, open issues, groups not yet confirmed."""
+def visible(df: DataFrame, resource: str, status: str | None = None, category: str | None = None, everything: bool = False) -> DataFrame:
+    """Default visibility: confirmed mappings, open issues, groups not yet confirmed; everything lifts it for the last two.
+
+    A status asked for goes before it. Of mappings the category incoming is those of source type 1, pending the
+    pending ones.
+    """
+    if category not in (None, "incoming", "pending"):
+        raise ValueError(f"unknown category {category}")
+    if resource == "mappings" and category:
+        df = df.where(F.col("source_type") == 1) if category == "incoming" else df if status else df.where(F.col("status") == "pending")
     if status is not None:
         return df.where(F.col("status") == status)
+    if category or everything and resource in ("issues", "groups"):
+        return df
     rules: dict[str, Callable[[], Column]] = {"mappings": lambda: F.col("status") == "confirmed", "issues": lambda: F.col("resolved_at").isNull(), "groups": lambda: F.col("status") != "confirmed"}
     return df.where(rules[resource]()) if resource in rules else df
 

@@ -176,16 +176,26 @@ def f08_text_pred(t):
     return t.documents.where(P.text_pred(F.col("text"), "contains", "Été") & P.text_pred(F.col("text"), "notContains", "zzz")).select("doc_id")
 
 
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({_FOLD}, 'et.[aeiou]+ s')")
+def f08_text_matches(t):
+    return t.documents.where(P.text_pred(F.col("text"), "matches", "Ét.[aeiou]+ s")).select("doc_id")
+
+
 @query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'green') OR NOT list_contains(string_split(lower(p_name), ' '), 'red')")
 def f09_array_pred(t):
     words = F.split("p_name", " ")
     return t.part.where(P.array_pred(words, "is", "green") | P.array_pred(words, "isNot", "Red")).select("p_partkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+@query("WITH m AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'confirmed' ELSE 'pending' END AS status, o_custkey % 3 AS source_type FROM orders) SELECT 'default' AS view, o_orderkey FROM m WHERE status = 'confirmed' UNION ALL SELECT 'incoming', o_orderkey FROM m WHERE source_type = 1 UNION ALL SELECT 'pending', o_orderkey FROM m WHERE status = 'pending' UNION ALL SELECT 'groups', o_orderkey FROM m WHERE status <> 'confirmed' UNION ALL SELECT 'issues', o_orderkey FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'all issues', o_orderkey FROM orders")
 def f10_visible(t):
-    m = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("pending").alias("status"))
-    return P.visible(m, "mappings").select("o_orderkey")
+    m = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("pending").alias("status"), (F.col("o_custkey") % 3).alias("source_type"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("resolved_at"))
+    views = {"default": P.visible(m, "mappings"), "incoming": P.visible(m, "mappings", category="incoming"), "pending": P.visible(m, "mappings", category="pending"), "groups": P.visible(m, "groups"), "issues": P.visible(m, "issues"), "all issues": P.visible(m, "issues", everything=True)}
+    out = None
+    for name, d in views.items():
+        d = d.select(F.lit(name).alias("view"), "o_orderkey")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT p_partkey FROM part WHERE contains(lower(p_brand), '2') UNION SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE contains(lower(s_name), '2'))")
