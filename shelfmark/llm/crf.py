@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .rules import FIT_CHARS, labelled, platt
+from .rules import FIT_CHARS, fitted, labelled, platt
 
 #: The field is fitted on at most so many labelled rows, those of the smallest hashes of doc_id.
 FIT_ROWS = 4000
@@ -174,8 +174,7 @@ def line_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
     sc = docs.sparkSession.sparkContext
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = labelled(docs, labels.where(~held), fit_rows, fit_chars).collect()
-    model = sc.broadcast(fit([(r.doc_id, r.text, int(r.quality)) for r in rows]))
+    model = sc.broadcast(fitted(labelled(docs, labels.where(~held), fit_rows, fit_chars), fit))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

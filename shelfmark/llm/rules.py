@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -100,12 +101,23 @@ def features(text: str, hashes: np.ndarray) -> list[np.ndarray]:
     return [_grams(hashes, 1, 1), _grams(hashes, 2, 2) + SIZE, _grams(chars, 3, 3) + 2 * SIZE, _grams(chars, 4, 4) + 3 * SIZE]
 
 
-def fit(sample: DataFrame, label: str = "quality", rounds: int = 12, rate: float = 4.0) -> dict:
+def fitted(sample: DataFrame, fit: Callable[[list[tuple[int, str, int]]], dict]) -> dict:
+    """The model that fit makes of a bounded sample (doc_id, text, quality), in one task: the driver gets the model alone."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        yield pa.record_batch([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    model = sample.select("doc_id", "text", "quality").repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(model[0]) if model else fit([])
+
+
+def fit(rows: list[tuple[int, str, int]], rounds: int = 12, rate: float = 4.0) -> dict:
     """Logistic regression on mean n-gram weights, then a Platt calibration on the fifth of rows held back.
 
     A sample without rows of both labels gives a model that scores every text by the share of label 1.
     """
-    rows = sorted(((r.doc_id, r.text or "", int(r[label])) for r in sample.collect()), key=lambda r: zlib.crc32(str(r[0]).encode()))
+    rows = sorted(rows, key=lambda r: zlib.crc32(str(r[0]).encode()))
     hasher, xs, ys = Hasher(), [], []
     for _, text, y in rows:
         _, h = hasher.words(text.encode().split())
@@ -170,7 +182,7 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int)
 
 def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> dict:
     """The regression, fitted on the labelled rows of docs."""
-    return fit(labelled(docs, labels, fit_rows, fit_chars))
+    return fitted(labelled(docs, labels, fit_rows, fit_chars), fit)
 
 
 def judged(texts: list[str | None], hasher: Hasher, model: dict, keep_at: float) -> list[tuple]:
