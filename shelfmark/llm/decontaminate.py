@@ -82,17 +82,17 @@ class Index:
         self.window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int64)
         self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
         self.aligned: dict[tuple, bool] = {}
-        self._grams: tuple[int, np.ndarray, np.ndarray] = (-1, h[:0], self.offset[:0])
+        self._grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.hash >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def grams(self, w: int) -> tuple[np.ndarray, np.ndarray]:
-        """The q-grams of one item in order, with their offsets; the last item's are kept."""
-        if self._grams[0] != w:
+        """The q-grams of one item in order, with their offsets; kept, as a block of items is bounded."""
+        if w not in self._grams:
             h = _qgrams(_codes(self.text[w]))
             order = np.argsort(h, kind="stable")
-            self._grams = (w, h[order], order)
-        return self._grams[1:]
+            self._grams[w] = (h[order], order)
+        return self._grams[w]
 
     def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, first entry, entries) of every q-gram of a text that some item has; nothing is expanded."""
@@ -173,37 +173,59 @@ def leaks(texts: list[str], index: Index) -> list[set[int]]:
     h = _qgrams(_codes("\0".join(texts)))
     pos, low, n = index.found(h)
     doc = np.searchsorted(begin, pos, "right") - 1
-    # the lemma without place first: a text must share enough q-grams with an item at all. Counts only, slice by slice
+    # the lemma without place first: a text must share enough q-grams with an item at all
+    if n.sum() <= HITS:
+        which = _expanded(low, n)
+        at, off = np.repeat(pos, n), index.offset[which]
+        key = np.repeat(doc, n) * len(index.text) + index.window[which]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+        for i, size in zip(first.tolist(), np.diff(np.append(first, len(key))).tolist()):
+            d, w = divmod(int(key[order[i]]), len(index.text))
+            if size >= index.least[w] and index.items[w] not in found[d]:
+                rows = order[i : i + size]
+                if _aligned(texts[d], w, at[rows] - begin[d] - off[rows], off[rows], index):
+                    found[d].add(index.items[w])
+        return found
+    # many hits: counts only, slice by slice, and then the places of one text and item after another
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for i, j in _slices(n):
         key, k = np.unique(np.repeat(doc[i:j], n[i:j]) * len(index.text) + index.window[_expanded(low[i:j], n[i:j])], return_counts=True)
         keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
         counts = np.bincount(at, weights=np.concatenate([counts, k]), minlength=len(keys)).astype(np.int64)
     enough = counts >= index.least[keys % len(index.text)] if len(keys) else np.zeros(0, bool)
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     for key in keys[enough].tolist():
         d, w = divmod(key, len(index.text))
-        if index.items[w] not in found[d] and _shared(texts[d], h[begin[d] : max(begin[d], begin[d + 1] - Q)], w, index):
-            found[d].add(index.items[w])
+        if index.items[w] not in found[d]:
+            own = pos[bounds[d] : bounds[d + 1]]
+            if _shared(texts[d], own - begin[d], h[own], w, index):
+                found[d].add(index.items[w])
     return found
 
 
-def _shared(text: str, h: np.ndarray, w: int, index: Index) -> bool:
-    """Whether a stretch of item w occurs in the text, which is gone through in overlapping parts of bounded hits."""
+def _shared(text: str, pos: np.ndarray, h: np.ndarray, w: int, index: Index) -> bool:
+    """Whether a stretch of item w occurs in the text. pos: where the text has q-grams h of any item, in order.
+
+    The text is gone through in overlapping parts of bounded hits.
+    """
     mine, offset = index.grams(w)
     low = np.searchsorted(mine, h, "left")
     n = np.searchsorted(mine, h, "right") - low
+    hit = np.flatnonzero(n)
+    pos, low, n = pos[hit], low[hit], n[hit]
     overlap = 2 * (WHOLE + edit_budget(WHOLE))  # more than any alignment spans
+    upto = np.cumsum(n)
     first = 0
-    upto = np.concatenate([[0], np.cumsum(n)])
-    while first < len(h):
-        last = min(len(h), max(first + 2 * overlap, int(np.searchsorted(upto, upto[first] + HITS, "right")) - 1))
-        at = first + np.flatnonzero(n[first:last])
-        off = offset[_expanded(low[at], n[at])]
-        if _aligned(text, w, np.repeat(at, n[at]) - off, off, index):
+    while first < len(pos):
+        last = int(np.searchsorted(upto, upto[first] - n[first] + HITS, "right"))
+        last = max(last, int(np.searchsorted(pos, pos[first] + 2 * overlap)), first + 1)
+        off = offset[_expanded(low[first:last], n[first:last])]
+        if _aligned(text, w, np.repeat(pos[first:last], n[first:last]) - off, off, index):
             return True
-        if last == len(h):
+        if last >= len(pos):
             break
-        first = last - overlap
+        first = max(first + 1, int(np.searchsorted(pos, pos[last] - overlap)))
     return False
 
 
