@@ -11,8 +11,8 @@ VIEWS = {
     "song_artists_v": "SELECT p_partkey + 1 AS song_id, CAST(substr(p_brand, 7) AS INT) AS artist_id, 0 AS display_order FROM part UNION ALL SELECT p_partkey + 1, 101 + CAST(p_partkey % 9 AS INT), 1 FROM part WHERE p_partkey % 2 = 0",
     "song_authorities_v": "SELECT p_partkey + 1 AS song_id, 1 AS authority, concat('AM', CAST(p_partkey AS STRING)) AS authority_code FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey + 1, 0, concat('IS', CAST(p_partkey AS STRING)) FROM part WHERE p_partkey % 7 = 0",
     "entries_v": "SELECT p_partkey + 100001 AS entry_id, CASE WHEN p_partkey % 4 = 0 THEN concat(p_name, ' (feat. ', p_type, ')') ELSE p_name END AS raw_title, p_name AS core_title, CAST(round(p_retailprice * 100) AS BIGINT) + (p_partkey % 7 - 3) * 1000 AS raw_duration, CAST(substr(p_brand, 7) AS INT) AS artist_id, CASE WHEN p_partkey % 10 = 0 THEN concat('AM', CAST(p_partkey AS STRING)) END AS apple_id, CASE WHEN p_partkey % 42 = 0 THEN concat('IS', CAST(p_partkey + 7 AS STRING)) WHEN p_partkey % 21 = 0 THEN concat('IS', CAST(p_partkey AS STRING)) END AS isrc FROM part WHERE p_partkey % 3 = 0",
-    "titles_v": "SELECT source AS owner_id, CASE lang WHEN 'en' THEN 2 WHEN 'es' THEN 4 WHEN 'fr' THEN 8 ELSE 1 END AS locale, doc_id % 5 = 0 AS fallback, substr(text, 1, 40) AS title, doc_id FROM documents",
-    "doc_entries_v": "SELECT doc_id AS entry_id, lower(substr(text, 1, 40)) AS core_title, lang AS artist, n_chars AS raw_duration FROM documents",
+    "titles_v": "SELECT doc_id - doc_id % 4 AS owner_id, CASE lang WHEN 'en' THEN 2 WHEN 'es' THEN 4 WHEN 'fr' THEN 8 ELSE 1 END AS locale, doc_id % 5 = 0 AS fallback, text AS title, doc_id FROM documents",
+    "doc_entries_v": "SELECT doc_id AS entry_id, lower(text) AS core_title, lang AS artist, n_chars AS raw_duration FROM documents",
     "before_v": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "after_v": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 50 <> 7 UNION ALL SELECT o_orderkey + 10000000, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 100 = 3",
     "plays_old_v": "SELECT user_id AS song_id, count(*) AS play_count FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id",

@@ -96,10 +96,10 @@ def s12_enrich(t):
     return S.enrich(t.part.select("p_partkey", F.col("p_retailprice").alias("price")), look, "p_partkey", "l_shipdate", ["price"])
 
 
-@query("SELECT source, " + ", ".join(f"min_by(title, doc_id) FILTER (lang = '{x}') AS {x}" for x in ("en", "de", "fr", "es")) + " FROM (SELECT source, lang, doc_id, substr(text, 1, 40) AS title FROM documents) GROUP BY source")
+@query("SELECT source, " + ", ".join(f"min_by(title, doc_id) FILTER (lang = '{x}') AS {x}" for x in ("en", "de", "fr", "es")) + " FROM (SELECT source, lang, doc_id, text AS title FROM documents) GROUP BY source")
 def s13_merge_localized(t):
     slots = ["en", "de", "fr", "es"]
-    d = t.documents.select("source", "doc_id", *[F.when(F.col("lang") == x, F.substring("text", 1, 40)).alias(x) for x in slots])
+    d = t.documents.select("source", "doc_id", *[F.when(F.col("lang") == x, F.col("text")).alias(x) for x in slots])
     return S.merge_localized(d, "source", "doc_id", slots)
 
 
@@ -168,7 +168,18 @@ def f07_rel_pred(t):
     return P.rel_pred(t.customer, t.orders.where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", False).select("c_custkey")
 
 
-_FOLD = "lower(strip_accents(text))"
+def _text_sql(table: dict[str, str], sql: str) -> str:
+    """SQL that replaces characters as the table says."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    one = [c for c, to in table.items() if len(to) == 1]
+    sql = f"translate({sql}, {quoted(''.join(one))}, {quoted(''.join(table[c] for c in one))})"
+    for c, to in table.items():
+        if len(to) > 1:
+            sql = f"replace({sql}, {quoted(c)}, {quoted(to)})"
+    return sql
+
+
+_FOLD = _text_sql(X.LIGATURES, f"translate(lower(text), '{X.FOLD_FROM}{X.MARKS}', '{X.FOLD_TO}')")
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({_FOLD}, 'ete') AND NOT contains({_FOLD}, 'zzz')")
@@ -626,17 +637,6 @@ def x01_simplify_punctuation(t):
     return t.documents.select("doc_id", X.simplify_punctuation(F.col("text")).alias("x"))
 
 
-def _text_sql(table: dict[str, str], sql: str) -> str:
-    """SQL that replaces characters as the table says."""
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    one = [c for c, to in table.items() if len(to) == 1]
-    sql = f"translate({sql}, {quoted(''.join(one))}, {quoted(''.join(table[c] for c in one))})"
-    for c, to in table.items():
-        if len(to) > 1:
-            sql = f"replace({sql}, {quoted(c)}, {quoted(to)})"
-    return sql
-
-
 @query(f"SELECT doc_id, {_text_sql(X._punctuation(False), 'text')} AS x FROM documents")
 def x01_translate_part(t):
     return t.documents.select("doc_id", X.simplify_punctuation(F.col("text"), aggressive=False).alias("x"))
@@ -687,7 +687,7 @@ def x09_strip_controls(t):
     return t.documents.select("doc_id", X.strip_controls(F.col("text")).alias("x"))
 
 
-@query(f"SELECT doc_id, {_text_sql(X.LIGATURES, f"translate(lower(text), '{X.FOLD_FROM}{X.MARKS}', '{X.FOLD_TO}')")} AS x FROM documents")
+@query(f"SELECT doc_id, {_FOLD} AS x FROM documents")
 def x10_fold_latin(t):
     return t.documents.select("doc_id", X.fold_latin(F.col("text")).alias("x"))
 
@@ -946,11 +946,11 @@ def m08_conflict_issues(t):
     return M.conflict_issues(d)
 
 
-_ISRC = "SELECT doc_id AS entry_id, lower(substr(text, 1, 40)) AS core_title, n_chars AS raw_duration, CASE WHEN doc_id % 3 <> 0 THEN source || lang || doc_id % 10 END AS isrc, lang AS artist FROM documents"
+_ISRC = "SELECT doc_id AS entry_id, lower(text) AS core_title, n_chars AS raw_duration, CASE WHEN doc_id % 3 <> 0 THEN source || lang || doc_id % 10 END AS isrc, lang AS artist FROM documents"
 
 
 def _coded_docs(t):
-    return t.documents.select(F.col("doc_id").alias("entry_id"), F.lower(F.substring("text", 1, 40)).alias("core_title"), F.col("n_chars").alias("raw_duration"), F.when(F.col("doc_id") % 3 != 0, F.concat("source", "lang", (F.col("doc_id") % 10).cast("string"))).alias("isrc"), F.col("lang").alias("artist"))
+    return t.documents.select(F.col("doc_id").alias("entry_id"), F.lower(F.col("text")).alias("core_title"), F.col("n_chars").alias("raw_duration"), F.when(F.col("doc_id") % 3 != 0, F.concat("source", "lang", (F.col("doc_id") % 10).cast("string"))).alias("isrc"), F.col("lang").alias("artist"))
 
 
 _CONFLICTS = "WITH d AS (@ISRC), k AS (SELECT isrc, core_title, raw_duration, @WHO AS who, min(entry_id) AS entry_id, count(*) AS n FROM d WHERE isrc IS NOT NULL GROUP BY ALL), p AS (SELECT a.entry_id, b.entry_id AS other_id, a.n AS members, b.n AS other_members, a.core_title <> b.core_title AS title, abs(a.raw_duration - b.raw_duration) > 2000 AS duration, a.who <> b.who AS artist FROM k a JOIN k b USING (isrc)) SELECT entry_id, other_id, unnest(list_filter([CASE WHEN title THEN 'title' END, CASE WHEN duration THEN 'duration' END, CASE WHEN artist THEN 'artist' END], lambda x: x IS NOT NULL)) AS reason, members, other_members FROM p"
@@ -985,7 +985,7 @@ def m10_demote_fuzzy(t):
 _GROUPS = "WITH RECURSIVE e AS MATERIALIZED (SELECT a.entry_id AS a, b.entry_id AS b FROM doc_entries_v a JOIN doc_entries_v b ON a.core_title = b.core_title AND a.artist = b.artist AND a.core_title <> '' AND abs(a.raw_duration - b.raw_duration) <= 2000), r(id, label) AS (SELECT entry_id, entry_id FROM doc_entries_v UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id) SELECT id AS entry_id, min(label) AS group_id FROM r GROUP BY id"
 
 
-@query(_GROUPS.replace("WITH RECURSIVE e AS MATERIALIZED", "WITH RECURSIVE doc_entries AS (SELECT doc_id AS entry_id, lower(substr(text, 1, 40)) AS core_title, lang AS artist, n_chars AS raw_duration FROM documents), e AS MATERIALIZED").replace("doc_entries_v", "doc_entries"))
+@query(_GROUPS.replace("WITH RECURSIVE e AS MATERIALIZED", "WITH RECURSIVE doc_entries AS (SELECT doc_id AS entry_id, lower(text) AS core_title, lang AS artist, n_chars AS raw_duration FROM documents), e AS MATERIALIZED").replace("doc_entries_v", "doc_entries"))
 def m11_group_unmatched(t):
     return M.group_unmatched(t.doc_entries_v)
 
@@ -1002,7 +1002,7 @@ def m13_no_candidate(t):
     return M.no_candidate_issues(t.entries_v, M.match_by_authority(_entries(t), t.song_authorities_v, _songs(t)), groups)
 
 
-@query("SELECT group_id, count(*) AS members, max(n_chars) - min(n_chars) AS span, CASE WHEN count(*) = 1 THEN NULL ELSE 0.90 END AS confidence FROM (SELECT md5(lower(substr(text, 1, 40))) AS group_id, n_chars FROM documents) GROUP BY group_id")
+@query("SELECT group_id, count(*) AS members, max(n_chars) - min(n_chars) AS span, CASE WHEN count(*) = 1 THEN NULL ELSE 0.90 END AS confidence FROM (SELECT md5(lower(text)) AS group_id, n_chars FROM documents) GROUP BY group_id")
 def m14_group_details(t):
     g = t.doc_entries_v.select("entry_id", F.md5(F.encode("core_title", "utf-8")).alias("group_id"))
     return M.group_details(g, t.doc_entries_v)
@@ -1099,10 +1099,10 @@ def m24_load_verified(t):
 
 
 def _members(t):
-    return t.documents.select(F.md5(F.encode(F.lower(F.substring("text", 1, 40)), "utf-8")).alias("group_id"), F.col("doc_id").alias("entry_id"), F.substring("text", 1, 40).alias("title"), F.col("n_chars").alias("duration"), F.col("lang").alias("code"))
+    return t.documents.select(F.md5(F.encode(F.lower(F.col("text")), "utf-8")).alias("group_id"), F.col("doc_id").alias("entry_id"), F.col("text").alias("title"), F.col("n_chars").alias("duration"), F.col("lang").alias("code"))
 
 
-@query("WITH m AS (SELECT md5(lower(substr(text, 1, 40))) AS group_id, doc_id AS entry_id, substr(text, 1, 40) AS title, n_chars AS duration, lang FROM documents), g AS (SELECT group_id, min_by(title, entry_id) FILTER (trim(title) <> '') AS title, count(DISTINCT title) AS titles, string_agg(DISTINCT lang, ',' ORDER BY lang) AS codes, count(*) AS members FROM m GROUP BY group_id), c AS (SELECT group_id, duration, count(*) AS n FROM m WHERE duration IS NOT NULL GROUP BY ALL), r AS (SELECT group_id, max(n) AS most, list(duration ORDER BY duration) AS l FROM c GROUP BY group_id) SELECT g.group_id, title, CASE WHEN most > 1 THEN (SELECT min(duration) FROM c WHERE c.group_id = g.group_id AND c.n = most) ELSE l[(len(l) + 1) // 2] END AS duration, codes, members, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title missing' END, CASE WHEN titles > 1 THEN 'titles differ' END, CASE WHEN l IS NULL THEN 'duration missing' END], lambda x: x IS NOT NULL), ',') AS errors FROM g LEFT JOIN r USING (group_id)")
+@query("WITH m AS (SELECT md5(lower(text)) AS group_id, doc_id AS entry_id, text AS title, n_chars AS duration, lang FROM documents), g AS (SELECT group_id, min_by(title, entry_id) FILTER (trim(title) <> '') AS title, count(DISTINCT title) AS titles, string_agg(DISTINCT lang, ',' ORDER BY lang) AS codes, count(*) AS members FROM m GROUP BY group_id), c AS (SELECT group_id, duration, count(*) AS n FROM m WHERE duration IS NOT NULL GROUP BY ALL), r AS (SELECT group_id, max(n) AS most, list(duration ORDER BY duration) AS l FROM c GROUP BY group_id) SELECT g.group_id, title, CASE WHEN most > 1 THEN (SELECT min(duration) FROM c WHERE c.group_id = g.group_id AND c.n = most) ELSE l[(len(l) + 1) // 2] END AS duration, codes, members, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title missing' END, CASE WHEN titles > 1 THEN 'titles differ' END, CASE WHEN l IS NULL THEN 'duration missing' END], lambda x: x IS NOT NULL), ',') AS errors FROM g LEFT JOIN r USING (group_id)")
 def m25_song_plan(t):
     return K.song_plan(_members(t)).select("group_id", "title", "duration", F.array_join("codes", ",").alias("codes"), "members", F.array_join("errors", ",").alias("errors"))
 
