@@ -126,7 +126,7 @@ def signed(docs: DataFrame) -> DataFrame:
         own = Shingler()
         for batch in batches:
             ids, row, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
-            for i, j in chunks(texts, 2_000_000):
+            for i, j in chunks(texts, 500_000):
                 units = [own.units(t) for t in texts[i:j]]
                 n = np.asarray([len(u) for u in units], np.int64)
                 node = np.asarray([int(mix(u).sum()) for u in units], U64).view(np.int64)
