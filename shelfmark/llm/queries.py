@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import crf, decontaminate, near_dups, pii, repeats, rules, secrets, tokens, urls
+from . import crf, decontaminate, near_dups, neighbours, pii, repeats, rules, runs, search, secrets, tokens, urls
 from .common import load
 
 
@@ -51,9 +52,53 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The documents of op11: one in ten, by the hash of its id, goes on from word a by repeating the p words there.
+
+    Rows without id, and texts without words, stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    d = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")) + 1)), " ")
+    return d.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), tail).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = runs.periodic_runs(with_periodic_tails(load(spark, sf_dir, "documents", "doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    d = d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("longest.col2"), F.col("longest.length"), -F.col("longest.col3")
+    return d.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(load(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+#: In DuckDB: terms are maximal matches over whole texts, all scores whole numbers.
+OP13_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+s AS (SELECT *, len(terms)::HUGEINT AS n FROM d WHERE len(terms) > 0),
+c AS (SELECT count(*)::HUGEINT AS nn, sum(n)::HUGEINT AS ll FROM s),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM s) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS w FROM p, c GROUP BY term, nn),
+x AS (SELECT item_id, r, sum(times * w * ((1000000000 * tf::HUGEINT) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS score FROM p JOIN w USING (term) JOIN i USING (term) JOIN s USING (r), c GROUP BY item_id, r),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score::BIGINT AS score FROM x JOIN s USING (r) WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dups, op2_repeats, op3_pii, op4_url_filter, op5_token_counts, op6_line_quality, op7_secrets, op8_packing, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_near_dups, op2_repeats, op3_pii, op4_url_filter, op5_token_counts, op6_line_quality, op7_secrets, op8_packing, op9_decontamination, op10_quality_rules, op11_periodic_runs, op12_neighbours, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_ranked_search": " ".join(OP13_SQL.split())}
