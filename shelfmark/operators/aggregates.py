@@ -35,11 +35,15 @@ def earliest_date(col: Column) -> Column:
 
 
 def representative(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The commonest value if some value repeats, the least of ties; else the lower median."""
+    """The commonest value if some value repeats, the least of ties; else the lower median.
+
+    The median is the value at the middle place of a sorted window, so that no key's values are gathered in one row.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(key).agg(F.max("n").alias("most"), F.min_by(F.col(value), F.struct(-F.col("n"), F.col(value))).alias("mode"), F.array_sort(F.collect_list(value)).alias("all"))
-    middle = F.element_at("all", (F.floor((F.size("all") - 1) / 2) + 1).cast("int"))
-    return best.select(key, F.when(F.col("most") > 1, F.col("mode")).otherwise(middle).alias("representative"))
+    best = counts.groupBy(key).agg(F.max("n").alias("most"), F.min_by(F.col(value), F.struct(-F.col("n"), F.col(value))).alias("mode"), F.count(F.lit(1)).alias("kinds"))
+    flat = counts.join(best.where("most = 1").select(key, "kinds"), key).withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(value)))
+    middle = flat.where("_place = floor((kinds - 1) / 2) + 1").select(key, F.col(value).alias("middle"))
+    return best.join(middle, key, "left").select(key, F.when(F.col("most") > 1, F.col("mode")).otherwise(F.col("middle")).alias("representative"))
 
 
 def majority(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -158,14 +162,22 @@ def checkpoint_dir(spark) -> None:
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/spark-shelfmark-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, name: str = "part") -> DataFrame:
+    """df written once as a table in the checkpoint folder and read again: cuts lineage, survives lost executors, and what uses it often does not compute it again."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sequence_ids(df: DataFrame, order: list, name: str) -> DataFrame:
     """0-based ids in order: a range sort, counts of its partitions, and places within them.
 
     The ranges are cut by a sample, so that they are written once: to cut them again could give others.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    checkpoint_dir(df.sparkSession)
-    placed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    placed = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     low = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = low.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import length_bound, title_similarity
-from ..operators.aggregates import checkpoint_dir
+from ..operators.aggregates import written
 from ..operators.joins import equi_band_join, star_pairs
 
 #: Milliseconds, similarity floors, candidates kept, factors and levels of artist agreement.
@@ -253,23 +253,22 @@ def demote(mappings: DataFrame, flagged: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, label): the least id of each connected component; nodes without edges are their own.
 
-    Large-star and small-star rounds on pairs (a, b); lineage is cut with checkpoint() each round.
+    Large-star and small-star rounds on pairs (a, b); each round is written as a table.
     """
-    checkpoint_dir(edges.sparkSession)
     low, high = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
-    now = edges.select(high, low).where("a <> b").distinct().checkpoint()
+    now = written(edges.select(high, low).where("a <> b").distinct(), "pairs")
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "stars")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = small.unionByName(least.withColumnRenamed("m", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+        now = written(small.unionByName(least.withColumnRenamed("m", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     return nodes.select("id").distinct().join(now.select(F.col("a").alias("id"), F.col("b").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 

@@ -1311,3 +1311,6 @@ def v11_export_docs(t):
 @query("SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS imported FROM customer")
 def v12_source_detail(t):
     return V.source_detail(t.customer.select("c_custkey", "c_name"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+from . import curation_queries  # noqa: E402,F401  registers its queries here
