@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix
+from .common import U64, chunks, mix, stored
 
 #: Q-gram length, window length, characters up to which an item is also asked for whole, edits allowed
 #: for each character.
@@ -19,6 +19,8 @@ WHOLE = 180
 EDITS = 0.07
 #: Characters of benchmark text in one broadcast index; more items are done in further blocks.
 BLOCK_CHARS = 2_000_000
+#: Characters of a normalised item from which it is cut into overlapping parts.
+PART_CHARS = 500_000
 SCHEMA = "doc_id long, item_id long"
 _TABLE_BITS = 22
 #: Places where a text and items share a q-gram that are looked at together.
@@ -272,10 +274,29 @@ def _by_id(i: int | None) -> tuple[bool, int]:
     return i is None, i or 0
 
 
+def _parts(items: DataFrame) -> DataFrame:
+    """Distinct (item_id, text), texts normalised; one of over PART_CHARS in parts that every stretch of WINDOW lies within."""
+    overlap = WINDOW + 2  # a space at the end of a part is cut off
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1)):
+                w = normal(t.as_py() or "")
+                n = max(1, -(-(len(w) - overlap) // (PART_CHARS - overlap)))
+                step = -(-(len(w) - overlap) // n) if n > 1 else len(w)
+                own = [w[k * step : (k + 1) * step + overlap] for k in range(n)] if n > 1 else [w]
+                yield pa.record_batch([pa.array([i.as_py()] * n, pa.int64()), pa.array(own, pa.string())], names=["item_id", "text"])
+
+    return items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").mapInArrow(cut, "item_id long, text string").where("text <> ''").distinct()
+
+
 def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded text, so that any size of it can be broadcast piece by piece."""
-    items = items.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    """The benchmark in blocks of bounded text, so that any size of it can be broadcast piece by piece.
+
+    Equal items count once, and very long ones are cut, so that no row and no repetition makes a block large.
+    """
+    items = stored(_parts(items), "items")
+    total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK_CHARS))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
@@ -312,10 +333,34 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each document: whether it holds benchmark text, how many items, and which, in order."""
-    hit = matches(docs, items).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.join(hit, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    """One row for each row of docs: whether it holds benchmark text, how many items, and which, in order.
+
+    Each row is answered from its own text, without a join or shuffle: rows without id, and rows of one id with
+    different texts, have their own answers, repeated rows equal ones. Otherwise as matches says. Further blocks of
+    items add to the lists of those before; texts go along until the last.
+    """
+    d = docs.select(F.col("doc_id").cast("long"), "text")
+    every = list(blocks(items))
+    schema = "doc_id long, text string, item_ids array<long>, other boolean"
+    d = d.withColumns({"item_ids": F.array().cast("array<long>"), "other": F.lit(False)})
+    for rows in every:
+        index = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def scan(batches: Iterator[pa.RecordBatch], index=index, last=rows is every[-1]) -> Iterator[pa.RecordBatch]:
+            own = Index(index.value)
+            for b in batches:
+                texts, lists, other = [t or "" for t in b.column(1).to_pylist()], [], []
+                had, flag = b.column(2).to_pylist(), b.column(3).to_pylist()
+                for first, end in chunks(texts, 1_000_000):
+                    for k, found in enumerate(leaks([normal(t) for t in texts[first:end]], own), first):
+                        lists.append(sorted(set(had[k]) | (found - {None})))
+                        other.append(flag[k] or None in found)
+                kept = pa.nulls(len(b), pa.string()) if last else b.column(1)
+                yield pa.record_batch([b.column(0), kept, pa.array(lists, pa.list_(pa.int64())), pa.array(other, pa.bool_())], names=["doc_id", "text", "item_ids", "other"])
+
+        d = d.mapInArrow(scan, schema)
+    n = (F.size("item_ids") + F.col("other").cast("int")).cast("long")
+    return d.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), "item_ids")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ FIRST = 50
 LARGE = 4_000
 #: Bytes of text worked on at once.
 PART = 2_000_000
-RUNS = "h long, c long, doc_id long, lo int, n int, at int"
-CONTEXTS = "h long, size long, doc_id long, lo int, n int, at int, least int, most int, bytes binary"
-SPANS = "doc_id long, lo int, hi int"
+RUNS = "h long, c long, doc_id long, t long, lo int, n int, at int"
+CONTEXTS = "h long, size long, doc_id long, t long, lo int, n int, at int, least int, most int, bytes binary"
+SPANS = "doc_id long, t long, lo int, hi int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 _B = 0x9E3779B97F4A7C15
@@ -126,10 +126,10 @@ def _parts(raw: list[bytes]) -> Iterator[tuple[int, int]]:
 def all_runs(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, raw = b.column(0).to_numpy(zero_copy_only=False), [(t or "").encode() for t in b.column(1).to_pylist()]
+            ids, hashes, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), [(t or "").encode() for t in b.column(2).to_pylist()]
             for i, j in _parts(raw):
                 text, h, c, lo, n, at = runs(raw[i:j])
-                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(ids[i:j][text], pa.int64()), *(pa.array(x.astype(np.int32)) for x in (lo, n, at))], names=["h", "c", "doc_id", "lo", "n", "at"])
+                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(ids[i:j][text], pa.int64()), pa.array(hashes[i:j][text], pa.int64()), *(pa.array(x.astype(np.int32)) for x in (lo, n, at))], names=["h", "c", "doc_id", "t", "lo", "n", "at"])
 
     return docs.mapInArrow(scan, RUNS)
 
@@ -186,7 +186,7 @@ def _refined(contexts: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for h, _, doc, lo, n, at, least, most, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for h, _, doc, t, lo, n, at, least, most, raw in zip(*(c.to_pylist() for c in b.columns)):
                 middle = (least + most) // 2
                 seed = h.to_bytes(8, "little", signed=True)
                 for near in (True, False):
@@ -196,7 +196,7 @@ def _refined(contexts: DataFrame) -> DataFrame:
                         part = raw[at + LENGTH - most : at + LENGTH - middle] if near else raw[at - middle - 1 : at - least]
                         key = xxhash.xxh64_intdigest(seed + (b"r" if near else b"l") + part)
                         ends = (least, middle) if near else (middle + 1, most)
-                        rows.append((key - (key >> 63 << 64), 0, doc, lo + i, j - i, at - i, *ends, raw[i : j - 1 + LENGTH]))
+                        rows.append((key - (key >> 63 << 64), 0, doc, t, lo + i, j - i, at - i, *ends, raw[i : j - 1 + LENGTH]))
                 if len(rows) > 10_000:
                     yield _batch(rows)
                     rows = []
@@ -221,18 +221,18 @@ def _bucket_spans(contexts: DataFrame) -> DataFrame:
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             # equal strings have one anchor and so one bucket: several buckets can be refined together
-            data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-            begin = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])])[:-1]
-            n = np.asarray([r[3] for r in rows])
+            data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+            begin = np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])])[:-1]
+            n = np.asarray([r[4] for r in rows])
             starts = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
             again = repeated_starts(data, starts)
             which = np.repeat(np.arange(len(rows)), n)
-            place = starts - begin[which] + np.asarray([r[2] for r in rows])[which]
+            place = starts - begin[which] + np.asarray([r[3] for r in rows])[which]
             which, place = which[again], place[again]
             first = np.append(True, (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1))[: len(which)]
-            lo, docs = place[first], np.asarray([r[1] for r in rows], np.int64)[which[first]]
+            lo, docs, hashes = place[first], *(np.asarray([r[k] for r in rows], np.int64)[which[first]] for k in (1, 2))
             hi = np.append(place[np.flatnonzero(first)[1:] - 1], place[-1:])
-            return pa.record_batch([pa.array(docs, pa.int64()), pa.array(lo.astype(np.int32)), pa.array((hi + LENGTH).astype(np.int32))], names=["doc_id", "lo", "hi"])
+            return pa.record_batch([pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lo.astype(np.int32)), pa.array((hi + LENGTH).astype(np.int32))], names=["doc_id", "t", "lo", "hi"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -240,7 +240,7 @@ def _bucket_spans(contexts: DataFrame) -> DataFrame:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if held:
             yield flush(held)
 
@@ -251,64 +251,72 @@ def _context_spans(contexts: DataFrame) -> DataFrame:
     """Spans of starts that repeat in the same bucket; size is the number of contexts in it."""
     out = None
     while True:
-        spans = _bucket_spans(contexts.where(F.col("size") <= LARGE).select("h", "doc_id", "lo", "n", "at", "bytes"))
+        spans = _bucket_spans(contexts.where(F.col("size") <= LARGE).select("h", "doc_id", "t", "lo", "n", "at", "bytes"))
         out = spans if out is None else out.unionByName(spans)
         large = contexts.where(F.col("size") > LARGE)
         if large.isEmpty():
             return out
-        out = out.unionByName(large.where("least = most").select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi")))
+        out = out.unionByName(large.where("least = most").select("doc_id", "t", "lo", (F.col("lo") + LENGTH).alias("hi")))
         dealt = stored(_refined(large.where("least < most")), "refined").drop("size")
         size = stored(dealt.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         contexts = stored(dealt.join(size, "h").select(*_CONTEXT.names), "contexts")
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, t, text: a row is known by its doc_id and a hash of its text; without doc_id by the hash alone."""
+    none = F.col("doc_id").isNull()
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(none, "text").alias("t"), "text", none.alias("none"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): stretches of bytes covered by strings of LENGTH bytes that start more than once.
+    """(doc_id, t, lo, hi): stretches of bytes covered by strings of LENGTH bytes that start more than once, of rows by named().
 
     Buckets are the q-grams that the least hash picks from each string. Buckets of one are done. Where whole
     contexts in a bucket are equal, all their strings repeat; one context of each kind and those that are alone
     in their bucket with others go on and are refined to LENGTH bytes: a bucket of at most LARGE in one task, a larger
     one over the cluster first.
     """
+    docs = docs.select("doc_id", "t", "text")
     found = all_runs(docs)
     # written, so that the join after it deals both sides anew and Spark can split a frequent bucket
     often = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "often")
     some = stored(found.join(often, "h", "left_semi"), "runs")
-    kinds = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "lo")).alias("one"))
+    kinds = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "t", "lo")).alias("one"))
     kinds = stored(kinds, "kinds")
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    equal = some.join(kinds.where("k > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "lo", (F.col("lo") + F.col("n") - 1 + LENGTH).alias("hi"))
+    equal = some.join(kinds.where("k > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") - 1 + LENGTH).alias("hi"))
     # one context of each kind: the rest of a kind has been decided with it
-    one = kinds.join(mixed, "h").select("h", "c", F.col("one.doc_id").alias("doc_id"), F.col("one.lo").alias("lo"), F.col("kinds").alias("size"))
-    todo = some.join(one, ["h", "c", "doc_id", "lo"])
-    lists = todo.groupBy("doc_id").agg(F.collect_list(F.struct("h", "size", "lo", "n", "at")).alias("todo"))
+    one = kinds.join(mixed, "h").select("h", "c", F.col("one.doc_id").alias("doc_id"), F.col("one.t").alias("t"), F.col("one.lo").alias("lo"), F.col("kinds").alias("size"))
+    todo = some.join(one, ["h", "c", "doc_id", "t", "lo"]).distinct()  # equal rows are one here
+    lists = todo.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "size", "lo", "n", "at")).alias("todo"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, size = [], 0
-            for i, t, todo in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                raw = (t.as_py() or "").encode()
+            for i, k, text, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                raw = (text.as_py() or "").encode()
                 for x in todo:
                     part = raw[x["lo"] : x["lo"] + x["n"] - 1 + LENGTH]
-                    rows.append((x["h"], x["size"], i, x["lo"], x["n"], x["at"], 0, _STARTS - 1, part))
+                    rows.append((x["h"], x["size"], i, k, x["lo"], x["n"], x["at"], 0, _STARTS - 1, part))
                     size += len(part)
                 if size > 8_000_000:
                     yield _batch(rows)
                     rows, size = [], 0
             yield _batch(rows)
 
-    contexts = stored(docs.join(lists, "doc_id").mapInArrow(cut, CONTEXTS), "contexts")
+    contexts = stored(docs.join(lists, ["doc_id", "t"]).mapInArrow(cut, CONTEXTS), "contexts")
     return equal.unionByName(_context_spans(contexts))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """What remains of every whole text without its repeated strings.
 
-    A null or empty text has 0 bytes, nothing removed, and the hash of the empty string. Repeated rows (equal
-    texts under their own doc_id) remove each other. doc_id names a row: rows of one doc_id are not told apart.
+    A null or empty text has 0 bytes, nothing removed, and the hash of the empty string. Repeated rows remove each
+    other, under their own doc_id or one and the same. Every row has a result of its own: rows of one doc_id with
+    different texts are documents of their own, and so are rows without doc_id. Other columns are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    docs = named(docs)
+    spans = repeated_spans(docs).groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,4 +339,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((i, len(raw), gone, n, kept.hexdigest()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(),) * 4 + (pa.string(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.join(spans, "doc_id", "left").mapInArrow(remove, RESULT)
+    return docs.join(spans, ["doc_id", "t"], "left").select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text", "spans").mapInArrow(remove, RESULT)
