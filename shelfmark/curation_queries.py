@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plans import groups as R
 from .plans import merging as G
 from .plans import songs as N
 from .queries import query
@@ -166,3 +167,68 @@ def m26_create_or_merge(t):
     d = N.create_or_merge(N.plan_songs(entries, children, tables), tables)
     s = F.col("song_id")
     return _parts(("songs", d["songs"], s, ["duration", "release_date", "audio"]), ("titles", d["song_titles"], s, ["locale", "title", "fallback"]), ("locales", d["song_locales"], s, ["locale", "is_primary"]), ("codes", d["song_codes"], s, ["authority", "code"]), ("artists", d["song_artists"], s, ["artist_id", "display_order"]), ("counts", d["track_counts"], F.col("album_id"), ["disc", "track_count"]), ("tracks", d["album_tracks"], F.col("album_id"), ["disc", "track", "song_id"]), ("mappings", d["mappings"], F.col("entry_id"), ["song_id", "method", "status"]), ("groups", d["groups"], F.col("group_id"), ["song_id"]))
+
+
+# groups: orders are groups of parts; parts are entries, orders are also issues of the part numbered like their customer
+
+_MEMBERS = "SELECT DISTINCT l_orderkey AS group_id, l_partkey AS entry_id FROM lineitem"
+_PARTS = "SELECT p_partkey AS entry_id, p_brand AS title, CASE WHEN p_size % 10 <> 0 THEN p_size * 1000 END AS duration, CASE WHEN p_partkey % 7 = 0 THEN concat('I', p_partkey % 50) ELSE '' END AS isrc FROM part"
+_ISSUES = "SELECT o_orderkey AS issue_id, o_custkey AS entry_id, CAST(NULL AS TIMESTAMP) AS resolved_at FROM orders"
+_SEEN = "SELECT DISTINCT l_orderkey AS group_id, l_partkey AS entry_id FROM lineitem WHERE l_orderkey % 4 = 0 OR l_orderkey % 4 = 2 AND l_partkey % 2 = 0"
+_WANTED = "SELECT DISTINCT l_orderkey AS group_id, l_suppkey AS entry_id FROM lineitem WHERE l_orderkey % 2 = 0 UNION SELECT l_orderkey, -1 FROM lineitem WHERE l_orderkey % 20 = 0 UNION SELECT -5, 1"
+
+
+def group_tables(t) -> dict[str, DataFrame]:
+    q = lambda sql: _spark_sql(t, sql)
+    d = {"members": q(_MEMBERS), "entries": q(_PARTS), "issues": q(_ISSUES)}
+    d["groups"] = t.orders.select(F.col("o_orderkey").alias("group_id")).join(R.details_of(d["members"], d["entries"]), "group_id", "left")
+    d["group_issues"] = d["members"].join(d["issues"], "entry_id").select("group_id", "issue_id").distinct()
+    return d
+
+
+_DETAILS = "SELECT group_id, concat_ws('|', CASE WHEN count(*) > 1 THEN 'EXACT' ELSE '-' END, CASE WHEN count(*) = 1 THEN '-' WHEN count(*) FILTER (isrc <> '') > 0 THEN '0.98' ELSE '0.9' END, string_agg(entry_id, ',' ORDER BY entry_id), coalesce(string_agg(DISTINCT isrc, ',' ORDER BY isrc) FILTER (isrc <> ''), ''), coalesce(string_agg(DISTINCT title, ',' ORDER BY title), ''), coalesce(CAST(min(duration) AS VARCHAR), '-'), coalesce(CAST(max(duration) AS VARCHAR), '-'), coalesce(CAST(max(duration) - min(duration) AS VARCHAR), '-'), array_to_string(list_filter([CASE WHEN count(*) FILTER (isrc <> '') > 0 THEN 'ISRC' END, CASE WHEN count(*) > 1 THEN 'EXACT_METADATA' END], lambda x: x IS NOT NULL), ',')) AS value FROM (SELECT m.group_id, m.entry_id, title, duration, isrc FROM @M m LEFT JOIN @E e ON e.entry_id = m.entry_id) GROUP BY group_id"
+_SHOWN = ["method", "confidence", F.array_join(F.transform("details.entry_ids", lambda x: x.cast("string")), ","), F.array_join("details.isrcs", ","), F.array_join("details.core_titles", ","), "details.min_duration", "details.max_duration", "details.difference", F.array_join("details.methods", ",")]
+
+_EDITS = f"""WITH m AS ({_MEMBERS}), e AS ({_PARTS}), seen AS ({_SEEN}), wanted AS ({_WANTED}), edited AS (SELECT group_id FROM seen UNION SELECT group_id FROM wanted),
+stale AS (SELECT group_id FROM (SELECT * FROM m WHERE group_id IN (SELECT group_id FROM edited) EXCEPT SELECT * FROM seen) UNION SELECT group_id FROM (SELECT * FROM seen EXCEPT SELECT * FROM m)),
+log AS (SELECT group_id, CASE WHEN group_id NOT IN (SELECT o_orderkey FROM orders) THEN 'group not found' WHEN group_id IN (SELECT group_id FROM stale) THEN 'members changed' WHEN group_id IN (SELECT group_id FROM wanted WHERE entry_id NOT IN (SELECT entry_id FROM e)) THEN 'entry not found' END AS error FROM edited),
+good AS (SELECT group_id FROM log WHERE error IS NULL),
+final AS (SELECT * FROM m WHERE group_id NOT IN (SELECT group_id FROM good) UNION ALL SELECT * FROM wanted WHERE group_id IN (SELECT group_id FROM good))"""
+
+
+@query(f"{_EDITS} SELECT 'log' AS part, group_id AS id, coalesce(error, '-') AS value FROM log UNION ALL SELECT 'members', group_id, CAST(entry_id AS VARCHAR) FROM final UNION ALL SELECT DISTINCT 'issues', group_id, CAST(o_orderkey AS VARCHAR) FROM final JOIN orders ON o_custkey = entry_id UNION ALL SELECT 'details', o_orderkey, coalesce(value, '-|-|-|-|-|-|-|-|-') FROM orders LEFT JOIN ({_DETAILS.replace('@M', 'final').replace('@E', 'e')}) d ON d.group_id = o_orderkey")
+def m28_edit_groups(t):
+    """Edits of members; details and issue links of edited groups alone are made anew, the SQL makes those of all."""
+    d = R.edit_groups(group_tables(t), _spark_sql(t, _SEEN), _spark_sql(t, _WANTED))
+    g = F.col("group_id")
+    return _parts(("log", d["log"], g, ["error"]), ("members", d["members"], g, ["entry_id"]), ("issues", d["group_issues"], g, ["issue_id"]), ("details", d["groups"], g, _SHOWN))
+
+
+@query(f"WITH m AS (SELECT doc_id - doc_id % 3 AS group_id, doc_id AS entry_id FROM documents WHERE doc_id % 7 <> 1), e AS (SELECT doc_id AS entry_id, lang AS title, n_chars AS duration, CASE WHEN doc_id % 4 = 0 THEN source || doc_id END AS isrc FROM documents) {_DETAILS.replace('@M', 'm').replace('@E', 'e')}")
+def m14_group_record(t):
+    """Method, confidence and details of groups, with codes and alone."""
+    m = t.documents.where("doc_id % 7 <> 1").select((F.col("doc_id") - F.col("doc_id") % 3).alias("group_id"), F.col("doc_id").alias("entry_id"))
+    e = t.documents.select(F.col("doc_id").alias("entry_id"), F.col("lang").alias("title"), F.col("n_chars").alias("duration"), F.when(F.col("doc_id") % 4 == 0, F.concat("source", "doc_id")).alias("isrc"))
+    text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-"))
+    return R.details_of(m, e).select("group_id", F.concat_ws("|", *map(text, _SHOWN)).alias("value"))
+
+
+@query("WITH g AS (SELECT o_orderkey AS group_id, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'pending' END AS status, o_orderkey % 5 = 0 AS done FROM orders), c AS (SELECT o_orderkey AS group_id, CASE WHEN o_orderkey % 3 = 0 THEN 'confirmed' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS song FROM orders WHERE o_orderkey % 3 < 2) SELECT 'groups' AS part, g.group_id AS id, concat_ws('|', coalesce(c.status, g.status), coalesce(CAST(song AS VARCHAR), '-'), CASE WHEN c.status <> g.status OR song IS NOT NULL THEN c.status <> 'pending' ELSE done END) AS value FROM g LEFT JOIN c USING (group_id) UNION ALL SELECT 'issues', p_partkey, CAST(p_size % 4 = 0 OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)) AS VARCHAR) FROM part")
+def m27_status_and_issues(t):
+    """Groups change status; the issues linked to a confirmed group, here parts by line item, are resolved."""
+    then = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    g = t.orders.select(F.col("o_orderkey").alias("group_id"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("pending").alias("status"), F.lit(None).cast("long").alias("song_id"), F.when(F.col("o_orderkey") % 5 == 0, then).alias("resolved_at"))
+    c = t.orders.where("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("group_id"), F.when(F.col("o_orderkey") % 3 == 0, "confirmed").otherwise("pending").alias("status"), F.when(F.col("o_orderkey") % 6 == 0, F.col("o_custkey")).alias("song_id"))
+    tables = {"groups": g, "issues": t.part.select(F.col("p_partkey").alias("issue_id"), F.when(F.col("p_size") % 4 == 0, then).alias("resolved_at")), "group_issues": t.lineitem.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("issue_id"))}
+    d = R.change_status(tables, c, F.current_timestamp())
+    return _parts(("groups", d["groups"], F.col("group_id"), ["status", "song_id", F.col("resolved_at").isNotNull()]), ("issues", d["issues"], F.col("issue_id"), [F.col("resolved_at").isNotNull()]))
+
+
+@query("WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k AS a, k + 1 AS b FROM p WHERE k % 5 <> 0 AND k % 50 <> 3 UNION ALL SELECT k, k + 7 FROM p WHERE k % 40 = 1), n AS (SELECT k AS id FROM p UNION SELECT b FROM e UNION SELECT k + 1 FROM p WHERE k % 5 <> 0), pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, label) AS (SELECT id, id FROM n UNION SELECT b, label FROM r JOIN pairs ON a = r.id) SELECT id, min(label) AS label FROM r GROUP BY id")
+def m28_relabel(t):
+    """Components kept up after edges went and came, equal to all computed anew."""
+    k = t.part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
+    edges = k.where("a % 5 <> 0")
+    nodes = k.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    labels = R.components(edges, nodes)
+    return R.relabel(labels, edges, k.where("a % 40 = 1").select("a", (F.col("a") + 7).alias("b")), edges.where("a % 50 = 3"), nodes)

@@ -184,6 +184,31 @@ def sequence_ids(df: DataFrame, order: list, name: str) -> DataFrame:
     return placed.withColumn("_own", own).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
 
+def chained(rows: DataFrame, keys: list[str], value: str, id_col: str, tolerance: int) -> DataFrame:
+    """(a, b): each row with the one before it in order of value, of equal keys, if no more than tolerance apart.
+
+    Rows are dealt by ranges of (keys, value, id), so that a key with any number of rows is spread over many tasks; in
+    each the row before is looked up by a window over its own rows alone. The first row of each range is then joined to
+    the last of the nearest range before it that has rows: a row for each range, not for each row.
+    """
+    spark = rows.sparkSession
+    n = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [*keys, value, id_col]
+    dealt = written(rows.select(*order).where(" AND ".join(f"{c} IS NOT NULL" for c in order)).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_range").orderBy(*order)
+    row = F.struct(*order)
+    inside = dealt.withColumn("_before", F.lag(row).over(w))
+    ends = dealt.groupBy("_range").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    # one row for each range: a window over them is small, however many rows there are
+    seams = ends.withColumn("_before", F.lag("last").over(Window.orderBy("_range"))).select(F.col("first.*"), "_before")
+    found = inside.where("_before IS NOT NULL").select(*order, "_before").unionByName(seams.where("_before IS NOT NULL").select(*order, "_before"))
+    same = [F.col(k) == F.col(f"_before.{k}") for k in keys]
+    near = F.col(value) - F.col(f"_before.{value}") <= tolerance
+    for s in same:
+        near = near & s
+    return found.where(near).select(F.col(id_col).alias("a"), F.col(f"_before.{id_col}").alias("b"))
+
+
 def set_compare(a: Column, b: Column) -> Column:
     """equal, subset, superset, intersects or disjoint, of two arrays as sets."""
     less, more, both = F.size(F.array_except(a, b)), F.size(F.array_except(b, a)), F.size(F.array_intersect(a, b))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import length_bound, title_similarity
-from ..operators.aggregates import written
+from ..operators.aggregates import chained, written
 from ..operators.joins import equi_band_join, star_pairs
 
 #: Milliseconds, similarity floors, candidates kept, factors and levels of artist agreement.
@@ -275,15 +275,15 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def recording_edges(entries: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Edges that connect what all same-recording pairs connect: equal title, a common artist, lengths within the tolerance.
 
-    The artist is the column of that name, else each of names, else each of artists and name_artists. In order of length, each row needs an edge only to the one before it, if that is within the tolerance; a
-    chain of such edges reaches every pair.
+    The artist is the column of that name, else each of names, else each of artists and name_artists. In order of
+    length, each row needs an edge only to the one before it, if that is within the tolerance; a chain of such edges
+    reaches every pair. Titles go by their md5, and a frequent (title, artist) is dealt over tasks by length.
     """
     if "artist" not in entries.columns:
         each = F.array_distinct("names") if "names" in entries.columns else _ids(entries, "artists", "name_artists")
         entries = entries.select("entry_id", "core_title", "raw_duration", F.explode(each).alias("artist"))
-    w = Window.partitionBy("core_title", "artist").orderBy("raw_duration", "entry_id")
-    d = entries.where("core_title <> ''").withColumns({"b": F.lag("entry_id").over(w), "_d": F.lag("raw_duration").over(w)})
-    return d.where(F.col("b").isNotNull() & (F.col("raw_duration") - F.col("_d") <= tolerance)).select(F.col("entry_id").alias("a"), "b")
+    d = entries.where("core_title <> ''").select(F.md5(F.encode("core_title", "utf-8")).alias("title"), "artist", "raw_duration", "entry_id")
+    return chained(d, ["title", "artist"], "raw_duration", "entry_id", tolerance)
 
 
 def group_unmatched(entries: DataFrame, code: str | None = None) -> DataFrame:
@@ -359,8 +359,9 @@ def match_source(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy:
     the stages, then those without a candidate; a summary.
     """
     conflicts = pair_conflicts(entries, "isrc")
-    found = _cascade(entries, songs, codes, fuzzy)
+    found = written(_cascade(entries, songs, codes, fuzzy), "found")  # of what all parts of the plan are made
     mappings = demote(dedupe_mappings(found.select(MAPPING)), conflicting_entries(entries, "isrc", conflicts))
+    mappings = written(mappings, "mappings")
     left = entries.join(mappings.select("entry_id").distinct(), "entry_id", "left_anti")
-    groups = group_unmatched(left, "isrc")
+    groups = group_unmatched(written(left, "left"), "isrc")
     return {"mappings": mappings, "conflicts": conflicts, "groups": groups, "stage_issues": stage_issues(found), "issues": no_candidate_issues(entries, mappings, groups), "summary": summary(found)}
