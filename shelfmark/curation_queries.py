@@ -187,7 +187,13 @@ def group_tables(t) -> dict[str, DataFrame]:
 
 
 _DETAILS = "SELECT group_id, concat_ws('|', CASE WHEN count(*) > 1 THEN 'EXACT' ELSE '-' END, CASE WHEN count(*) = 1 THEN '-' WHEN count(*) FILTER (isrc <> '') > 0 THEN '0.98' ELSE '0.9' END, string_agg(entry_id, ',' ORDER BY entry_id), coalesce(string_agg(DISTINCT isrc, ',' ORDER BY isrc) FILTER (isrc <> ''), ''), coalesce(string_agg(DISTINCT title, ',' ORDER BY title), ''), coalesce(CAST(min(duration) AS VARCHAR), '-'), coalesce(CAST(max(duration) AS VARCHAR), '-'), coalesce(CAST(max(duration) - min(duration) AS VARCHAR), '-'), array_to_string(list_filter([CASE WHEN count(*) FILTER (isrc <> '') > 0 THEN 'ISRC' END, CASE WHEN count(*) > 1 THEN 'EXACT_METADATA' END], lambda x: x IS NOT NULL), ',')) AS value FROM (SELECT m.group_id, m.entry_id, title, duration, isrc FROM @M m LEFT JOIN @E e ON e.entry_id = m.entry_id) GROUP BY group_id"
-_SHOWN = ["method", "confidence", F.array_join(F.transform("details.entry_ids", lambda x: x.cast("string")), ","), F.array_join("details.isrcs", ","), F.array_join("details.core_titles", ","), "details.min_duration", "details.max_duration", "details.difference", F.array_join("details.methods", ",")]
+
+
+def _shown() -> list:
+    lists = [F.array_join(F.transform("details.entry_ids", lambda x: x.cast("string")), ","), F.array_join("details.isrcs", ","), F.array_join("details.core_titles", ",")]
+    return ["method", "confidence", *lists, "details.min_duration", "details.max_duration", "details.difference", F.array_join("details.methods", ",")]
+
+
 
 _EDITS = f"""WITH m AS ({_MEMBERS}), e AS ({_PARTS}), seen AS ({_SEEN}), wanted AS ({_WANTED}), edited AS (SELECT group_id FROM seen UNION SELECT group_id FROM wanted),
 stale AS (SELECT group_id FROM (SELECT * FROM m WHERE group_id IN (SELECT group_id FROM edited) EXCEPT SELECT * FROM seen) UNION SELECT group_id FROM (SELECT * FROM seen EXCEPT SELECT * FROM m)),
@@ -201,7 +207,7 @@ def m28_edit_groups(t):
     """Edits of members; details and issue links of edited groups alone are made anew, the SQL makes those of all."""
     d = R.edit_groups(group_tables(t), _spark_sql(t, _SEEN), _spark_sql(t, _WANTED))
     g = F.col("group_id")
-    return _parts(("log", d["log"], g, ["error"]), ("members", d["members"], g, ["entry_id"]), ("issues", d["group_issues"], g, ["issue_id"]), ("details", d["groups"], g, _SHOWN))
+    return _parts(("log", d["log"], g, ["error"]), ("members", d["members"], g, ["entry_id"]), ("issues", d["group_issues"], g, ["issue_id"]), ("details", d["groups"], g, _shown()))
 
 
 @query(f"WITH m AS (SELECT doc_id - doc_id % 3 AS group_id, doc_id AS entry_id FROM documents WHERE doc_id % 7 <> 1), e AS (SELECT doc_id AS entry_id, lang AS title, n_chars AS duration, CASE WHEN doc_id % 4 = 0 THEN source || doc_id END AS isrc FROM documents) {_DETAILS.replace('@M', 'm').replace('@E', 'e')}")
@@ -210,7 +216,7 @@ def m14_group_record(t):
     m = t.documents.where("doc_id % 7 <> 1").select((F.col("doc_id") - F.col("doc_id") % 3).alias("group_id"), F.col("doc_id").alias("entry_id"))
     e = t.documents.select(F.col("doc_id").alias("entry_id"), F.col("lang").alias("title"), F.col("n_chars").alias("duration"), F.when(F.col("doc_id") % 4 == 0, F.concat("source", "doc_id")).alias("isrc"))
     text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-"))
-    return R.details_of(m, e).select("group_id", F.concat_ws("|", *map(text, _SHOWN)).alias("value"))
+    return R.details_of(m, e).select("group_id", F.concat_ws("|", *map(text, _shown())).alias("value"))
 
 
 @query("WITH g AS (SELECT o_orderkey AS group_id, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'pending' END AS status, o_orderkey % 5 = 0 AS done FROM orders), c AS (SELECT o_orderkey AS group_id, CASE WHEN o_orderkey % 3 = 0 THEN 'confirmed' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS song FROM orders WHERE o_orderkey % 3 < 2) SELECT 'groups' AS part, g.group_id AS id, concat_ws('|', coalesce(c.status, g.status), coalesce(CAST(song AS VARCHAR), '-'), CASE WHEN c.status <> g.status OR song IS NOT NULL THEN c.status <> 'pending' ELSE done END) AS value FROM g LEFT JOIN c USING (group_id) UNION ALL SELECT 'issues', p_partkey, CAST(p_size % 4 = 0 OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)) AS VARCHAR) FROM part")
