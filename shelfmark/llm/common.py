@@ -18,9 +18,11 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "spark-shelfmark")
-    return root.rstrip("/")
+    """The folder that driver and executors share; a local one only where none is set and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or os.path.join(tempfile.gettempdir(), "spark-shelfmark")).rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
