@@ -13,6 +13,8 @@ LOCALES = {"UND": 1, "EN": 2, "ES": 4, "FR": 8, "HAK": 16, "HI": 32, "JA": 64, "
 LANGUAGES = {"english": "EN", "spanish": "ES", "french": "FR", "hindi": "HI", "japanese": "JA", "korean": "KO", "thai": "TH", "vietnamese": "VI", "mandarin": "ZH", "hakka": "HAK", "taiwanese": "NAN", "cantonese": "YUE"}
 _REGIONAL = ("en", "es", "fr", "hi", "ja", "ko", "th", "vi")
 _EXACT = {"zh": "ZH", "hak": "HAK", "map": "MAP", "nan": "NAN", "yue": "YUE", "zh-Hans": "ZH_HANS", "zh-Hant": "ZH_HANT", "zs": "ZH_HANS", "zt": "ZH_HANT"}
+#: Locale codes of edited documents and their bits.
+LOCALE_CODES = {"und": 1} | {c: LOCALES[c.upper()] for c in _REGIONAL} | {c: LOCALES[n] for c, n in _EXACT.items() if c not in ("zs", "zt")}
 #: The 41 genre bits in order.
 GENRES = """CLASSICAL COUNTRY DANCE HIPHOP INSTRUMENTAL POP RNB ROCK BASS_COLOR BASS_FUTURE BASS_KAWAII BASS_MELODIC DOWNTEMPO
 DRUMNBASS DUBSTEP_BROSTEP DUBSTEP_CHILLSTEP DUBSTEP_MELODIC DUBSTEP_RIDDIM FUNK GLITCHHOP HARD_ARTCORE HARD_FUTURECORE
