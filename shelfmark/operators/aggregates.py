@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -162,11 +162,16 @@ def checkpoint_dir(spark) -> None:
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/spark-shelfmark-{uuid.uuid4().hex}")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder that nothing has."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """df written once as a table in the checkpoint folder and read again: cuts lineage, survives lost executors, and what uses it often does not compute it again."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
