@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import length_bound, title_similarity
 from ..operators.aggregates import chained, written
 from ..operators.joins import equi_band_join, star_pairs
+from .conflicts import count_conflicts
 
 #: Milliseconds, similarity floors, candidates kept, factors and levels of artist agreement.
 TOLERANCE = 2000
@@ -222,13 +223,26 @@ def _contents(entries: DataFrame, code: str) -> DataFrame:
     return rows.withColumn("id", F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
 
 
+def _kinds(entries: DataFrame, code: str) -> DataFrame:
+    return _contents(entries, code).groupBy("id", "code", "title", "ms", "who").agg(F.min("entry_id").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def conflict_counts(entries: DataFrame, code: str, tolerance: int = TOLERANCE) -> DataFrame:
+    """Every content of a code with the numbers of entries that disagree with it, by the rules of pair_conflicts, without its pairs.
+
+    entry_id (the least of the content), code, members, title_partners, duration_partners, artist_partners, title_other
+    and duration_other (an entry that disagrees; null where none does).
+    """
+    return count_conflicts(written(_kinds(entries, code), "kinds"), tolerance)
+
+
 def pair_conflicts(entries: DataFrame, code: str, tolerance: int = TOLERANCE) -> DataFrame:
     """Contents of one code that disagree on title, length or artists: entry_id, other_id, reason, members, other_members.
 
     Artists disagree where both entries have some and none in common. Entries of the same code and content are one
     row, under the least of their ids, with their number; conflicting_entries names each of them. Both directions.
     """
-    kinds = _contents(entries, code).groupBy("id", "code", "title", "ms", "who").agg(F.min("entry_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = _kinds(entries, code)
     a, b = (kinds.select("code", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "first", "n", "title", "ms", "who")]) for x in "ab")
     apart = (F.size("who_a") > 0) & (F.size("who_b") > 0) & ~F.arrays_overlap("who_a", "who_b")
     found = _reasons((F.col("title_a") != F.col("title_b"), "title"), (F.abs(F.col("ms_a") - F.col("ms_b")) > tolerance, "duration"), (apart, "artist"))
@@ -236,7 +250,7 @@ def pair_conflicts(entries: DataFrame, code: str, tolerance: int = TOLERANCE) ->
 
 
 def conflicting_entries(entries: DataFrame, code: str, conflicts: DataFrame) -> DataFrame:
-    """entry_id of every entry whose content is in one of these pair_conflicts."""
+    """entry_id of every entry whose content is in one of these pair_conflicts, or of these rows of conflict_counts."""
     rows = _contents(entries, code)
     first = rows.groupBy("id").agg(F.min("entry_id").alias("first"))
     hit = first.join(conflicts.select(F.col("entry_id").alias("first")).distinct(), "first", "left_semi")
@@ -358,10 +372,11 @@ def match_source(entries: DataFrame, songs: DataFrame, codes: DataFrame, fuzzy:
     Mappings, one for each entry and song, after demotion; pair conflicts; groups of the unmatched; the issues of
     the stages, then those without a candidate; a summary.
     """
-    conflicts = pair_conflicts(entries, "isrc")
+    conflicts = pair_conflicts(entries, "isrc")  # for those who ask for the pairs; the plan itself needs their counts alone
+    counts = conflict_counts(entries, "isrc").where("title_partners + duration_partners + artist_partners > 0")
     found = written(_cascade(entries, songs, codes, fuzzy), "found")  # of what all parts of the plan are made
-    mappings = demote(dedupe_mappings(found.select(MAPPING)), conflicting_entries(entries, "isrc", conflicts))
+    mappings = demote(dedupe_mappings(found.select(MAPPING)), conflicting_entries(entries, "isrc", counts))
     mappings = written(mappings, "mappings")
     left = entries.join(mappings.select("entry_id").distinct(), "entry_id", "left_anti")
     groups = group_unmatched(written(left, "left"), "isrc")
-    return {"mappings": mappings, "conflicts": conflicts, "groups": groups, "stage_issues": stage_issues(found), "issues": no_candidate_issues(entries, mappings, groups), "summary": summary(found)}
+    return {"mappings": mappings, "conflicts": conflicts, "conflict_counts": counts, "groups": groups, "stage_issues": stage_issues(found), "issues": no_candidate_issues(entries, mappings, groups), "summary": summary(found)}
