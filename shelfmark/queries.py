@@ -1313,4 +1313,4 @@ def v12_source_detail(t):
     return V.source_detail(t.customer.select("c_custkey", "c_name"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
-from . import curation_queries, loading_queries, loose_queries, plan_queries, search_queries  # noqa: E402,F401  they register their queries here
+from . import curation_queries, gallery_queries, loading_queries, loose_queries, plan_queries, search_queries  # noqa: E402,F401  they register their queries here
