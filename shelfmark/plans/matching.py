@@ -257,6 +257,14 @@ def conflicting_entries(entries: DataFrame, code: str, conflicts: DataFrame) ->
     return rows.join(hit, "id", "left_semi").select("entry_id")
 
 
+def entries_in_conflict(entries: DataFrame, code: str, counts: DataFrame) -> DataFrame:
+    """Rows of conflict_counts for every entry of their content, not for the least alone."""
+    rows = _contents(entries, code).select("entry_id", "id")
+    first = rows.groupBy("id").agg(F.min("entry_id").alias("first"))
+    hit = first.join(counts.withColumnRenamed("entry_id", "first"), "first").drop("first")
+    return rows.join(hit, "id").drop("id")
+
+
 def demote(mappings: DataFrame, flagged: DataFrame) -> DataFrame:
     """Flagged entries' confirmed mappings become pending, at most 0.92."""
     f = flagged.select("entry_id").distinct().withColumn("_f", F.lit(True))
