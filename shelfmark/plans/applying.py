@@ -126,7 +126,31 @@ def apply_changes(tables: dict[str, DataFrame], changes: dict[str, DataFrame]) -
     return {**tables, **after, "log": change_log(changes)}
 
 
-def plan_issues(plan: dict[str, DataFrame], entries: DataFrame, code: str = "isrc") -> DataFrame:
+def stage_details(issues: DataFrame, entries: DataFrame, songs: DataFrame, mappings: DataFrame) -> DataFrame:
+    """The stages' issues (entry_id, song_id, method, reason) with what disagrees, as details in JSON.
+
+    Titles, lengths or artists of both sides for an issue of that kind, the entry's codes for one of authority, and for
+    several candidates their number and best confidence, as one title may have any number of them.
+    """
+    many = mappings.groupBy("entry_id").agg(F.count(F.lit(1)).alias("candidates"), F.max("confidence").alias("best_confidence"))
+    e = entries.select("entry_id", F.col("core_title").alias("normalized_incoming_title"), F.col("raw_duration").alias("incoming_duration_ms"), F.array_sort("artists").alias("incoming_artist_ids"), "apple_id", "isrc")
+    titles = F.col("core_titles") if "core_titles" in songs.columns else F.array("normalized_title")
+    s = songs.select("song_id", F.array_sort(titles).alias("normalized_candidate_titles"), F.col("duration").alias("candidate_duration_ms"), F.array_sort("artists").alias("candidate_artist_ids"))
+    d = issues.join(e, "entry_id").join(s, "song_id", "left").join(many, "entry_id", "left")
+    ours, theirs = F.col("incoming_artist_ids"), F.col("candidate_artist_ids")
+    far = F.abs(F.col("incoming_duration_ms") - F.col("candidate_duration_ms")).alias("difference_ms")
+    kinds = {
+        "title": ["normalized_incoming_title", "normalized_candidate_titles"],
+        "duration": ["incoming_duration_ms", "candidate_duration_ms", far, F.lit(M.TOLERANCE).alias("tolerance_ms")],
+        "artist": ["incoming_artist_ids", "candidate_artist_ids", F.array_except(theirs, ours).alias("missing_artist_ids"), F.array_except(ours, theirs).alias("extra_artist_ids")],
+        "authority": ["apple_id", "isrc"],
+        "multiple": ["candidates", "best_confidence"],
+    }
+    details = F.coalesce(*[F.when(F.col("reason") == r, F.to_json(F.struct(*cols), _JSON)) for r, cols in kinds.items()])
+    return d.select("entry_id", "song_id", "method", "reason", details.alias("details"))
+
+
+def plan_issues(plan: dict[str, DataFrame], entries: DataFrame, songs: DataFrame, code: str = "isrc") -> DataFrame:
     """The issues of a match_source plan, as ISSUE.
 
     Disagreements with entries of the same code are one issue for each entry and reason: it holds the number of entries
@@ -135,7 +159,7 @@ def plan_issues(plan: dict[str, DataFrame], entries: DataFrame, code: str = "isr
     """
     name = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("reason")]
     rest = [F.lit(None).cast("long").alias("song_id"), F.lit(None).cast("string").alias("method")]
-    stages = plan["stage_issues"].select("entry_id", F.col("song_id").cast("long").alias("song_id"), "method", name.alias("reason"), F.lit("{}").alias("details"))
+    stages = stage_details(plan["stage_issues"], entries, songs, plan["mappings"]).select("entry_id", F.col("song_id").cast("long").alias("song_id"), "method", name.alias("reason"), "details")
     found = M.entries_in_conflict(entries, code, plan["conflict_counts"])
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(f"{r}_partners").alias("partners"), (F.col(f"{r}_other") if r != "artist" else F.lit(None)).cast("long").alias("candidate_entry_id")) for r in ("title", "duration", "artist")]))
     pairs = found.select("entry_id", "code", each.alias("x")).select("entry_id", "code", "x.*").where("partners > 0")
@@ -159,5 +183,5 @@ def match_batch(tables: dict[str, DataFrame], entries: DataFrame, songs: DataFra
         entries = d.where(F.col("source_type") == STORE).drop("source_type")
     entries = written(entries, "entries")
     plan = M.match_source(entries, songs, codes, fuzzy)
-    planned = {"mappings": plan["mappings"], "issues": plan_issues(plan, entries), "groups": plan["groups"], "entries": entries}
+    planned = {"mappings": plan["mappings"], "issues": plan_issues(plan, entries, songs), "groups": plan["groups"], "entries": entries}
     return {**plan_changes(tables, planned), **rejected}

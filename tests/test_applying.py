@@ -1,5 +1,7 @@
 """A batch match planned, applied and run again."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from shelfmark.plans import applying as P
@@ -47,6 +49,9 @@ def test_a_batch_is_planned_applied_and_not_applied_twice(spark):
     reasons = {(r.entry_id, r.reason) for r in changes["issues"].collect()}
     assert {(2, "TITLE_CONFLICT"), (2, "DURATION_MISMATCH"), (3, "TITLE_CONFLICT"), (3, "DURATION_MISMATCH"), (4, "NO_CANDIDATE"), (5, "NO_CANDIDATE"), (6, "NO_CANDIDATE")} <= reasons
 
+    stage = {(r.entry_id, r.reason): json.loads(r.details) for r in changes["issues"].where("song_id IS NOT NULL").collect()}
+    assert stage == {(3, "TITLE_CONFLICT"): {"normalized_incoming_title": "three", "normalized_candidate_titles": ["two"]}, (3, "DURATION_MISMATCH"): {"incoming_duration_ms": 9000, "candidate_duration_ms": 1000, "difference_ms": 8000, "tolerance_ms": 2000}}
+
     after = P.apply_changes(tables, changes)
     after = {n: spark.createDataFrame(after[n].collect(), after[n].schema) for n in [*EMPTY, "log"]}
     assert {(r.group_id, r.entry_id) for r in after["members"].collect()} == {(3, 4), (3, 5), (7, 6), (8, 4), (8, 5)}
