@@ -32,3 +32,14 @@ def test_reads_few_partitions(spark, tmp_path):
     assert read, plan
     assert len((read[1] or read[2]).split(",")) <= G.RAREST < G.PARTS / 4
     assert [r.key for r in found.collect()] == [2]
+
+
+def test_equal_terms_are_looked_up_once(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "Blue Ring 12"), (1, "blue ring 123"), (2, "red rod 3")], "id long, text string")
+    index = G.build_index(texts, "id", "text", str(tmp_path / "index"))
+    assert index.table("postings").groupBy("key", "gram").count().where("count > 1").count() == 0
+    terms = spark.createDataFrame([(7, "rin"), (5, "RIN"), (9, "ing 12"), (8, "nowhere"), (6, None)], "term_id long, term string")
+    members, found = G.search_classes(index, terms, "term_id", "term")
+    assert sorted(map(tuple, members.collect())) == [(5, 5), (7, 5), (8, 8), (9, 9)]
+    assert sorted(map(tuple, found.collect())) == [(5, 1), (9, 1)]
+    assert sorted(map(tuple, G.search(index, terms, "term_id", "term").collect())) == [(5, 1), (7, 1), (9, 1)]
