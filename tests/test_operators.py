@@ -2,6 +2,7 @@
 
 import json
 import plistlib
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -174,3 +175,24 @@ def test_other_readers(spark, tmp_path):
     html = '<script type="x" id="serialized-server-data">[{"data":{"sections":[{"id":"track-list - 1","items":[{"id":"track-lockup - 5","title":"T"},{"id":"other","title":"U"}]}]}}]</script>'
     assert [tuple(r) for r in S.extract_embedded_json(spark.createDataFrame([(1, html), (2, "<p>")], "page_id long, html string")).collect()] == [(1, "track-lockup - 5", "T")]
     assert not S.table_exists(spark, "nothing_here")
+
+
+def test_band_links_and_nearest_without_pairs(spark):
+    rng = random.Random(5)
+    a = spark.createDataFrame([(i, rng.choice("xyz"), rng.randrange(30)) for i in range(120)], "a long, k string, x long")
+    b = spark.createDataFrame([(i, rng.choice("xyw"), rng.randrange(30)) for i in range(150)], "b long, k string, y long")
+    pairs = [(r.a, r.b, abs(r.x - r.y)) for r in J.equi_band_join(a, b, ["k"], "x", "y", 4).collect()]
+    links = {i: [q for p, q, _ in pairs if p == i] for i in {p for p, _, _ in pairs}}
+    got = J.band_links(a, b, ["k"], "x", "y", 4, "a", "b").collect()
+    assert {r.a: (r.links, r.first) for r in got} == {i: (len(v), min(v)) for i, v in links.items()} and len(got) == len(links)
+    value = {r.a: (r.k, r.x) for r in a.collect()}
+    assert all(value[r.a] == value[r.class_id] and r.class_id <= r.a for r in got) and len({r.class_id for r in got}) < len(got)
+    near = sorted(map(tuple, J.nearest_in_band(a, b, ["k"], "x", "y", 4, "a", "b", 3).collect()))
+    assert near == sorted((i, q) for i in links for _, q in sorted((g, q) for p, q, g in pairs if p == i)[:3])
+
+
+def test_ordered_array_by_all_its_order(spark):
+    """Equal line, part and quantity: the flag decides, for every order of the rows."""
+    d = spark.createDataFrame([(1, "R"), (1, None), (1, "A")], "n int, v string")
+    for rows in (d, d.orderBy("v")):
+        assert [r.v for r in rows.agg(A.ordered_array(["n", "v"], "v").alias("v")).selectExpr("explode(v) AS v").collect()] == [None, "A", "R"]
