@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import written
+from ..operators.aggregates import spread, written
 from .matching import components
 
 #: Confidence of a group with a shared code and without, and the names of the ways it was found.
@@ -110,12 +110,13 @@ def relabel(labels: DataFrame, edges: DataFrame, added: DataFrame, removed: Data
     of added and removed edges, with new nodes, are computed anew from their own edges; all others keep their label.
     A label is the least id of its component, so that the result is that of a full computation.
     """
+    labels, nodes = spread(labels), spread(nodes)
     one = lambda df: df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ends = one(added).unionByName(one(removed)).distinct()
-    touched = labels.join(ends, "id", "left_semi").select("label").distinct()
-    again = labels.join(touched, "label", "left_semi").select("id").unionByName(nodes.select("id").join(labels, "id", "left_anti")).unionByName(ends).distinct()
+    ends = spread(one(added).unionByName(one(removed)).distinct())
+    touched = spread(written(labels.join(ends, "id", "left_semi").select("label").distinct(), "touched"))  # read twice
+    again = spread(written(labels.join(touched, "label", "left_semi").select("id").unionByName(nodes.select("id").join(labels, "id", "left_anti")).unionByName(ends).distinct(), "again"))
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # an edge lies in one component, so that its first end tells whether it is looked at
-    kept = pair(edges).join(again.withColumnRenamed("id", "a"), "a", "left_semi").join(pair(removed), ["a", "b"], "left_anti")
+    kept = pair(edges).join(again.withColumnRenamed("id", "a"), "a", "left_semi").join(spread(pair(removed)), ["a", "b"], "left_anti")
     new = components(kept.unionByName(pair(added)).distinct(), again)
     return labels.join(touched, "label", "left_anti").select("id", "label").unionByName(new.select("id", "label"))
