@@ -13,9 +13,10 @@ _DOCS = """SELECT event_id AS doc_id, concat('{"source":', CASE WHEN event_id %
 ',"locale":"en","playCount":', CASE WHEN event_id % 31 = 0 THEN '[]' ELSE CAST(user_id AS STRING) END, ',"releaseDate":', CASE event_id % 4 WHEN 0 THEN '"2024-02-30"' WHEN 1 THEN '"2024-02-03T04:05:06"' WHEN 2 THEN 'null' ELSE '12' END, ',"trackNumber":1,"title":', CASE event_id % 6 WHEN 0 THEN '"plain"' WHEN 1 THEN '{"en":"t","fr":null,"ja":3,"ko":"k"}' ELSE '{"en":"t","fr":null,"ja":null,"ko":null,"zs":null,"zt":"z"}' END, '}]', CASE WHEN event_id % 37 = 0 THEN '' ELSE '}' END) AS doc FROM events"""
 
 
-
 def _made(t, sql: str):
-    return t.events.selectExpr("event_id AS doc_id", sql.removeprefix("SELECT event_id AS doc_id, ").removesuffix(" FROM events"))
+    # a file is read by as few tasks as it has row groups; what a document costs is its parsing, so events are dealt anew before
+    n = max(t.spark.sparkContext.defaultParallelism, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return t.events.select("event_id", "user_id").repartition(n, "event_id").selectExpr("event_id AS doc_id", sql.removeprefix("SELECT event_id AS doc_id, ").removesuffix(" FROM events"))
 
 
 _FIELDS = [("$.source", "s", 0), ("$.time", "d", 0), ("$.artists", "l", 0), ("$.albums", "l", 0), ("$.songs", "l", 0), *((f"$.songs[0].{f.key}", {"text": "s", "int": "i", "date": "d", "texts": "l"}[f.kind], int(f.nullable)) for f in L.CATALOGUE["songs"]), ("$.songs[0].title", "o", 0)]

@@ -43,7 +43,7 @@ CATALOGUE = {
 
 def kind_of(v: Column) -> Column:
     """STRING, BIGINT, BOOLEAN, DECIMAL, DOUBLE, ARRAY, OBJECT, or VOID for a JSON null; null where there is nothing."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def get(v: Column, key: str, kind: str = "variant") -> Column:
@@ -54,37 +54,18 @@ def is_date(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMS]).isNotNull()
 
 
-def broken(v: Column, field: Field, path: Column) -> Column:
-    """struct(path, rule) where the value at a key breaks its rule, else null: missing, null, type or date."""
-    x = get(v, field.key)
-    kind = kind_of(x)
+def broken(v: Column, field: Field, path: Column, kind: Column | None = None) -> Column:
+    """struct(path, rule) where the value at a key breaks its rule, else null: missing, null, type or date. kind: what kind_of says of it, where known."""
+    kind = kind_of(get(v, field.key)) if kind is None else kind
     wanted = {"date": "text", "texts": "list"}.get(field.kind, field.kind)
     absent = F.lit(None) if field.optional else F.lit("missing")
-    wrong = F.when(~kind.rlike(f"^({KINDS[wanted]})$"), F.lit("type"))
+    wrong = F.when(~kind.isin(*KINDS[wanted].split("|")), F.lit("type"))
     if field.kind == "date":
         wrong = wrong.when(~is_date(get(v, field.key, "string")), F.lit("date"))
-    rule = F.when(x.isNull(), absent).when(kind == "VOID", F.lit(None) if field.nullable else F.lit("null")).otherwise(wrong)
+    rule = F.when(kind.isNull(), absent).when(kind == "VOID", F.lit(None) if field.nullable else F.lit("null")).otherwise(wrong)
     return F.when(rule.isNotNull(), F.struct(F.concat(path, F.lit(f".{field.key}")).alias("path"), rule.cast("string").alias("rule")))
 
 
-def violations(rows: DataFrame, v: str, path: str, fields: tuple[Field, ...]) -> DataFrame:
-    """The columns of rows but v and path, path, rule: what breaks the rules of an object, in one pass over the rows.
-
-    A value that is no object breaks the rule of its own path alone.
-    """
-    keep = [c for c in rows.columns if c not in (v, path)]
-    whole = F.col(path)
-    no_object = F.coalesce(kind_of(F.col(v)) != "OBJECT", F.lit(True))
-    each = F.array_compact(F.array(*[broken(F.col(v), f, whole) for f in fields]))
-    found = F.when(no_object, F.array(F.struct(whole.alias("path"), F.lit("type").alias("rule")))).otherwise(each)
-    out = rows.select(*keep, F.explode(found).alias("_x")).select(*keep, "_x.path", "_x.rule")
-    lists = [f.key for f in fields if f.kind == "texts"]
-    for key in lists:
-        items = elements(rows.withColumn("_list", get(F.col(v), key)).withColumn("_at", F.concat(whole, F.lit(f".{key}"))).select(*keep, "_list", "_at"), "_list", "_at")
-        out = out.unionByName(items.where(F.coalesce(kind_of(F.col("value")) != "STRING", F.lit(True))).select(*keep, F.col("at").alias("path"), F.lit("type").alias("rule")))
-    return out
-
-
 def elements(rows: DataFrame, v: str, path: str) -> DataFrame:
     """One row for each element of a list, or value of an object: the other columns, pos, key, value, at (its path).
 
@@ -97,25 +78,48 @@ def elements(rows: DataFrame, v: str, path: str) -> DataFrame:
     return d.select(*keep, "pos", "key", "value", at.alias("at"))
 
 
+def _listed(v: Column, level: str, path: Column, objects: bool = False) -> Column:
+    """array of (level, path, value): the elements of a list, with objects also the values of an object; else null."""
+    one = lambda at, x: F.struct(F.lit(level).alias("level"), F.concat(path, at).alias("path"), x.alias("value"))
+    found = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: one(F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))
+    if not objects:
+        return found
+    return F.coalesce(found, F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: one(F.concat(F.lit("."), e["key"]), e["value"])))
+
+
+#: What is checked as an object, by its level.
+_LEVELS = {"document": (Field("source", "text"), Field("time", "date"), *(Field(k, "list") for k in CATALOGUE)), **{k: (*f, Field("title", "object")) for k, f in CATALOGUE.items()}, "title": LOCALIZED}
+
+
 def check_catalogue(docs: DataFrame, doc_id: str, text: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """(artists, albums and songs as rows (doc_id, pos, value), violations (doc_id, path, rule)) of catalogue documents.
 
     Rules: json for a text that is none; the document an object, source and time texts; the three lists there; each
-    element as CATALOGUE says, its title with all of LOCALES, texts or null.
+    element as CATALOGUE says, its title with all of LOCALES, texts or null. A value that is no object breaks the rule of
+    its own path alone. A text is parsed once and the kind of each value found once: documents become rows of what
+    is to be checked (the document, its elements, their titles and listed texts), and each row an array of what is broken.
     """
-    d = docs.select(doc_id, F.try_parse_json(text).alias("_doc"), F.lit("$").alias("_root"))
-    bad = d.where("_doc IS NULL").select(doc_id, F.lit("$").alias("path"), F.lit("json").alias("rule"))
-    good = d.where("_doc IS NOT NULL")
-    top = (Field("source", "text"), Field("time", "date"), *(Field(k, "list") for k in CATALOGUE))
-    found, parts = [bad, violations(good, "_doc", "_root", top)], {}
+    d = docs.select(doc_id, F.try_parse_json(text).alias("_doc"))
+    piece = lambda level, path, value: F.struct(F.lit(level).alias("level"), path.alias("path"), value.alias("value"))
+    none = F.array().cast("array<struct<level:string,path:string,value:variant>>")
+    level, path, v = F.col("_p.level"), F.col("_p.path"), F.col("_p.value")
+    lists = [F.coalesce(_listed(get(F.col("_doc"), k), k, F.lit(f"$.{k}")), none) for k in CATALOGUE]
+    rows = d.select(doc_id, F.explode(F.concat(F.array(piece("document", F.lit("$"), F.col("_doc"))), *lists)).alias("_p"))
+    below = F.when(level.isin(*CATALOGUE), F.array(piece("title", F.concat(path, F.lit(".title")), get(v, "title"))))
     for name, fields in CATALOGUE.items():
-        rows = elements(good.select(doc_id, get(F.col("_doc"), name).alias("_list"), F.lit(f"$.{name}").alias("_at")), "_list", "_at").where("key IS NULL")
-        parts[name] = rows.select(doc_id, "pos", "value")
-        own = rows.select(doc_id, "value", "at")
-        found.append(violations(own, "value", "at", (*fields, Field("title", "object"))))
-        titles = own.select(doc_id, get(F.col("value"), "title").alias("_title"), F.concat("at", F.lit(".title")).alias("_at")).where(kind_of(F.col("_title")) == "OBJECT")
-        found.append(violations(titles, "_title", "_at", LOCALIZED))
-    return parts, reduce(DataFrame.unionByName, found)
+        for f in fields:
+            if f.kind == "texts":
+                below = F.concat(below, F.coalesce(F.when(level == name, _listed(get(v, f.key), "listed", F.concat(path, F.lit(f".{f.key}")), objects=True)), none))
+    rows = rows.select(doc_id, F.explode(F.concat(F.array(F.col("_p")), F.coalesce(below, none))).alias("_p"))
+    choose = lambda of: reduce(lambda c, kv: c.when(level == kv[0], of(kv[1])), _LEVELS.items(), F)
+    rows = rows.select(doc_id, "_p", kind_of(v).alias("_kind"), choose(lambda fields: F.array(*[kind_of(get(v, f.key)) for f in fields])).alias("_kinds"))
+    each = choose(lambda fields: F.array(*[broken(v, f, path, F.get("_kinds", F.lit(i))) for i, f in enumerate(fields)]))
+    own = lambda rule: F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule")))
+    kind = F.col("_kind")
+    found = F.when((level == "document") & v.isNull(), own("json")).when(level == "listed", F.when(F.coalesce(kind != "STRING", F.lit(True)), own("type")))
+    found = found.when(F.coalesce(kind != "OBJECT", F.lit(True)), F.when(level != "title", own("type"))).otherwise(F.array_compact(each))
+    parts = {k: d.select(doc_id, F.posexplode(F.try_variant_get("_doc", f"$.{k}", "array<variant>")).alias("pos", "value")) for k in CATALOGUE}
+    return parts, rows.select(doc_id, F.explode(found).alias("_x")).select(doc_id, "_x.path", "_x.rule")
 
 
 def as_id(v: Column) -> Column:

@@ -84,3 +84,11 @@ def test_loose_values_of_odd_documents(spark):
     parts, bad = L.check_catalogue(spark.createDataFrame(docs, "doc_id int, doc string"), "doc_id", "doc")
     assert pairs(bad) == [(1, "$", "json"), (2, "$", "type"), (3, "$", "type"), (4, "$", "json"), (5, "$.artists[0]", "type"), (5, "$.songs", "type")]
     assert parts["artists"].count() == 1 and parts["songs"].count() == 0
+
+
+def test_a_check_parses_each_document_once_and_tells_every_path(spark):
+    docs = spark.createDataFrame([(1, '{"source":"a","time":"2024-01-05","artists":[],"albums":[7,{"id":"x","artistID":{"k":1}}],"songs":{"a":{}}}'), (2, "["), (3, None), (4, "[]"), (5, '{"source":null,"time":"noon","artists":[null],"albums":[],"songs":[]}')], "doc_id int, doc string")
+    _, bad = L.check_catalogue(docs, "doc_id", "doc")
+    assert bad._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    got = {tuple(r) for r in bad.where("rule <> 'missing'").collect()}
+    assert got == {(1, "$.songs", "type"), (1, "$.albums[0]", "type"), (1, "$.albums[1].artistID", "type"), (1, "$.albums[1].artistID.k", "type"), (2, "$", "json"), (3, "$", "json"), (4, "$", "type"), (5, "$.source", "null"), (5, "$.time", "date"), (5, "$.artists[0]", "type")}
