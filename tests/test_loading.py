@@ -108,3 +108,11 @@ def test_documents_and_back(spark):
     back = N.apply_load(empty, plan)
     assert errors(plan) == [] and broken.count() == 0
     assert {n: rows(back[n]) for n in SCHEMAS} == {n: rows(had[n]) for n in SCHEMAS}
+
+
+def test_documents_are_parsed_once_for_all_kinds(spark):
+    texts = spark.createDataFrame([(1, '{"source":"CLIPBOARD","songs":[{"id":5}]}'), (2, "no"), (3, '{"source":"other"}')], "n long, text string")
+    parts, bad = N.read_documents(texts, "n", "text")
+    for df in (*parts.values(), bad):
+        assert "Scan ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["id"] for r in parts["songs"].collect()] == [5] and sorted(r[0] for r in bad.collect()) == [2, 3]
