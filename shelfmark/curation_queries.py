@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fixtures import _parts, _spark_sql
 from .plans import groups as R
 from .plans import merging as G
 from .plans import songs as N
 from .queries import query
 
-
-def _parts(*parts: tuple[str, DataFrame, Column, list]) -> DataFrame:
-    """(part, id, value) of several tables: value joins columns, null as nothing."""
-    text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-"))
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("part"), key.cast("long").alias("id"), F.concat_ws("|", *map(text, cols)).alias("value")) for name, df, key, cols in parts])
-
-
 # entity merge: suppliers are artists; chains of up to four, cycles, a source with two targets, one that is not there
 
 _TARGETS = """SELECT s AS source, CASE WHEN s % 10 = 1 THEN s + 1 WHEN s % 10 = 2 THEN s + 2 WHEN s % 30 = 4 THEN s + 1 WHEN s % 20 = 7 THEN s + 1 WHEN s % 20 = 8 THEN s - 1 WHEN s % 20 = 17 THEN s + 1 WHEN s % 40 = 19 THEN -1 END AS target FROM (SELECT s_suppkey AS s FROM supplier) WHERE s % 10 IN (1, 2) OR s % 30 = 4 OR s % 20 IN (7, 8, 17) OR s % 40 = 19 UNION SELECT s_suppkey, s_suppkey + 3 FROM supplier WHERE s_suppkey % 40 = 37"""
@@ -29,14 +21,6 @@ _RELATIONS = "SELECT s_suppkey AS artist_id, s_suppkey + 1 AS ref_artist_id, 1 A
 _LINKS = "SELECT l_orderkey AS song_id, l_linenumber AS display_order, l_suppkey AS artist_id, l_returnflag AS display_title FROM lineitem"
 
 
-def _spark_sql(t, sql: str) -> DataFrame:
-    used = [n for n in ("supplier", "lineitem", "part", "orders") if f"FROM {n}" in sql]
-    sql = sql.replace(" // ", " DIV ")
-    for n in used:
-        sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
-    return t.spark.sql(sql, **{n: getattr(t, n) for n in used})
-
-
 def merge_tables(t) -> tuple[dict[str, DataFrame], DataFrame]:
     links = _spark_sql(t, _LINKS)
     tables = {"artists": t.supplier.select(F.col("s_suppkey").alias("artist_id")), "codes": _spark_sql(t, _CODES), "titles": _spark_sql(t, _ARTIST_TITLES), "aliases": _spark_sql(t, _ALIASES), "relations": _spark_sql(t, _RELATIONS), "album_artists": links.select(F.col("song_id").alias("album_id"), "display_order", "artist_id"), "song_artists": links}

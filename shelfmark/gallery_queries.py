@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .curation_queries import _spark_sql
+from .fixtures import _spark_sql
 from .plans import gallery as G
 from .queries import query
 

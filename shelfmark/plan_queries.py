@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .curation_queries import _parts
+from .fixtures import _parts
 from .plans import applying as P
 from .plans import matching as M
 from .queries import _ISRC, _coded_docs, query
