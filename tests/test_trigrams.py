@@ -1,7 +1,12 @@
 """The index of characters finds what contains finds, and reads only the partitions that it needs."""
 
+import random
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from shelfmark.functions.text import fold_latin, fold_latin_long
 from shelfmark.operators import trigrams as G
 
 
@@ -43,3 +48,22 @@ def test_equal_terms_are_looked_up_once(spark, tmp_path):
     assert sorted(map(tuple, members.collect())) == [(5, 5), (7, 5), (8, 8), (9, 9)]
     assert sorted(map(tuple, found.collect())) == [(5, 1), (9, 1)]
     assert sorted(map(tuple, G.search(index, terms, "term_id", "term").collect())) == [(5, 1), (7, 1), (9, 1)]
+
+
+def test_postings_are_made_as_lists_in_the_task_that_reads_the_texts(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    rows = sorted((r.choice([0, 0, 0, 1, 2, 3, 4, 5]), "".join(r.choice("abcé😀日 ") for _ in range(r.choice([1, 2, 3, 40])))) for _ in range(80))
+    want = sorted({(t[i : i + n], k) for k, t in rows for n in (1, 2, 3) for i in range(len(t) - n + 1)})
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + 13]]), pa.array([t for _, t in rows[i : i + 13]])], ["key", "text"]) for i in range(0, 80, 13)]
+    for limit in (50, 300, 10**6):  # a key's texts fill several lists, or one
+        monkeypatch.setattr(G, "LISTED", limit)
+        lists = [x for b in G._posting_lists(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert sorted((g, k) for g, keys in lists for k in keys) == want
+    assert len(lists) == len({g for g, _ in want})  # a list for each gram, not a row for each key of it
+    index = G.build_index(spark.range(500).selectExpr("id", "concat('same words ', id) AS x"), "id", "x", str(tmp_path / "i"))
+    assert index.table("lists").count() < index.table("postings").count() / 10
+
+
+def test_long_texts_fold_as_short_ones(spark):
+    every = spark.createDataFrame([(f"a{chr(c)}b",) for c in range(1, 0x2100)] + [(None,), ("ÆŁß x",)], "x string")
+    assert every.where(~fold_latin(F.col("x")).eqNullSafe(fold_latin_long(F.col("x")))).count() == 0
