@@ -92,9 +92,14 @@ _MAPPINGS = "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS entry_id, l_partke
 
 def song_tables(t) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
     q = lambda sql: _spark_sql(t, sql)
-    children = {"titles": q(_ENTRY_TITLES), "codes": q(_ENTRY_CODES), "artists": q(_ENTRY_ARTISTS), "albums": q(_ENTRY_ALBUMS)}
+    # line items dealt by order: entries are made and joined to their groups where they lie
+    dealt = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").repartition("l_orderkey")
+    entry = t.spark.sql(_ENTRY.replace("FROM lineitem", "FROM {dealt}"), dealt=dealt)
+    # equal rows of an entry meet where the entry is dealt to, so that telling them apart needs no shuffle beside the join's own
+    each = lambda sql: q(sql.replace("SELECT DISTINCT", "SELECT").replace(" UNION SELECT", " UNION ALL SELECT")).repartition("entry_id").distinct()
+    children = {"titles": each(_ENTRY_TITLES), "codes": each(_ENTRY_CODES), "artists": each(_ENTRY_ARTISTS), "albums": q(_ENTRY_ALBUMS)}
     tables = {"groups": q(_GROUP_SONGS), "songs": q(_SONGS), "song_titles": q(_SONG_TITLES), "song_locales": q(_SONG_LOCALES), "song_codes": q(_SONG_CODES), "song_artists": q(_SONG_ARTISTS), "album_tracks": q(_TRACKS), "track_counts": q(_COUNTS), "mappings": q(_MAPPINGS), "artist_codes": q(_ARTIST_CODES), "album_codes": q(_ALBUM_CODES)}
-    return q(_ENTRY), children, tables
+    return entry, children, tables
 
 
 _PLAN = f"""WITH RECURSIVE entries AS MATERIALIZED ({_ENTRY}), entry_titles AS ({_ENTRY_TITLES}), entry_codes AS MATERIALIZED ({_ENTRY_CODES}), entry_artists AS ({_ENTRY_ARTISTS}), entry_albums AS ({_ENTRY_ALBUMS}), song_codes AS ({_SONG_CODES}), artist_codes AS ({_ARTIST_CODES}), album_codes AS ({_ALBUM_CODES}), group_songs AS ({_GROUP_SONGS}),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs as C
-from ..operators.aggregates import earliest_date, representative, sequence_ids, top_k, written
+from ..operators.aggregates import earliest_date, representative, sequence_ids, spread, top_k, written
 from .changes import insert_if_absent
 from .matching import components
 
@@ -37,12 +37,17 @@ def settle_claims(groups: DataFrame, codes: DataFrame, owned: DataFrame) -> Data
     s = F.concat(F.lit("s"), "song_id")
     codes = codes.where("code IS NOT NULL").select("group_id", "authority", "code").distinct()
     claimed = owned.join(codes.select("authority", "code").distinct(), ["authority", "code"], "left_semi")
-    edges = codes.select(g.alias("a"), c.alias("b")).unionByName(claimed.select(c.alias("a"), s.alias("b"))).unionByName(groups.where("song_id IS NOT NULL").select(g.alias("a"), s.alias("b")))
-    nodes = groups.select(g.alias("id")).unionByName(edges.select(F.col("b").alias("id"))).unionByName(claimed.select(s.alias("id")))
-    label = components(edges, nodes)
+    claims = groups.where("song_id IS NOT NULL")
+    edges = codes.select(g.alias("a"), c.alias("b")).unionByName(claimed.select(c.alias("a"), s.alias("b"))).unionByName(claims.select(g.alias("a"), s.alias("b")))
+    # a group without a claim is a unit of its own: only those that claim something are nodes
+    every = groups.where("group_id IS NOT NULL").select("group_id").distinct()
+    claiming = codes.select("group_id").unionByName(claims.select("group_id")).distinct().join(every, "group_id", "left_semi")
+    nodes = claiming.select(g.alias("id")).unionByName(edges.select(F.col("b").alias("id"))).unionByName(claimed.select(s.alias("id")))
+    label = written(components(edges, nodes), "labels")
     kind, value = F.substring("id", 1, 1), F.expr("substring(id, 2)").cast("long")
     units = label.where(kind != "c").groupBy("label").agg(F.min(F.when(kind == "g", value)).alias("unit_id"), F.min(F.when(kind == "s", value)).alias("low"), F.max(F.when(kind == "s", value)).alias("high"))
-    return label.where(kind == "g").join(units, "label").select(value.alias("group_id"), "unit_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("song_id"), F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("several"))
+    joined = spread(label.where(kind == "g").join(units, "label").select(value.alias("group_id"), "unit_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("song_id"), F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("several")))
+    return every.join(joined, "group_id", "left").select("group_id", F.coalesce("unit_id", F.col("group_id").cast("long")).alias("unit_id"), "song_id", F.coalesce("several", F.lit(False)).alias("several"))
 
 
 def _listed(df: DataFrame, label: str, name: str) -> DataFrame:
@@ -59,10 +64,12 @@ def plan_songs(entries: DataFrame, children: dict[str, DataFrame], catalogue: di
     title, no fallback, artists or albums that the catalogue lacks, no artist, no duration, codes of several songs.
     """
     of_group = entries.select("group_id", "entry_id")
-    codes = of_group.join(children["codes"], "entry_id")
+    codes = written(of_group.join(children["codes"], "entry_id"), "claims")  # few, and read for every kind of edge
     units = written(settle_claims(catalogue["groups"], codes, catalogue["song_codes"]), "units")
-    e = written(entries.join(units.select("group_id", "unit_id"), "group_id"), "members")
+    e = written(entries.join(units.select("group_id", "unit_id"), "group_id").select("unit_id", "entry_id", "duration", "release_date", "audio"), "members")
     own = e.select("unit_id", "entry_id")
+    # dealt by unit once: all that is summed up for a unit, its representative duration too, is found where its entries lie
+    e = e.repartition("unit_id")
     first = lambda value, some: F.min_by(value, F.when(some, F.col("entry_id")))
     tag = C.locale_bit(F.col("audio"))
     main = e.groupBy("unit_id").agg(first(F.col("audio"), F.trim("audio") != "").alias("audio"), first(tag, (F.trim("audio") != "") & (tag != UND)).alias("locale"), earliest_date(F.col("release_date")).alias("release_date"), F.count(F.lit(1)).alias("members"))
@@ -70,7 +77,7 @@ def plan_songs(entries: DataFrame, children: dict[str, DataFrame], catalogue: di
     main = written(main, "values")
 
     rows = own.join(children["titles"].where("trim(title) <> ''"), "entry_id")
-    best = written(rows.groupBy("unit_id", "locale").agg(F.min_by("title", F.struct("entry_id", "title")).alias("title")), "titles")
+    best = written(rows.groupBy("unit_id", "locale").agg(F.min(F.struct("entry_id", "title"))["title"].alias("title")), "titles")
     conflicts = rows.join(best.withColumnRenamed("title", "existing"), ["unit_id", "locale"]).where("title <> existing").select("unit_id", "locale", "existing", F.col("title").alias("incoming"), "entry_id").distinct()
     kinds = best.groupBy("unit_id").agg(F.count_distinct("title").alias("kinds"), F.max(F.col("locale") == EN).alias("english"), F.count(F.lit(1)).alias("n"))
     spoken = best.select("unit_id", "locale", F.lit(True).alias("spoken"))
@@ -143,7 +150,7 @@ def create_or_merge(plan: dict[str, DataFrame], tables: dict[str, DataFrame]) ->
     tracks = albums.where("track IS NOT NULL").groupBy("album_id", "disc", "track").agg(F.min("song_id").alias("song_id"))
     out["album_tracks"] = insert_if_absent(tables["album_tracks"].select("album_id", "disc", "track", "song_id"), tracks, ["album_id", "disc", "track"])
 
-    chosen = plan["members"].join(ids, "unit_id").select("entry_id", F.col("song_id").alias("_song")).distinct()
+    chosen = plan["members"].join(ids, "unit_id").select("entry_id", F.col("song_id").alias("_song")).repartition("entry_id").distinct()
     old = tables["mappings"].join(chosen, "entry_id", "left").where("_song IS NULL OR _song <> song_id")
     old = old.select("entry_id", "song_id", "method", "confidence", F.when(F.col("_song").isNotNull(), "rejected").otherwise(F.col("status")).alias("status"))
     out["mappings"] = old.unionByName(chosen.select("entry_id", F.col("_song").alias("song_id"), F.lit("MANUAL").alias("method"), F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status")))

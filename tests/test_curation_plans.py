@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.curation_queries import merge_tables
+from shelfmark.curation_queries import merge_tables, song_tables
 from shelfmark.fixtures import Tables
 from shelfmark.operators.aggregates import chained, representative
 from shelfmark.plans import groups as R
@@ -92,3 +92,22 @@ def test_a_check_parses_each_document_once_and_tells_every_path(spark):
     assert bad._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
     got = {tuple(r) for r in bad.where("rule <> 'missing'").collect()}
     assert got == {(1, "$.songs", "type"), (1, "$.albums[0]", "type"), (1, "$.albums[1].artistID", "type"), (1, "$.albums[1].artistID.k", "type"), (2, "$", "json"), (3, "$", "json"), (4, "$", "type"), (5, "$.source", "null"), (5, "$.time", "date"), (5, "$.artists[0]", "type")}
+
+
+def test_groups_without_a_claim_are_no_nodes(spark, monkeypatch):
+    sizes, real = [], N.components
+    monkeypatch.setattr(N, "components", lambda edges, nodes: sizes.append(nodes.count()) or real(edges, nodes))
+    groups = spark.range(1, 51).selectExpr("id AS group_id", "CASE WHEN id = 50 THEN 7 END AS song_id")
+    codes = spark.createDataFrame([(3, 0, "x"), (2, 0, "x"), (99, 0, "x")], "group_id long, authority int, code string")
+    owned = spark.createDataFrame([(7, 0, "z")], "song_id long, authority int, code string")
+    got = pairs(N.settle_claims(groups, codes, owned))
+    assert got == [(i, 2 if i == 3 else i, 7 if i == 50 else None, False) for i in range(1, 51)]
+    assert sizes[0] <= 8  # groups 2, 3 and 50, their code (from each group) and song
+
+
+def test_entries_are_dealt_by_order_and_titles_by_entry_once(spark):
+    entries, children, _ = song_tables(Tables(spark, "/root/testdata/sf0.001"))
+    for df in (entries, children["titles"], children["artists"]):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    joined = children["titles"].join(spark.range(5).selectExpr("id AS entry_id").hint("merge"), "entry_id")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
