@@ -90,13 +90,17 @@ _COUNTS = "SELECT p_partkey AS album_id, 1 AS disc, p_size AS track_count FROM p
 _MAPPINGS = "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS entry_id, l_partkey + 1 AS song_id, 'FUZZY' AS method, 0.9 AS confidence, 'pending' AS status FROM lineitem WHERE l_linenumber = 1"
 
 
+def _dealt(t, sql: str, by: str) -> DataFrame:
+    """The different rows of the SQL: equal ones meet where by is dealt to, so that joins on it need no shuffle of their own."""
+    return _spark_sql(t, sql.replace("SELECT DISTINCT", "SELECT").replace(" UNION SELECT", " UNION ALL SELECT")).repartition(by).distinct()
+
+
 def song_tables(t) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
     q = lambda sql: _spark_sql(t, sql)
     # line items dealt by order: entries are made and joined to their groups where they lie
     dealt = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").repartition("l_orderkey")
     entry = t.spark.sql(_ENTRY.replace("FROM lineitem", "FROM {dealt}"), dealt=dealt)
-    # equal rows of an entry meet where the entry is dealt to, so that telling them apart needs no shuffle beside the join's own
-    each = lambda sql: q(sql.replace("SELECT DISTINCT", "SELECT").replace(" UNION SELECT", " UNION ALL SELECT")).repartition("entry_id").distinct()
+    each = lambda sql: _dealt(t, sql, "entry_id")
     children = {"titles": each(_ENTRY_TITLES), "codes": each(_ENTRY_CODES), "artists": each(_ENTRY_ARTISTS), "albums": q(_ENTRY_ALBUMS)}
     tables = {"groups": q(_GROUP_SONGS), "songs": q(_SONGS), "song_titles": q(_SONG_TITLES), "song_locales": q(_SONG_LOCALES), "song_codes": q(_SONG_CODES), "song_artists": q(_SONG_ARTISTS), "album_tracks": q(_TRACKS), "track_counts": q(_COUNTS), "mappings": q(_MAPPINGS), "artist_codes": q(_ARTIST_CODES), "album_codes": q(_ALBUM_CODES)}
     return entry, children, tables
@@ -169,9 +173,9 @@ _WANTED = "SELECT DISTINCT l_orderkey AS group_id, l_suppkey AS entry_id FROM li
 
 def group_tables(t) -> dict[str, DataFrame]:
     q = lambda sql: _spark_sql(t, sql)
-    d = {"members": q(_MEMBERS), "entries": q(_PARTS), "issues": q(_ISSUES)}
+    d = {"members": _dealt(t, _MEMBERS, "group_id"), "entries": q(_PARTS), "issues": q(_ISSUES)}
     d["groups"] = t.orders.select(F.col("o_orderkey").alias("group_id")).join(R.details_of(d["members"], d["entries"]), "group_id", "left")
-    d["group_issues"] = d["members"].join(d["issues"], "entry_id").select("group_id", "issue_id").distinct()
+    d["group_issues"] = R.issue_links(d["members"], d["issues"])
     return d
 
 
@@ -194,7 +198,7 @@ final AS (SELECT * FROM m WHERE group_id NOT IN (SELECT group_id FROM good) UNIO
 @query(f"{_EDITS} SELECT 'log' AS part, group_id AS id, coalesce(error, '-') AS value FROM log UNION ALL SELECT 'members', group_id, CAST(entry_id AS VARCHAR) FROM final UNION ALL SELECT DISTINCT 'issues', group_id, CAST(o_orderkey AS VARCHAR) FROM final JOIN orders ON o_custkey = entry_id UNION ALL SELECT 'details', o_orderkey, coalesce(value, '-|-|-|-|-|-|-|-|-') FROM orders LEFT JOIN ({_DETAILS.replace('@M', 'final').replace('@E', 'e')}) d ON d.group_id = o_orderkey")
 def m28_edit_groups(t):
     """Edits of members; details and issue links of edited groups alone are made anew, the SQL makes those of all."""
-    d = R.edit_groups(group_tables(t), _spark_sql(t, _SEEN), _spark_sql(t, _WANTED))
+    d = R.edit_groups(group_tables(t), _dealt(t, _SEEN, "group_id"), _dealt(t, _WANTED, "group_id"))
     g = F.col("group_id")
     return _parts(("log", d["log"], g, ["error"]), ("members", d["members"], g, ["entry_id"]), ("issues", d["group_issues"], g, ["issue_id"]), ("details", d["groups"], g, _shown()))
 

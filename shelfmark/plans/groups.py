@@ -7,7 +7,7 @@ members: group_id, entry_id. issues: issue_id, entry_id, resolved_at. group_issu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import spread, written
@@ -35,6 +35,17 @@ def details_of(members: DataFrame, entries: DataFrame) -> DataFrame:
     return g.select("group_id", F.when(many, "EXACT").alias("method"), F.when(many & coded, BY_CODE).when(many, BY_METADATA).alias("confidence"), details.alias("details"))
 
 
+def issue_links(members: DataFrame, issues: DataFrame) -> DataFrame:
+    """group_id, issue_id: the issues of a group's members, each once.
+
+    Only an issue that names several entries can come twice to a group, so that these alone are told apart after the join.
+    """
+    each = issues.where("entry_id IS NOT NULL").select("issue_id", "entry_id").repartition("issue_id").distinct().withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("issue_id")))
+    own = members.select("group_id", "entry_id").distinct()
+    found = lambda which: own.join(each.where(which), "entry_id").select("group_id", "issue_id")
+    return found("_n = 1").unionByName(found("_n > 1").distinct())
+
+
 def judge_edits(members: DataFrame, groups: DataFrame, entries: DataFrame, seen: DataFrame, wanted: DataFrame) -> DataFrame:
     """group_id, error: of each edited group whether its edit holds.
 
@@ -77,8 +88,7 @@ def refresh(tables: dict[str, DataFrame], members: DataFrame, touched: DataFrame
     hit = F.coalesce("_hit", F.lit(False))
     new: dict[str, Column] = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("method", "confidence", "details")}
     groups = tables["groups"].join(d, "group_id", "left").select(*[new.get(c, F.col(c)).alias(c) for c in tables["groups"].columns])
-    links = own.join(tables["issues"].select("entry_id", "issue_id"), "entry_id").select("group_id", "issue_id").distinct()
-    group_issues = tables["group_issues"].join(touched, "group_id", "left_anti").select("group_id", "issue_id").unionByName(links)
+    group_issues = tables["group_issues"].join(touched, "group_id", "left_anti").select("group_id", "issue_id").unionByName(issue_links(own, tables["issues"]))
     return {"groups": groups, "group_issues": group_issues}
 
 

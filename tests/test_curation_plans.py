@@ -111,3 +111,12 @@ def test_entries_are_dealt_by_order_and_titles_by_entry_once(spark):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     joined = children["titles"].join(spark.range(5).selectExpr("id AS entry_id").hint("merge"), "entry_id")
     assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_issues_come_once_without_telling_all_links_apart(spark):
+    members = spark.createDataFrame([(1, 10), (1, 11), (1, 10), (2, 11), (3, None)], "group_id long, entry_id long")
+    issues = spark.createDataFrame([(7, 10), (7, 11), (8, 10), (8, 10), (9, 12), (5, None), (None, 10), (None, 11)], "issue_id long, entry_id long")
+    got = R.issue_links(members, issues)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 7), (2, 7), (1, 8), (1, None), (2, None)], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.splitlines()[1].startswith(":- Project")  # links of issues with one entry go out as joined
