@@ -27,7 +27,7 @@ def gallery_items(t) -> dict[str, DataFrame]:
     """Of every mode its items, with the codes of their locales."""
     out = {}
     for mode, sql in _ITEMS.items():
-        codes = _spark_sql(t, _CODES[mode]).groupBy("id").agg(F.collect_list("locale").alias("locales"))
+        codes = _spark_sql(t, _CODES[mode].replace(" UNION SELECT", " UNION ALL SELECT")).repartition("id").distinct().groupBy("id").agg(F.collect_list("locale").alias("locales"))
         out[mode] = _spark_sql(t, sql).join(codes, "id", "left")
     return out
 

@@ -212,7 +212,7 @@ def pages(members: DataFrame, page: int = 1, size: int = SIZE) -> DataFrame:
 def _names(shown: DataFrame, mode: str, links: DataFrame, artists: DataFrame) -> DataFrame:
     """mode, id, artists: the names of a shown item's artists, in order, joined."""
     ids = shown.where(F.col("mode") == mode).select("id").distinct()
-    d = links.join(F.broadcast(ids), "id").join(artists.select(F.col("id").alias("artist_id"), F.col("title").alias("name")), "artist_id")
+    d = links.join(F.broadcast(ids), "id", "left_semi").join(artists.select(F.col("id").alias("artist_id"), F.col("title").alias("name")), "artist_id")
     ordered = F.array_sort(F.collect_list(F.struct("display_order", "artist_id", "name")))
     return d.where("name IS NOT NULL").groupBy("id").agg(F.array_join(ordered["name"], ", ").alias("artists")).select(F.lit(mode).alias("mode"), "id", "artists")
 
@@ -223,15 +223,16 @@ def gallery(items: dict[str, DataFrame], album_artists: DataFrame, song_artists:
     A song's artwork is that of its albums' first that has some, compilations (COMPILATION) before others, then by id.
     Years are of albums and songs, counts of artists. Links: id, artist_id, display_order; tracks: album_id, song_id.
     What is shown (a page of each of the fixed groups and of the years) is written once; only its ids meet the links and
-    tracks, broadcast, as they are at most size times the groups.
+    tracks, broadcast, as they are at most size times the groups; by a semi join, which Spark moves below the aggregates
+    that links and tracks are made by, so that only rows of what is shown are summed up.
     """
     shown = written(pages(memberships(items, where=where), page, size), "shown")
     ids = {m: shown.where(F.col("mode") == m).select("id").distinct() for m in MODES}
     albums, artists, songs = (items[m] for m in MODES)
     own = [items[m].join(F.broadcast(ids[m]), "id").select(F.lit(m).alias("mode"), "id", F.col("artwork") if m != "songs" else F.lit(None).cast("string").alias("artwork"), F.year("release_date").alias("year") if m != "artists" else F.lit(None).cast("int").alias("year")) for m in MODES]
     art = albums.where("artwork <> ''").select(F.col("id").alias("album_id"), "artwork", (F.col("album_type") == COMPILATION).alias("whole"))
-    covers = tracks.select("album_id", F.col("song_id").alias("id")).join(F.broadcast(ids["songs"]), "id").join(art, "album_id").groupBy("id").agg(F.min_by("artwork", F.struct(~F.coalesce("whole", F.lit(False)), F.col("album_id"))).alias("cover"))
-    count = lambda links, name: links.join(F.broadcast(ids["artists"].withColumnRenamed("id", "artist_id")), "artist_id").groupBy("artist_id").agg(F.count_distinct("id").alias(name)).select(F.col("artist_id").alias("id"), name)
+    covers = tracks.select("album_id", F.col("song_id").alias("id")).join(F.broadcast(ids["songs"]), "id", "left_semi").join(art, "album_id").groupBy("id").agg(F.min_by("artwork", F.struct(~F.coalesce("whole", F.lit(False)), F.col("album_id"))).alias("cover"))
+    count = lambda links, name: links.join(F.broadcast(ids["artists"].withColumnRenamed("id", "artist_id")), "artist_id", "left_semi").groupBy("artist_id").agg(F.count_distinct("id").alias(name)).select(F.col("artist_id").alias("id"), name)
     named = _names(shown, "albums", album_artists, artists).unionByName(_names(shown, "songs", song_artists, artists))
     on = lambda df, mode: df.withColumn("mode", F.lit(mode))
     d = shown.join(reduce(DataFrame.unionByName, own), ["mode", "id"], "left").join(named, ["mode", "id"], "left")

@@ -1,10 +1,13 @@
 """The gallery's tree, its order of groups, and pages beyond the last."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import gallery_queries
+from shelfmark.fixtures import Tables
 from shelfmark.plans import gallery as G
 
 
@@ -42,3 +45,16 @@ def test_a_page_beyond_the_last_is_the_first_and_nulls_come_last(spark):
         G.memberships({"songs": s}, {"songs": ["tag"]})
     plan = G.pages(m, 1, 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_links_are_cut_to_what_is_shown_before_they_are_summed_up(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    d = gallery_queries.G.gallery(gallery_queries.gallery_items(t), gallery_queries._links(t, "l_orderkey"), gallery_queries._links(t, "l_partkey"), gallery_queries._spark_sql(t, gallery_queries._TRACKS), page=2)
+    lines = d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(re.match(r"[\s:+|-]*", x)[0]) for x in lines]
+    scans = [i for i, x in enumerate(lines) if "l_orderkey" in x and "Relation" in x]
+    assert len(scans) == 5
+    for i in scans:  # the nearest node above a scan of line items with a second input is the semi join
+        above = [j for j in range(i) if all(depth[k] > depth[j] for k in range(j + 1, i + 1))][::-1]
+        kinds = [lines[j].strip(" :+-") for j in above if "Aggregate" in lines[j] or "Join" in lines[j]]
+        assert kinds[0].startswith("Join LeftSemi"), kinds[:2]
