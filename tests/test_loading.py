@@ -4,6 +4,9 @@ import json
 
 import pytest
 
+from shelfmark import queries  # noqa: F401  the registry comes first
+from shelfmark import loading_queries
+from shelfmark.fixtures import Tables
 from shelfmark.plans import loading as N
 
 SCHEMAS = {
@@ -116,3 +119,14 @@ def test_documents_are_parsed_once_for_all_kinds(spark):
     for df in (*parts.values(), bad):
         assert "Scan ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r["id"] for r in parts["songs"].collect()] == [5] and sorted(r[0] for r in bad.collect()) == [2, 3]
+
+
+def test_a_load_gathers_no_table_in_the_driver(spark, monkeypatch):
+    plans, real = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name="part": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    t = Tables(spark, "/root/testdata/sf0.001")
+    tables, plan = loading_queries._plan(t)
+    plans += [(name, df._jdf.queryExecution().executedPlan().toString()) for name, df in N.apply_load(tables, plan).items()]
+    assert {"documents", "errors", "refs", "standing", "groundless", "known", "rows", "song_titles"} <= {n for n, _ in plans}
+    found = [(n, x) for n, p in plans for x in p.splitlines() if "BroadcastHashJoin" in x or "BroadcastNestedLoop" in x]
+    assert not [(n, x) for n, x in found if "[_part#" not in x]  # numbers of rows by partition, of new ids, are few
