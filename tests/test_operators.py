@@ -223,3 +223,18 @@ def test_album_among_equal_ones(spark):
     q = spark.createDataFrame([(i, t, t.lower(), a, [x.lower() for x in a]) for i, t, a in asked], "query_id long, title string, normalized_title string, artists array<string>, normalized_artists array<string>")
     got = {r.query_id: r.album_id for r in K.resolve_album(q, titles, albums, have, names).collect()}
     assert got == {1: None, 2: 3, 3: None, 4: 5, 5: 6, 6: 3, 7: None, 8: 4}
+
+
+def test_pairs_of_a_band_counted_by_kind(spark):
+    rng = random.Random(9)
+    for width in (1, 8, 9, 10, 100):
+        a = spark.createDataFrame([(i, rng.choice("xyz"), rng.choice([None, rng.randrange(-3 * width, 4 * width)]), rng.choice("tuv")) for i in range(90)], "a long, k string, x long, one string")
+        b = spark.createDataFrame([(i, rng.choice("xyw"), rng.choice([None, rng.randrange(-3 * width, 4 * width)]), rng.choice("tuw")) for i in range(110)], "b long, k string, y long, two string")
+        want = {}
+        for p in a.collect():
+            for q in b.collect():
+                if p.k == q.k and p.x is not None and q.y is not None and abs(p.x - q.y) <= width:
+                    n, i, j = want.get((p.one, q.two), (0, p.a, q.b))
+                    want[p.one, q.two] = (n + 1, min(i, p.a), min(j, q.b))
+        got = J.band_counts(a, b, ["k"], "x", "y", width, "one", "two", "a", "b").collect()
+        assert {(r.one, r.two): (r.links, r.a, r.b) for r in got} == want and len(want) == 9
